@@ -1,7 +1,12 @@
 """The queries of this subpackage and the SQL that the driver compares them with."""
 from __future__ import annotations
 
-from . import bpe, media
+from . import bpe, langid, media, quality
 
-QUERIES = {"op1_media": media.op1_media, "op5_bpe": bpe.op5_bpe}
+QUERIES = {
+    "op1_media": media.op1_media,
+    "op2_quality": quality.op2_quality,
+    "op4_language": langid.op4_language,
+    "op5_bpe": bpe.op5_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
