@@ -1,13 +1,14 @@
 """The queries of this subpackage and the SQL that the driver compares them with."""
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing, quality, urlrules
+from . import bpe, langid, media, mixing, neardup, quality, urlrules
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
     "op4_language": langid.op4_language,
     "op5_bpe": bpe.op5_bpe,
+    "op6_simhash": neardup.op6_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_urls": urlrules.op10_urls,
 }
