@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that the driver compares them with."""
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing, neardup, pagetext, quality, topk, urlrules
+from . import bpe, langid, licenses, media, mixing, neardup, pagetext, quality, topk, urlrules
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": neardup.op6_simhash,
     "op7_topk": topk.op7_topk,
+    "op8_licenses": licenses.op8_licenses,
     "op9_mixing": mixing.op9_mixing,
     "op10_urls": urlrules.op10_urls,
 }
