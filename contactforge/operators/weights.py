@@ -66,5 +66,6 @@ def bucketed(placed: DataFrame, total: int, n: int) -> tuple[DataFrame, int]:
 
 def look_up(rows: DataFrame, buckets: DataFrame, width: int, x: str, how: str = "inner") -> DataFrame:
     """Join each drawn number to the segment whose stretch it falls into."""
-    on = (F.floor(F.col(x) / width) == F.col("bucket")) & (F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))
-    return rows.join(buckets, on, how).drop("bucket")
+    right = buckets.withColumnsRenamed({"bucket": "__bucket", "lo": "__lo", "hi": "__hi"})
+    on = (F.floor(F.col(x) / width) == F.col("__bucket")) & (F.col(x) >= F.col("__lo")) & (F.col(x) < F.col("__hi"))
+    return rows.join(right, on, how).drop("__bucket", "__lo", "__hi")

@@ -87,6 +87,13 @@ class Community:
     sites: DataFrame | None = None
     gaps: DataFrame | None = None
 
+    def release(self) -> None:
+        """Give up the kept tables. They are kept once, as every pair looks things up in them several times; a lost
+        executor's share is computed again."""
+        for kept in (self.segments, self.sites, self.gaps):
+            if kept is not None:
+                kept.unpersist()
+
 
 def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Community:
     """Digest, then drop segments without sites; replicons and cells left without segments go with them.
@@ -104,15 +111,15 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
         base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
     sites = gap = None
     if enzymes:
-        sites = digest.cut_sites(base.select("seg_id", "linear").join(sequences, "seg_id"), enzymes)
+        sites = digest.cut_sites(base.select("seg_id", "linear").join(sequences, "seg_id"), enzymes).persist()
         base = base.join(digest.site_counts(sites), "seg_id")
-        gap = digest.gaps(base, sites)
+        gap = digest.gaps(base, sites).persist()
     else:
         base = base.withColumn("n_sites", F.col("length").cast("long"))
     n_repl = base.groupBy("cell").agg(F.countDistinct("repl").alias("n_repl"))
     base = base.join(n_repl, "cell")
     base = base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites"))
-    return Community(base, sequences, enzymes, sites, gap)
+    return Community(base.persist(), sequences, enzymes, sites, gap)
 
 
 def insert_draws(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -136,8 +143,8 @@ class _Draws:
         self.c, self.s = community, s
         by_sites = s.method != "dnase"
         weight = "w_sites" if by_sites else "w_extent"
-        self.placed = {"extent": weights.running(community.segments, "w_extent")}
-        self.placed["ends"] = weights.running(community.segments, weight) if by_sites else self.placed["extent"]
+        self.placed = {"extent": weights.running(community.segments, "w_extent").persist()}
+        self.placed["ends"] = weights.running(community.segments, weight).persist() if by_sites else self.placed["extent"]
         self.total, self.buckets = {}, {}
         for kind, table in self.placed.items():
             if kind == "ends" and not by_sites:

@@ -298,7 +298,7 @@ def _probe(spark, d, linear=None):
     buckets, width = weights.bucketed(placed, total, n)
     x = numbers(spark, d).withColumn("x", weights.anywhere(draws.unit(SEED, "seg", "idx"), F.lit(total)))
     rows = weights.look_up(x, buckets, width, "x").withColumn("pos", draws.below(draws.unit(SEED, "pos", "idx"), F.col("length")))
-    return c, rows.drop("lo", "hi"), buckets, width
+    return c, rows, buckets, width
 
 
 @query("draw_site", f"{PROBE} SELECT idx, p.seg_id, s.pos, s.enz FROM probe p JOIN sites s ON s.seg_id = p.seg_id AND s.rank = floor({u_sql('site', 'idx')} * n_sites)")
@@ -447,3 +447,351 @@ def _joined(name: str, method: str, sql: str, bridge: str | None = None):
 _joined("join_simple", "meta3c", "substr(seq, 1, 60) || substr(seq, 30, 60)")
 _joined("join_sitedup", "hic", "substr(seq, 1, 60) || 'GATCGATC' || substr(seq, 30, 60)")
 _joined("join_bridged", "dnase", "substr(seq, 1, 60) || 'ACGTTGCA' || substr(seq, 30, 60)", "ACGTTGCA")
+
+
+# --- whole experiments ---------------------------------------------------------------------------------------------------
+
+def _seg_cols(end: str, source: str = "") -> str:
+    p = f"{source}." if source else ""
+    return ", ".join(f"{p}{c} AS {c}{end}" for c in ("seg_id", "cell", "repl", "length", "n_sites", "n_repl", "repl_lo", "repl_hi", "cell_lo", "cell_hi"))
+
+
+def pairs_sql(method: str, efficiency: float) -> str:
+    """CTEs ending in `pairs`: the draws of every event under the settings of `_settings`."""
+    cut = method != "dnase"
+    u = lambda n: u_sql(n, "idx")
+    if cut:
+        head = f"{COMMUNITY}, {NEAREST}, {running_sql('copy_milli * n_sites', 'ends')}, {running_sql('copy_milli * length', 'extent')}"
+    else:
+        shapes = "segs AS (SELECT *, length(seq) AS length, FALSE AS linear FROM genome), usable AS (SELECT *, length AS n_sites, round(copy_number * 1000)::BIGINT AS copy_milli, (SELECT count(DISTINCT t.repl) FROM genome t WHERE t.cell = segs.cell) AS n_repl FROM segs)"
+        head = f"WITH {GENOME}, {shapes}, {running_sql('copy_milli * length', 'ends')}, extent AS (SELECT * FROM ends)"
+    head += f""", z AS (SELECT event_id AS idx, trunc(150.0::DOUBLE + 20.0::DOUBLE * {normal_sql('insert', 'event_id')})::INT AS z FROM events),
+ins AS (SELECT idx, greatest(z, 100) AS ins_len, z < 100 AS too_short, floor({u('midpoint')} * greatest(z, 100))::INT AS midpoint, {u('strand')} < 0.5 AS is_fwd FROM z)"""
+    rank = lambda n, end: f"floor({u(n)} * n_sites{end})"
+    if method == "meta3c":
+        size = "midpoint"
+        hit = f"""EXISTS (SELECT 1 FROM sites s WHERE s.seg_id = e.seg_id1 AND CASE WHEN e.pos1 + {size} > e.length1 - 1 THEN (e.pos1 + {size}) % (e.length1 - 1) >= s.pos OR e.pos1 <= s.pos
+      ELSE s.pos BETWEEN e.pos1 AND e.pos1 + {size} END)"""
+        at, enz = nearest_sql("pos1")
+        head += f""", e0 AS (SELECT i.*, {_seg_cols('1', 'x')}, floor({u('pos1')} * x.length)::BIGINT AS pos1 FROM ins i JOIN extent x ON floor({u('seg1')} * x.total)::BIGINT >= x.lo AND floor({u('seg1')} * x.total)::BIGINT < x.hi),
+e1 AS (SELECT e.*, {u('ligation')} < {efficiency} AND {hit} AS hit FROM e0 e),
+wgs AS (SELECT * FROM e1 WHERE NOT hit),
+s1 AS (SELECT n.* EXCLUDE (pos1, repl_lo1, repl_hi1, cell_lo1, cell_hi1, hit, fp, lp, fe, le, elen, elin, lo, lo_enz, real_lo, real_lo_enz, hi, hi_enz, real_hi, real_hi_enz), {at}::BIGINT AS pos1, {enz} AS enz1,
+  d.repl_lo1, d.repl_hi1, d.cell_lo1, d.cell_hi1 FROM {near_sql('(SELECT * FROM e1 WHERE hit)', 'seg_id1', 'pos1')} n
+  JOIN (SELECT seg_id AS own_seg, repl_lo AS repl_lo1, repl_hi AS repl_hi1, cell_lo AS cell_lo1, cell_hi AS cell_hi1 FROM ends) d ON d.own_seg = n.seg_id1)"""
+    else:
+        head += f""", coin AS (SELECT *, {u('ligation')} <= {efficiency} AS hit FROM ins),
+wgs AS (SELECT i.*, {_seg_cols('1', 'x')}, floor({u('pos1')} * x.length)::BIGINT AS pos1 FROM coin i JOIN extent x ON floor({u('seg1')} * x.total)::BIGINT >= x.lo AND floor({u('seg1')} * x.total)::BIGINT < x.hi WHERE NOT hit),
+e1 AS (SELECT i.*, {_seg_cols('1', 'd')} FROM coin i JOIN ends d ON floor({u('seg1')} * d.total)::BIGINT >= d.lo AND floor({u('seg1')} * d.total)::BIGINT < d.hi WHERE hit)"""
+        if cut:
+            head += f", s1 AS (SELECT e1.*, s.pos::BIGINT AS pos1, s.enz AS enz1 FROM e1 JOIN sites s ON s.seg_id = seg_id1 AND s.rank = {rank('site1', '1')})"
+        else:
+            head += f", s1 AS (SELECT e1.*, floor({u('site1')} * length1)::BIGINT AS pos1, NULL::INT AS enz1 FROM e1)"
+    head += f""", k1 AS (SELECT *, CASE WHEN {u('spurious')} < 0.02 THEN 'spurious' WHEN n_repl1 > 1 AND {u('trans')} < 0.1 THEN 'trans' ELSE 'cis' END AS kind,
+  repl_hi1 - repl_lo1 AS own, cell_lo1 + floor({u('seg2')} * (cell_hi1 - cell_lo1 - repl_hi1 + repl_lo1)) AS other FROM s1),
+k2 AS (SELECT *, (CASE kind WHEN 'spurious' THEN floor({u('seg2')} * (SELECT max(total) FROM ends)) WHEN 'trans' THEN CASE WHEN other < repl_lo1 THEN other ELSE other + own END
+  ELSE repl_lo1 + floor({u('seg2')} * own) END)::BIGINT AS x2 FROM k1),
+k3 AS (SELECT k2.*, {_seg_cols('2', 'd')} FROM k2 JOIN ends d ON x2 >= d.lo AND x2 < d.hi)"""
+    if cut:
+        head += f", free AS (SELECT k3.*, s.pos::BIGINT AS pos2, s.enz AS enz2 FROM k3 JOIN sites s ON s.seg_id = seg_id2 AND s.rank = {rank('site2', '2')} WHERE NOT (kind = 'cis' AND seg_id1 = seg_id2))"
+    else:
+        head += f", free AS (SELECT *, floor({u('site2')} * length2)::BIGINT AS pos2, NULL::INT AS enz2 FROM k3 WHERE NOT (kind = 'cis' AND seg_id1 = seg_id2))"
+    head += f""", c1 AS (SELECT * EXCLUDE (u, len, k1, kk, sep), sep FROM (SELECT *, 0 AS k1 FROM {_sep_sql("(SELECT * FROM k3 WHERE kind = 'cis' AND seg_id1 = seg_id2)", u('separation'), 'length1')})),
+c2 AS (SELECT *, ((pos1 + CASE WHEN {u('side')} < 0.5 THEN -sep ELSE sep END) % length1 + length1) % length1 AS place FROM c1),
+c3 AS (SELECT * EXCLUDE (place, sep), (CASE WHEN {u('anti')} < 0.2 THEN length1 - place ELSE place END)::BIGINT AS moved FROM c2)"""
+    gone = "fp, lp, fe, le, elen, elin, lo, lo_enz, real_lo, real_lo_enz, hi, hi_enz, real_hi, real_hi_enz"
+    if cut:
+        at, enz = nearest_sql("moved")
+        head += f", c4 AS (SELECT * EXCLUDE ({gone}, moved), {at}::BIGINT AS pos2, {enz} AS enz2 FROM {near_sql('c3', 'seg_id1', 'moved')})"
+        if method == "meta3c":
+            first = "CASE WHEN pos2 > pos1 THEN (SELECT max(s.pos) FROM sites s WHERE s.seg_id = c4.seg_id1 AND s.pos <= c4.pos2) ELSE (SELECT min(s.pos) FROM sites s WHERE s.seg_id = c4.seg_id1 AND s.pos >= c4.pos2) END"
+            head += f", c5 AS (SELECT * EXCLUDE (pos2, enz2), {first}::BIGINT AS pos2 FROM c4), near AS (SELECT c5.*, g.enz AS enz2 FROM c5 JOIN gap0 g ON g.seg_id = c5.seg_id1 AND g.pos = c5.pos2)"
+        else:
+            head += ", near AS (SELECT * FROM c4)"
+    else:
+        head += ", near AS (SELECT * EXCLUDE (moved), moved AS pos2, NULL::INT AS enz2 FROM c3)"
+    keep = "idx, kind, ins_len, midpoint, is_fwd, too_short, seg_id1, pos1, enz1, length1, seg_id2, pos2, enz2, length2"
+    swap = f"{u('swap')} < 0.5"
+    turned = ", ".join(f"CASE WHEN {swap} THEN {c}{3 - e} ELSE {c}{e} END AS {c}{e}" for c in ("seg_id", "pos", "enz", "length") for e in (1, 2))
+    head += f""", ends2 AS (SELECT {keep} FROM free UNION ALL SELECT {keep} FROM near),
+pairs AS (SELECT idx, '3C' AS mode, kind, ins_len, midpoint, is_fwd, too_short, FALSE AS too_long, {turned} FROM ends2
+  UNION ALL SELECT idx, 'WGS', 'wgs', ins_len, midpoint, is_fwd, too_short, FALSE, seg_id1, NULL, pos1, NULL, NULL, NULL, length1, NULL FROM wgs)"""
+    return head
+
+
+METHODS = {"hic": 0.5, "meta3c": 0.6, "dnase": 0.5}
+PAIRS = {m: pairs_sql(m, x) for m, x in METHODS.items()}
+
+
+def _experiment(method: str, **kw) -> Settings:
+    return _settings(method=method, enzymes=[] if method == "dnase" else GATC, efficiency=METHODS[method], **kw)
+
+
+#: Part a before the first end (or a whole insert), part b after the second; both circular.
+TEMPLATE = """, t0 AS (SELECT p.*, a.seq AS sa, b.seq AS sb FROM pairs p JOIN segs a ON a.seg_id = seg_id1 LEFT JOIN segs b ON b.seg_id = seg_id2),
+t1 AS (SELECT *, CASE WHEN mode = '3C' THEN pos1 - midpoint ELSE pos1 END AS s0, CASE WHEN mode = '3C' THEN midpoint ELSE ins_len END AS n0 FROM t0),
+t2 AS (SELECT *, CASE WHEN s0 < 0 THEN (s0 % length1 + length1) % length1 ELSE s0 END AS s1 FROM t1),
+templates AS (SELECT idx, mode, kind, too_short, too_long,
+  CASE WHEN mode = '3C' THEN '{METHOD} ' || seg_id1 || ':' || pos1 || ' ' || seg_id2 || ':' || pos2 ELSE 'WGS ' || seg_id1 || ':' || pos1 || '..' || (pos1 + ins_len) || ':' || CASE WHEN is_fwd THEN 'F' ELSE 'R' END END AS "desc",
+  substr(sa || sa, (s1 + 1)::INT, n0::INT) || CASE WHEN mode = '3C' THEN '{JUNCTION}' || substr(sb || sb, (pos2 + 1)::INT, (ins_len - midpoint)::INT) ELSE '' END AS template FROM t2)"""
+
+
+def template_sql(method: str) -> str:
+    return PAIRS[method] + TEMPLATE.format(METHOD=method.upper(), JUNCTION="GATCGATC" if method == "hic" else "")
+
+
+COMPLEMENT = f"translate(t, '{sq.SYMBOLS}', '{sq.COMPLEMENTS}')"
+READS = ", ends3 AS (SELECT *, substr(template, 1, 50) AS seq1, substr(reverse(translate(template, 'ACGT', 'TGCA')), 1, 50) AS seq2 FROM templates)"
+
+
+def _method(m: str):
+    columns = "idx, mode, kind, ins_len, midpoint, is_fwd, too_short, too_long, seg_id1, pos1"
+    rest = {"enz1": -1, "seg_id2": "''", "pos2": -1, "enz2": -1}
+    blank = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in rest.items())
+
+    @query(f"{m}_pairs", f"{PAIRS[m]} SELECT {columns}, {blank} FROM pairs")
+    def _(spark, d):
+        s = _experiment(m)
+        return draw_pairs(numbers(spark, d), _community(spark, d, s), s).select(*columns.split(", "), *(F.expr(f"coalesce({c}, {v}) AS {c}") for c, v in rest.items()))
+
+    @query(f"{m}_templates", f"{template_sql(m)} SELECT idx, mode, \"desc\", md5(template) AS digest, length(template)::INT AS length FROM templates")
+    def _(spark, d):
+        s = _experiment(m)
+        c = _community(spark, d, s)
+        made = templates(draw_pairs(numbers(spark, d), c, s), c, s)
+        return made.select("idx", "mode", "desc", F.md5("template").alias("digest"), F.length("template").alias("length"))
+
+
+for _m in METHODS:
+    _method(_m)
+
+
+@query("pair_class_counts", f"{PAIRS['hic']} SELECT mode, kind, count(*) AS n, count(*) FILTER (WHERE too_short) AS short, count(*) FILTER (WHERE seg_id1 = seg_id2) AS same_segment FROM pairs GROUP BY mode, kind")
+def _(spark, d):
+    s = _experiment("hic")
+    p = draw_pairs(numbers(spark, d), _community(spark, d, s), s)
+    return p.groupBy("mode", "kind").agg(F.count("*").alias("n"), F.count_if("too_short").alias("short"), F.count_if(F.col("seg_id1") == F.col("seg_id2")).alias("same_segment"))
+
+
+@query("run_summary", f"{PAIRS['hic']} SELECT count_if(mode = 'WGS')::BIGINT AS wgs_count, count_if(mode = '3C')::BIGINT AS lig_count, count_if(too_short)::BIGINT AS too_short, count_if(too_long)::BIGINT AS too_long FROM pairs")
+def _(spark, d):
+    s = _experiment("hic")
+    return reads.summary(draw_pairs(numbers(spark, d), _community(spark, d, s), s))
+
+
+def _simple(spark, d, m="hic"):
+    s = _experiment(m)
+    return simulate(numbers(spark, d), _community(spark, d, s), s)
+
+
+NAMES = ", ".join(f"'SIM:' || mode || ':1:1:1:' || idx || ' {r}:Y:18:1 ' || \"desc\" AS name{r}" for r in (1, 2))
+
+
+@query("simple_reads", f"{template_sql('hic')}{READS} SELECT idx, mode, {NAMES}, seq1, seq2 FROM ends3")
+def _(spark, d):
+    return _simple(spark, d).select("idx", "mode", "name1", "name2", "seq1", "seq2")
+
+
+FASTQ = ", ".join(f"'@' || name{r} || chr(10) || seq{r} || chr(10) || '+' || chr(10) || repeat('I', length(seq{r}))" for r in (1, 2))
+
+
+@query("fastq_records", f"{template_sql('hic')}{READS}, n AS (SELECT idx, {NAMES}, seq1, seq2 FROM ends3) SELECT idx, unnest([1, 2]) AS r1r2, unnest([{FASTQ}]) AS record FROM n")
+def _(spark, d):
+    return records(_simple(spark, d))
+
+
+@query("fasta_records", f"{template_sql('meta3c')}{READS}, n AS (SELECT idx, {NAMES}, seq1, seq2 FROM ends3) SELECT idx, unnest([1, 2]) AS r1r2, unnest(['>' || name1 || chr(10) || seq1, '>' || name2 || chr(10) || seq2]) AS record FROM n")
+def _(spark, d):
+    return records(_simple(spark, d, "meta3c"), "fasta")
+
+
+# --- sequencing errors ---------------------------------------------------------------------------------------------------
+
+#: A made-up machine: six qualities whose counts shift with the position, in the lines of a profile file.
+READ_LENGTH = 50
+LEVELS_SQL = """lv AS (SELECT r, p AS pos, [2, 14, 21, 27, 32, 36] AS qual, [1000 + 10 * p, 40000 + 300 * p * r, 90000 + 500 * p * r, 120000 + 700 * p * r, 400000 - 900 * p, 1000000]::BIGINT[] AS counts FROM range(0, 50) a(p), range(1, 3) b(r)),
+levels AS (SELECT r, pos, qual, list_transform(counts, lambda c: c * 1000000 // counts[6]) AS cum FROM lv)"""
+
+
+def _machine(spark, r: int):
+    lines = []
+    for p in range(READ_LENGTH):
+        counts = [1000 + 10 * p, 40000 + 300 * p * r, 90000 + 500 * p * r, 120000 + 700 * p * r, 400000 - 900 * p, 1000000]
+        lines += ["\t".join(map(str, (".", p, 2, 14, 21, 27, 32, 36))), "\t".join(map(str, (".", p, *counts)))]
+    return quality.parse_lines(spark.createDataFrame(list(enumerate(lines)), "n int, value string"))
+
+
+def _levels(spark):
+    return quality.levels(_machine(spark, 1), _machine(spark, 2), READ_LENGTH)
+
+
+@query("qual_profile_scale", f"WITH {LEVELS_SQL} SELECT r::INT AS r, pos::INT AS pos, array_to_string(cum, ',') AS cum, array_to_string(qual, ',') AS qual FROM levels")
+def _(spark, d):
+    both = _machine(spark, 1).withColumn("r", F.lit(1)).unionByName(_machine(spark, 2).withColumn("r", F.lit(2)))
+    return both.select("r", "pos", F.array_join("cum", ",").alias("cum"), F.array_join("qual", ",").alias("qual"))
+
+
+def hex_sql(keys: list[str]) -> str:
+    return "md5(" + "||':'||".join([f"'{SEED}:base'", *(f"({k})::VARCHAR" for k in keys)]) + ")"
+
+
+def part_sql(h: str, n: int) -> str:
+    return f"(('0x'||substr({h}, {8 * n + 1}, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+#: Per base: quality draw, then substitution.
+BASES_SQL = f"""b0 AS (SELECT idx, r, i, upper(substr(seq, i + 1, 1)) AS base, {hex_sql(['idx', 'r', 'i'])} AS h FROM (SELECT idx, r, seq, unnest(range(0, length(seq))) AS i FROM reads)),
+b1 AS (SELECT b.*, l.qual[1 + len(list_filter(l.cum, lambda c: c < floor({part_sql('h', 0)} * 1000000)::BIGINT + 1))] AS q FROM b0 b JOIN levels l ON l.r = b.r AND l.pos = b.i),
+b2 AS (SELECT idx, r, i, base, q, CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN 'N' WHEN {part_sql('h', 1)} < pow(10.0, -q / 10.0) THEN substr(replace('ACGT', base, ''), (floor({part_sql('h', 2)} * 3) + 1)::INT, 1) ELSE base END AS seen,
+  CASE WHEN base = 'N' THEN 1 ELSE q END AS quality FROM b1)"""
+
+TWO_READS = ", reads AS (SELECT idx, 1 AS r, seq1 AS seq FROM ends3 UNION ALL SELECT idx, 2, seq2 FROM ends3)"
+
+
+@query("qual_draw", f"{template_sql('hic')}{READS}{TWO_READS}, {LEVELS_SQL}, {BASES_SQL} SELECT idx, r, string_agg(chr(quality + 33), '' ORDER BY i) AS quals FROM b2 GROUP BY idx, r")
+def _(spark, d):
+    lv = _levels(spark)
+    made = _simple(spark, d).select("idx", "seq1", "seq2").withColumn("l1", lv.select("level1").scalar()).withColumn("l2", lv.select("level2").scalar())
+    each = lambda r: F.struct(F.lit(r).alias("r"), sq.phred(reads.base_errors(F.col(f"seq{r}"), F.col(f"l{r}"), SEED, "idx", F.lit(r))["quality"]).alias("quals"))
+    return made.select("idx", F.explode(F.array(each(1), each(2))).alias("x")).select("idx", "x.r", "x.quals")
+
+
+#: Documents' first letters as they are hold N and other symbols.
+@query("subst_errors", f"WITH reads AS (SELECT doc_id AS idx, 1 AS r, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 50) AS seq FROM documents), {LEVELS_SQL}, {BASES_SQL} SELECT idx, string_agg(seen, '' ORDER BY i) AS seq, string_agg(quality::VARCHAR, ',' ORDER BY i) AS quals FROM b2 GROUP BY idx")
+def _(spark, d):
+    rows = _raw(spark, d).select(F.col("doc_id").alias("idx"), F.substring("raw", 1, 50).alias("seq")).where("seq != ''").withColumn("l", _levels(spark).select("level1").scalar())
+    got = rows.withColumn("x", reads.base_errors(F.col("seq"), F.col("l"), SEED, "idx", F.lit(1)))
+    return got.select("idx", F.array_join("x.base", "").alias("seq"), F.array_join(F.transform("x.quality", lambda q: q.cast("string")), ",").alias("quals"))
+
+
+@query("error_probability", "SELECT q::INT AS q, round(pow(10.0, -q / 10.0), 12) AS p FROM range(0, 80) t(q)")
+def _(spark, d):
+    return spark.range(80).select(F.col("id").cast("int").alias("q"), F.round(distributions.error_probability(F.col("id")), 12).alias("p"))
+
+
+@query("indel_rates", "SELECT l::INT AS read_length, round(1 - pow(1 - 9e-5, l) - l * 9e-5 * pow(1 - 9e-5, l - 1), 12) AS one, round(1 - pow(1 - 9e-5, l) - l * 9e-5 * pow(1 - 9e-5, l - 1) - l * (l - 1) / 2 * 9e-5 * 9e-5 * pow(1 - 9e-5, l - 2), 12) AS two FROM (VALUES (50), (75), (150), (250)) t(l)")
+def _(spark, d):
+    rows = [(n, *(round(x, 12) for x in distributions.binomial_tails(n, 9e-5))) for n in (50, 75, 150, 250)]
+    return spark.createDataFrame(rows, "read_length int, one double, two double")
+
+
+#: Rates far above a machine's, so that every case occurs.
+INDEL_INS, INDEL_DEL = [0.4, 0.2], [0.5, 0.25]
+
+
+def _tail_sql(rates, a, b):
+    return f"CASE WHEN {rates[1]} >= {a} THEN 2 WHEN {rates[0]} >= {b} THEN 1 ELSE 0 END"
+
+
+def _up(x: str, taken: str) -> str:
+    return f"list_reduce(list_prepend({x}, list_sort({taken})), lambda at_, t: CASE WHEN t <= at_ THEN at_ + 1 ELSE at_ END)"
+
+
+def indel_sql(way: int, key: str, rows: str) -> str:
+    """CTEs ending in i<way>: idx, del (list), ins (list), bases (list)."""
+    h = lambda n, p: u_sql(f"indel{way}{n}", key, part=p)
+    L = READ_LENGTH
+    nd, ni = _tail_sql(INDEL_DEL, h("t", 0), h("t", 1)), _tail_sql(INDEL_INS, h("t", 2), h("t", 3))
+    counts = f"{nd} AS nd, {ni} AS ni" if way == 0 else f"least({nd}, {ni}) AS nd, {ni} AS ni"
+    d1, d2, i1, i2 = (h("p", k) for k in range(4))
+
+    def choose(n, a, b, taken, low):
+        inside = f"list_filter({taken}, lambda t_: t_ >= {low})"
+        first = _up(f"(floor({a} * ({L - low} - len({inside}))) + {low})::INT", inside)
+        both = f"list_append({inside}, {first})"
+        second = _up(f"(floor({b} * ({L - low} - len({both}))) + {low})::INT", both)
+        return f"CASE {n} WHEN 2 THEN [{first}, {second}] WHEN 1 THEN [{first}] ELSE []::INT[] END"
+
+    steps = [("del", "nd", d1, d2, 1), ("ins", "ni", i1, i2, 0)]
+    if way:
+        steps.reverse()
+    (na, ca, a1, a2, la), (nb, cb, b1, b2, lb) = steps
+    return f"""n{way} AS (SELECT {key} AS idx, {counts} FROM {rows}), f{way} AS (SELECT *, {choose(ca, a1.replace(key, 'idx'), a2.replace(key, 'idx'), '[]::INT[]', la)} AS {na} FROM n{way}),
+i{way} AS (SELECT *, {choose(cb, b1.replace(key, 'idx'), b2.replace(key, 'idx'), na, lb)} AS {nb},
+  [substr('ACGT', floor({u_sql(f'indel{way}b', 'idx')} * 4)::INT + 1, 1), substr('ACGT', floor({u_sql(f'indel{way}b', 'idx', part=1)} * 4)::INT + 1, 1)] AS bases FROM f{way})"""
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("indel_draw", f"WITH {indel_sql(0, 'event_id', 'events')}, {indel_sql(1, 'event_id', 'events')} SELECT a.idx, array_to_string(a.del, ',') AS del0, array_to_string(a.ins, ',') AS ins0, array_to_string(b.del, ',') AS del1, array_to_string(b.ins, ',') AS ins1 FROM i0 a JOIN i1 b USING (idx)")
+def _(spark, d):
+    out = numbers(spark, d)
+    for way in (0, 1):
+        dele, ins, _ = reads.indel_draws(SEED, READ_LENGTH, INDEL_INS, INDEL_DEL, way, "idx")
+        out = out.withColumn(f"del{way}", _text(dele)).withColumn(f"ins{way}", _text(ins))
+    return out
+
+
+APPLY = """steps AS (SELECT idx, ref, del, ins, bases, unnest(range(0, (length(ref) + len(ins))::BIGINT)) AS k FROM r),
+placed AS (SELECT *, (k - len(list_filter(ins, lambda p: p < k)))::INT AS place FROM steps),
+emitted AS (SELECT idx, k, CASE WHEN list_contains(ins, k::INT) THEN CASE WHEN place <= length(ref) THEN bases[list_position(ins, k::INT)] ELSE '' END WHEN list_contains(del, k::INT) THEN '' ELSE substr(ref, place + 1, 1) END AS b FROM placed)"""
+
+
+@query("indel_apply", f"WITH {GENOME}, g AS (SELECT seg_id::BIGINT AS idx0, seq FROM genome), {indel_sql(0, 'idx0', 'g')}, r AS (SELECT i.idx, substr(seq, 1, ({READ_LENGTH} - len(ins) + len(del))::INT) AS ref, del, ins, bases FROM i0 i JOIN g ON g.idx0 = i.idx), {APPLY} SELECT idx, string_agg(b, '' ORDER BY k) AS seq FROM emitted GROUP BY idx")
+def _(spark, d):
+    g = genome(spark, d).select(F.col("seg_id").cast("long").alias("idx"), "seq")
+    dele, ins, bases = reads.indel_draws(SEED, READ_LENGTH, INDEL_INS, INDEL_DEL, 0, "idx")
+    g = g.withColumn("d", dele).withColumn("i", ins).withColumn("b", bases)
+    ref = F.substring("seq", F.lit(1), F.lit(READ_LENGTH) - F.size("i") + F.size("d"))
+    return g.withColumn("ref", ref).select("idx", sq.apply_indels(F.col("ref"), F.col("d"), F.col("i"), F.col("b")).alias("seq"))
+
+
+@query("error_reads")
+def _(spark, d):
+    """All of it together: indels, qualities, substitutions. Its parts have SQL of their own."""
+    s = _experiment("hic", simple=False, ins_rate=0.01, del_rate=0.01)
+    return simulate(numbers(spark, d), _community(spark, d, s), s, _levels(spark)).select("idx", "mode", "name1", "seq1", F.array_join("qual1", ",").alias("qual1"), "seq2", F.array_join("qual2", ",").alias("qual2"))
+
+
+# --- interaction domains ---------------------------------------------------------------------------------------------------
+
+CHROMS_SQL = "SELECT 'n' || n_nationkey AS chrom, (400000 + 50000 * n_nationkey)::BIGINT AS length FROM nation"
+RANDOM_SQL = f"""chroms AS ({CHROMS_SQL}), dr AS (SELECT chrom, length, k, floor({u_sql('begin', 'chrom', 'k')} * length)::BIGINT AS b, 20000 + floor({u_sql('size', 'chrom', 'k')} * 230000)::BIGINT AS s, {u_sql('prob', 'chrom', 'k')} AS u FROM chroms, range(10) t(k)),
+doms AS (SELECT chrom, 0::BIGINT AS b, length AS e, 0.5::DOUBLE AS prob, 0 AS depth FROM chroms UNION ALL SELECT chrom, b, b + s, p, 1 FROM (SELECT *, u * 0.5 / sum(u) OVER (PARTITION BY chrom) AS p FROM dr) WHERE s < length)"""
+
+
+def _chroms(spark, d):
+    n = table(spark, d, "nation")
+    return n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("chrom"), (400000 + 50000 * F.col("n_nationkey")).cast("long").alias("length"))
+
+
+@query("cid_random", f'WITH {RANDOM_SQL} SELECT chrom, b AS "begin", e AS "end", round(prob, 9) AS prob, depth FROM doms')
+def _(spark, d):
+    return domains.random_domains(_chroms(spark, d), seed=SEED).withColumn("prob", F.round("prob", 9))
+
+
+def _nested_sql() -> str:
+    out = f"chroms AS ({CHROMS_SQL}), l0 AS (SELECT chrom, 0::BIGINT AS b, length AS e, '' AS path FROM chroms)"
+    for n in (1, 2):
+        out += f""", p{n} AS (SELECT chrom, b, e, path, k, 0.05 + (0.2 - 0.05) * {u_sql(f'cut{n}', 'chrom', 'path', 'k')} AS x FROM l{n - 1}, range(1, 6) t(k)),
+q{n} AS (SELECT *, floor(x / sum(x) OVER (PARTITION BY chrom, path) * (e - b))::BIGINT AS step FROM p{n}), s{n} AS (SELECT *, (sum(step) OVER (PARTITION BY chrom, path ORDER BY k))::BIGINT AS upto FROM q{n}),
+l{n} AS (SELECT chrom, b + upto - step AS b, CASE WHEN k = 5 THEN e ELSE b + upto END AS e, path || '/' || k AS path FROM s{n})"""
+    return out
+
+
+@query("cid_nested", f"""WITH {_nested_sql()}, a AS (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2), w AS (SELECT *, {u_sql('prob', 'chrom', 'path')} AS u FROM a)
+SELECT chrom, b AS "begin", e AS "end", round(u * 0.5 / sum(u) OVER (PARTITION BY chrom), 9) AS prob, depth FROM w UNION ALL SELECT chrom, 0, length, 0.5, 0 FROM chroms""")
+def _(spark, d):
+    return domains.nested_domains(_chroms(spark, d), seed=SEED).withColumn("prob", F.round("prob", 9))
+
+
+@query("cid_blocks", f"""WITH {RANDOM_SQL}, x AS (SELECT DISTINCT chrom, unnest([b, e]) AS x FROM doms), c AS (SELECT chrom, x AS b0, lead(x) OVER (PARTITION BY chrom ORDER BY x) AS e0 FROM x)
+SELECT doms.chrom, b0 AS block_begin, e0 AS block_end, b AS "begin", e AS "end", round(prob / sum(prob) OVER (PARTITION BY doms.chrom, b0), 9) AS share FROM doms JOIN c ON doms.chrom = c.chrom AND e0 IS NOT NULL AND b < e0 AND e > b0""")
+def _(spark, d):
+    return domains.blocks(domains.random_domains(_chroms(spark, d), seed=SEED)).withColumn("share", F.round("share", 9))
+
+
+@query("cid_merge", f"""WITH {RANDOM_SQL}, o AS (SELECT chrom, b, e, prob, max(e) OVER (PARTITION BY chrom ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM doms WHERE depth = 1),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR b >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY b, e) AS island FROM o)
+SELECT chrom, min(b) AS "begin", max(e) AS "end", round(list_reduce(list(prob ORDER BY b, e), lambda acc, p: 0.5 * (acc + p)), 9) AS prob, sum(e - b)::BIGINT AS length FROM i GROUP BY chrom, island""")
+def _(spark, d):
+    inner = domains.random_domains(_chroms(spark, d), seed=SEED).where("depth = 1")
+    return domains.merged(inner).withColumn("prob", F.round("prob", 9))
+
+
+@query("cid_containing", f"""WITH {RANDOM_SQL}, p AS (SELECT 'n' || (event_id % 25) AS chrom, event_id AS idx, (event_id * 7919 % 400000)::BIGINT AS x FROM events) SELECT idx, x, b AS "begin", e AS "end" FROM p JOIN doms USING (chrom) WHERE b <= x AND x < e""")
+def _(spark, d):
+    p = numbers(spark, d).select(F.concat(F.lit("n"), (F.col("idx") % 25).cast("string")).alias("chrom"), "idx", (F.col("idx") * 7919 % 400000).alias("x"))
+    return domains.containing(p, domains.random_domains(_chroms(spark, d), seed=SEED)).select("idx", "x", "begin", "end")
