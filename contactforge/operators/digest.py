@@ -23,8 +23,10 @@ def tiles(sequences: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
     """
     length = F.length("seq")
     after = F.when(F.col("linear"), F.col("seq")).otherwise(F.concat("seq", F.substring(F.col("seq"), F.lit(1), F.least(length, F.lit(overlap)))))
-    wide = sequences.select("seg_id", "linear", length.alias("length"), after.cast("binary").alias("bytes")).where("length > 0")
-    each = wide.select("seg_id", "linear", "length", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / tile).cast("int"))).alias("tile"))
+    wide = sequences.select("seg_id", "linear", length.alias("length"), after.cast("binary").alias("bytes"))
+    # No filter on the length: it would be pushed down and build every sequence once more.
+    count = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.floor((F.col("length") - 1) / tile).cast("int")))
+    each = wide.select("seg_id", "linear", "length", "bytes", F.explode(count).alias("tile"))
     return each.select("seg_id", "linear", "length", "tile", F.substring("bytes", F.col("tile") * tile + 1, F.lit(tile + overlap)).cast("string").alias("part"))
 
 
@@ -37,17 +39,18 @@ def _starts(part: Column, pattern: str) -> Column:
     return F.when(part.rlike(f"^{pattern}"), F.array_union(F.array(F.lit(0)), inner)).otherwise(inner)
 
 
-def cut_sites(sequences: DataFrame, enzymes: list[Enzyme], tile: int = TILE) -> DataFrame:
-    """(seg_id, pos, enz, rank): the base after each cut, 0-based; enz is the enzyme's number; rank counts from 0.
+def cut_sites(sequences: DataFrame, enzymes: list[Enzyme], tile: int = TILE, cut: DataFrame | None = None) -> DataFrame:
+    """(seg_id, pos, enz, rank) from (seg_id, linear, seq), or from tiles ``cut`` of it: the base after each cut, 0-based; enz is the enzyme's number; rank counts from 0.
 
     On a linear sequence a cut behind the last base is none; on a circular one positions wrap, and sites may span
     the origin. Where two enzymes cut at one place both are listed, in the enzymes' order.
     """
     found = None
     overlap = max(len(e.site) for e in enzymes) - 1
-    cut = tiles(sequences, overlap, tile)
+    cut = tiles(sequences, overlap, tile) if cut is None else cut
     for i, e in enumerate(enzymes):
-        one = cut.select("seg_id", "linear", "length", "tile", F.explode(_starts(F.col("part"), site_pattern(e.site))).alias("at"))
+        part = F.substring("part", 1, tile + len(e.site) - 1)
+        one = cut.select("seg_id", "linear", "length", "tile", F.explode(_starts(part, site_pattern(e.site))).alias("at"))
         at = F.col("tile") * tile + F.col("at")
         one = one.where((F.col("at") < tile) & (at < F.col("length"))).withColumn("pos", at + e.cut)
         one = one.where(~F.col("linear") | (F.col("pos") < F.col("length")))

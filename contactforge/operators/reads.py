@@ -1,6 +1,12 @@
-"""Read pairs from templates, with and without errors. All of it is Spark expressions: no Python in the hot path."""
+"""Read pairs from templates, with and without errors: Spark expressions, but for the one digest a base that
+sequencing errors need, which is done on Arrow batches (the same as an expression is ``base_errors``)."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,57 +94,163 @@ def indel_draws(seed: int, read_length: int, ins_rates: list[float], del_rates:
     return deleted, inserted, F.slice(F.array(nucleotide(part(bases, 0)), nucleotide(part(bases, 1))), F.lit(1), F.size(inserted))
 
 
-def quality_draws(hexed: Column, cum: Column, qual: Column) -> Column:
-    """Quality of one base: the first whose cumulative count reaches 1 + a draw below a million."""
-    at = F.size(F.filter(cum, lambda c: c < below(part(hexed, 0), 1_000_000) + 1))
-    return F.element_at(qual, at + 1)
+def quality_at(cum: Column, qual: Column, draw: Column) -> Column:
+    """The first quality whose cumulative count reaches the draw, a number from 1 to a million."""
+    return F.element_at(qual, F.size(F.filter(cum, lambda c: c < draw)) + 1)
 
 
-def substitute(base: Column, quality: Column, hexed: Column) -> Column:
-    """The base read: N stays; another base is drawn where the draw is below the quality's error chance."""
-    wrong = F.substring(F.replace(F.lit("ACGT"), base, F.lit("")), (F.floor(part(hexed, 2) * 3) + 1).cast("int"), F.lit(1))
+def substitute(base: Column, quality: Column, chance: Column, which: Column) -> Column:
+    """The base read: N stays; another base is shown where the draw ``chance`` is below the quality's error chance."""
+    wrong = F.substring(F.replace(F.lit("ACGT"), base, F.lit("")), (F.floor(which * 3) + 1).cast("int"), F.lit(1))
     known = base.isin("A", "C", "G", "T")
-    return F.when(base == "N", base).when(known & (part(hexed, 1) < F.pow(F.lit(10.0), -quality / 10.0)), wrong).when(known, base).otherwise("N")
+    return F.when(known & (chance < F.pow(F.lit(10.0), -quality / 10.0)), wrong).when(known, base).otherwise("N")
 
 
 def base_errors(seq: Column, levels: Column, seed: int, *keys) -> Column:
-    """Array of (base, quality) of a read: ``levels`` is the array over read positions of (cum, qual)."""
-    def one(i):
-        hexed = F.md5(F.concat_ws(":", F.lit(f"{seed}:base"), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys), i.cast("string")))
-        base = F.upper(F.substring(seq, i + 1, F.lit(1)))
-        level = F.element_at(levels, i + 1)
-        quality = quality_draws(hexed, level["cum"], level["qual"])
-        return F.struct(substitute(base, quality, hexed).alias("base"), F.when(base == "N", F.lit(1)).otherwise(quality).alias("quality"))
+    """Array of (base, quality) of a read: ``levels`` is the array over read positions of (cum, qual).
 
-    return F.when(F.length(seq) == 0, F.array().cast("array<struct<base:string,quality:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(seq) - 1), one))
+    One digest a base, one step after the other: each step's results are bound before the next one uses them, so
+    nothing is computed twice.
+    """
+    start = F.concat_ws(":", F.lit(f"{seed}:base"), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    symbols = F.filter(F.split(F.upper(seq), ""), lambda c: c != "")
+    hashed = F.transform(symbols, lambda c, i: F.struct(c.alias("b"), i.alias("i"), F.md5(F.concat(start, F.lit(":"), i.cast("string"))).alias("h")))
+    drawn = F.transform(hashed, lambda x: F.struct(x["b"].alias("b"), F.element_at(levels, x["i"] + 1).alias("l"), (below(part(x["h"], 0), 1_000_000) + 1).alias("n"), x["h"].alias("h")))
+    scored = F.transform(drawn, lambda x: F.struct(x["b"].alias("b"), quality_at(x["l"]["cum"], x["l"]["qual"], x["n"]).alias("q"), x["h"].alias("h")))
+    return F.transform(scored, lambda x: F.struct(substitute(x["b"], x["q"], part(x["h"], 1), part(x["h"], 2)).alias("base"), F.when(x["b"] == "N", F.lit(1)).otherwise(x["q"]).alias("quality")))
+
+
+def batch_errors(levels: list, seed: int, read: int):
+    """The same results as ``base_errors``, as a function of Arrow arrays (sequences, pair numbers) that gives (bases,
+    qualities): a few array steps for each batch around one digest a base. ``levels`` is a list over read positions
+    of (cum, qual), a size fixed by the read."""
+    wide = max(len(x["cum"]) for x in levels)
+    cum = np.array([list(x["cum"]) + [1 << 40] * (wide - len(x["cum"])) for x in levels])
+    qual = np.array([list(x["qual"]) + [0] * (wide - len(x["qual"])) for x in levels])
+    chance = np.power(10.0, -np.arange(128) / 10.0)
+    code = np.full(256, 4, np.int64)
+    for k, c in enumerate(b"ACGT"):
+        code[c] = k
+    letters = np.frombuffer(b"ACGTN", np.uint8)
+    other = np.array([[x for x in range(4) if x != k] for k in range(4)] + [[4] * 3])
+
+    def run(seq: pa.Array, idx: pa.Array) -> tuple[pa.Array, pa.Array]:
+        texts = [(x or "").upper().encode() for x in seq.to_pylist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        raw = []
+        for n, i in zip(sizes.tolist(), idx.to_pylist(), strict=True):
+            start = md5(f"{seed}:base:{i}:{read}:".encode())
+            for k in range(n):
+                one = start.copy()
+                one.update(b"%d" % k)
+                raw.append(one.digest())
+        draw = np.frombuffer(b"".join(raw), ">u4").reshape(-1, 4)
+        u = draw[:, :3] / 4294967296.0
+        at = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
+        base = code[np.frombuffer(b"".join(texts), np.uint8)]
+        n_draw = np.floor(u[:, 0] * 1_000_000).astype(np.int64) + 1
+        quality = qual[at, (cum[at] < n_draw[:, None]).sum(1)]
+        wrong = (u[:, 1] < chance[quality]) & (base < 4)
+        seen = np.where(wrong, other[base, np.floor(u[:, 2] * 3).astype(np.int64)], base)
+        is_n = np.frombuffer(b"".join(texts), np.uint8) == ord("N")
+        quality = np.where(is_n, 1, quality).astype(np.int32)
+        shown, offsets = letters[seen].tobytes(), np.concatenate([[0], ends]).astype(np.int32)
+        bases = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(shown))
+        return bases, pa.ListArray.from_arrays(pa.array(offsets), pa.array(quality))
+
+    return run
+
+
+def read_indels(seed: int, read_length: int, ins_rates: list[float], del_rates: list[float], way: int, key: str) -> tuple[list[int], list[int], str]:
+    """``indel_draws`` for one read in Python; nearly all reads stop at the first digest."""
+    def parts(name):
+        h = md5(f"{seed}:indel{way}{name}:{key}".encode()).digest()
+        return [int.from_bytes(h[4 * k : 4 * k + 4], "big") / 4294967296.0 for k in range(4)]
+
+    def two(rates, u2, u1):
+        return 2 if len(rates) > 1 and rates[1] >= u2 else 1 if rates and rates[0] >= u1 else 0
+
+    u = parts("t")
+    n_del = two(del_rates, u[0], u[1]) if read_length >= 2 else 0
+    n_ins = two(ins_rates, u[2], u[3])
+    n_ins = min(n_ins, read_length - n_del if way == 0 else read_length)
+    if way:
+        n_del = min(n_del, n_ins, read_length - n_ins)
+    if not n_del and not n_ins:
+        return [], [], ""
+    p = parts("p")
+
+    def choose(n, us, taken, low):
+        used = [t for t in taken if t >= low]
+        out = []
+        for k in range(n):
+            at = int(us[k] * (read_length - low - len(used))) + low
+            for t in sorted(used):
+                at += t <= at
+            used.append(at)
+            out.append(at)
+        return out
+
+    if way == 0:
+        deleted = choose(n_del, p[:2], [], 1)
+        inserted = choose(n_ins, p[2:], deleted, 0)
+    else:
+        inserted = choose(n_ins, p[2:], [], 0)
+        deleted = choose(n_del, p[:2], inserted, 1)
+    return deleted, inserted, "".join("ACGT"[int(x * 4)] for x in parts("b")[:n_ins])
+
+
+def with_indels(ref: str, deleted: list[int], inserted: list[int], bases: str) -> str:
+    """``apply_indels`` for one read."""
+    out, at, new = [], 0, dict(zip(inserted, bases, strict=True))
+    for k in range(len(ref) + len(inserted)):
+        if k in new:
+            if at <= len(ref):
+                out.append(new[k])
+            continue
+        if k not in deleted:
+            out.append(ref[at : at + 1])
+        at += 1
+    return "".join(out)
 
 
 def error_reads(pairs: DataFrame, levels: DataFrame, read_length: int, seed: int, ins_rate: float = 9e-5, del_rate: float = 1.1e-4, template: str = "template", documented: bool = False) -> DataFrame:
-    """Adds seq1, seq2, qual1, qual2 with indels, qualities and substitutions.
+    """Adds seq1, seq2, qual1, qual2 with indels, qualities and substitutions; the template goes.
 
     ``levels``: one row, level1 and level2, the arrays over positions of (cum, qual) of both reads (their size is fixed
-    by the read length). Rows are keyed by idx.
+    by the read length). Rows are keyed by idx. Python sees the template's two ends only, not all of it.
     """
     ins, dels = binomial_tails(read_length, ins_rate, documented=documented), binomial_tails(read_length, del_rate, documented=documented)
-    out = pairs.withColumn("level1", levels.select("level1").scalar()).withColumn("level2", levels.select("level2").scalar())
-    for r in (1, 2):
-        one, two = (indel_draws(seed, read_length, ins, dels, way, "idx", F.lit(r)) for way in (0, 1))
-        names = ("del", "ins", "base")
-        for way, cols in enumerate((one, two)):
-            for n, c in zip(names, cols, strict=True):
-                out = out.withColumn(f"__{n}{way}", c)
-        # A read that would run over the template draws again the second way.
-        delta = F.size("__ins0") - F.size("__del0")
-        again = F.lit(read_length) - delta > F.length(template)
-        for n in names:
-            out = out.withColumn(f"__{n}", F.when(again, F.col(f"__{n}1")).otherwise(F.col(f"__{n}0")))
-        size = F.lit(read_length) - (F.size("__ins") - F.size("__del"))
-        ref = forward_part(F.col(template), size) if r == 1 else reverse_part(F.col(template), size)
-        out = out.withColumn("__ref", ref).withColumn("__read", F.substring(apply_indels(F.col("__ref"), F.col("__del"), F.col("__ins"), F.col("__base")), F.lit(1), F.lit(read_length)))
-        out = out.withColumn("__bases", base_errors(F.col("__read"), F.col(f"level{r}"), seed, "idx", F.lit(r)))
-        out = out.withColumn(f"seq{r}", F.array_join("__bases.base", "")).withColumn(f"qual{r}", F.col("__bases.quality"))
-        out = out.drop("__bases", "__ref", "__read", *(f"__{n}{w}" for n in names for w in ("", 0, 1)))
-    return out.drop("level1", "level2")
+    held = levels.first()  # read_length short arrays for each read
+    most = read_length + len(dels)
+    kept = [c for c in pairs.columns if c != template]
+    coders = [batch_errors(held[f"level{r}"], seed, r) for r in (1, 2)]
+
+    def cut(ends: pa.Array, idx: pa.Array, sizes: pa.Array, r: int) -> pa.Array:
+        out = []
+        for ref, i, n in zip(ends.to_pylist(), idx.to_pylist(), sizes.to_pylist(), strict=True):
+            key = f"{i}:{r}"
+            found = read_indels(seed, read_length, ins, dels, 0, key)
+            # A read that would run over the template draws again the second way.
+            if read_length - (len(found[1]) - len(found[0])) > n:
+                found = read_indels(seed, read_length, ins, dels, 1, key)
+            ref = ref[: max(read_length - len(found[1]) + len(found[0]), 0)]
+            out.append(with_indels(ref, *found)[:read_length] if found[0] or found[1] else ref)
+        return pa.array(out, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            idx = b.column("idx")
+            got = [coders[r - 1](cut(b.column(f"__end{r}"), idx, b.column("__n"), r), idx) for r in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), got[0][0], got[1][0], got[0][1], got[1][1]], [*kept, "seq1", "seq2", "qual1", "qual2"])
+
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", seq1 string, seq2 string, qual1 array<int>, qual2 array<int>"
+    whole = F.col(template)
+    return pairs.select(*kept, forward_part(whole, most).alias("__end1"), reverse_part(whole, most).alias("__end2"), F.length(whole).alias("__n")).mapInArrow(run, schema)
 
 
 def named(pairs: DataFrame, prefix: str) -> DataFrame:

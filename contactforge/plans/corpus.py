@@ -29,13 +29,20 @@ def dna(text):
     return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, BASES)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Much work on few input splits is dealt out first; tables of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def genome(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("seg_id"), F.col("source").alias("cell"), F.col("lang").alias("repl"), dna(F.col("text")).alias("seq")).where("length(seq) > 0")
+    docs = dealt(table(spark, d, "documents").where(F.col("text").rlike("[A-Za-z]")).select("doc_id", "source", "lang", "text"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("seg_id"), F.col("source").alias("cell"), F.col("lang").alias("repl"), dna(F.col("text")).alias("seq"))
 
 
 def segments(spark: SparkSession, d: str, linear=None) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.length(F.regexp_replace("text", "[^A-Za-z]", "")) > 0)
+    """Rows without letters fall out when they meet the sequences."""
+    docs = table(spark, d, "documents")
     n = F.substring("source", 4, 9).cast("int")
     copies = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 2.0).when(F.col("lang") == "fr", 3.0).otherwise(4.0)
     shape = F.lit(False) if linear is None else linear

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ContactError, EmptyCommunity, NoCutSites
@@ -19,6 +19,7 @@ from ..functions.draws import NORMAL_BOUND, below, normal, unit
 from ..functions.sequence import reverse_complement
 from ..operators import digest, reads, slices, weights
 from ..operators.enzymes import Enzyme, enzyme, junctions
+from ..storage import removed, written
 
 METHODS = {"hic": 0.5, "meta3c": 0.02, "dnase": 0.5}
 
@@ -78,21 +79,20 @@ class Settings:
 
 @dataclass
 class Community:
-    """segments: seg_id, cell, repl, length, linear, copy_milli, anti_rate, trans_rate, n_repl, n_sites and, with
-    enzymes, the derived tables."""
+    """segments (seg_id, cell, repl, length, linear, copy_milli, anti_rate, trans_rate, n_repl, n_sites, weights), the
+    tiles of their sequences, cut sites and gaps: written once, as every pair looks things up in them several times."""
 
     segments: DataFrame
-    sequences: DataFrame
+    tiles: DataFrame
     enzymes: list[Enzyme]
     sites: DataFrame | None = None
     gaps: DataFrame | None = None
+    placed: dict[str, DataFrame] = field(default_factory=dict)
 
     def release(self) -> None:
-        """Give up the kept tables. They are kept once, as every pair looks things up in them several times; a lost
-        executor's share is computed again."""
-        for kept in (self.segments, self.sites, self.gaps):
-            if kept is not None:
-                kept.unpersist()
+        """Delete the written tables."""
+        for kept in {id(x): x for x in (self.segments, self.tiles, self.sites, self.gaps, *self.placed.values()) if x is not None}.values():
+            removed(kept)
 
 
 def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Community:
@@ -105,21 +105,27 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
     for name, default in (("anti_rate", settings.anti_rate), ("trans_rate", settings.trans_rate), ("abundance", 1.0)):
         own = F.col(name) if name in segments.columns else F.lit(None)
         segments = segments.withColumn(name, F.coalesce(own.cast("double"), F.lit(float(default))))
-    base = segments.join(sequences.select("seg_id", F.length("seq").alias("length")), "seg_id").where("length > 0")
+    overlap = max([settings.longest_insert, *(len(e.site) - 1 for e in enzymes)])
+    # One long sequence is one input row: its tiles are dealt out before the work on them begins.
+    spread = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(digest.tiles(segments.select("seg_id", "linear").join(sequences, "seg_id"), overlap).repartition(spread, "seg_id", "tile"))
+    base = segments.drop("length").join(cut.where("tile = 0").select("seg_id", "length"), "seg_id")
     base = base.withColumn("copy_milli", F.round(F.col("copy_number") * 1000).cast("long")).withColumn("anti_rate", F.when(F.col("linear"), 0.0).otherwise(F.col("anti_rate")))
     if settings.documented:
         base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
     sites = gap = None
     if enzymes:
-        sites = digest.cut_sites(base.select("seg_id", "linear").join(sequences, "seg_id"), enzymes).persist()
+        sites = written(digest.cut_sites(None, enzymes, cut=cut))
         base = base.join(digest.site_counts(sites), "seg_id")
-        gap = digest.gaps(base, sites).persist()
     else:
         base = base.withColumn("n_sites", F.col("length").cast("long"))
-    n_repl = base.groupBy("cell").agg(F.countDistinct("repl").alias("n_repl"))
-    base = base.join(n_repl, "cell")
-    base = base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites"))
-    return Community(base.persist(), sequences, enzymes, sites, gap)
+    base = base.withColumn("n_repl", F.size(F.collect_set("repl").over(Window.partitionBy("cell"))))
+    base = written(base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
+    if enzymes:
+        gap = written(digest.gaps(base, sites))
+    placed = {"extent": written(weights.running(base, "w_extent"))}
+    placed["ends"] = written(weights.running(base, "w_sites")) if enzymes else placed["extent"]
+    return Community(base, cut, enzymes, sites, gap, placed)
 
 
 def insert_draws(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -142,9 +148,7 @@ class _Draws:
     def __init__(self, community: Community, s: Settings):
         self.c, self.s = community, s
         by_sites = s.method != "dnase"
-        weight = "w_sites" if by_sites else "w_extent"
-        self.placed = {"extent": weights.running(community.segments, "w_extent").persist()}
-        self.placed["ends"] = weights.running(community.segments, weight).persist() if by_sites else self.placed["extent"]
+        self.placed = community.placed
         self.total, self.buckets = {}, {}
         for kind, table in self.placed.items():
             if kind == "ends" and not by_sites:
@@ -252,9 +256,7 @@ def draw_pairs(numbers: DataFrame, community: Community, s: Settings) -> DataFra
 
 def templates(pairs: DataFrame, community: Community, s: Settings) -> DataFrame:
     """Adds template and desc."""
-    overlap = s.longest_insert
-    shape = community.segments.select("seg_id", "linear")
-    cut = digest.tiles(shape.join(community.sequences, "seg_id"), overlap)
+    cut = community.tiles
     one = pairs.withColumnsRenamed({"length1": "seg_id1_len", "linear1": "seg_id1_lin", "length2": "seg_id2_len", "linear2": "seg_id2_lin"})
     lig = F.col("mode") == "3C"
     one = one.withColumn("__start", F.when(lig, F.col("pos1") - F.col("midpoint")).otherwise(F.col("pos1"))).withColumn("__size", F.when(lig, F.col("midpoint")).otherwise(F.col("ins_len")))

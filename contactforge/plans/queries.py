@@ -13,7 +13,7 @@ from ..operators.enzymes import CUTS, enzyme, junctions
 from ..sinks.records import records
 from ..sources import profile, quality
 from .corpus import (
-    GENOME, LINEAR_SQL, NEAREST, SEED, USABLE, dna, genome, inverse_sql, near_sql, nearest_sql, running_sql, segments, sites_sql, table, u_sql,
+    GENOME, LINEAR_SQL, NEAREST, SEED, USABLE, dealt, genome, inverse_sql, near_sql, nearest_sql, running_sql, segments, sites_sql, table, u_sql,
 )
 from .experiment import Community, Settings, draw_pairs, insert_draws, prepare, simulate, templates
 
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 def numbers(spark: SparkSession, d: str) -> DataFrame:
     """Every event is one pair number."""
-    return table(spark, d, "events").select(F.col("event_id").alias("idx"))
+    return dealt(table(spark, d, "events").select(F.col("event_id").alias("idx")), "idx")
 
 
 GATC, DUAL = ["DpnII"], ["DpnII", "HinfI"]
@@ -56,7 +56,7 @@ RAW_SQL = "SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS raw FROM
 
 
 def _raw(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("raw"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("raw"))
 
 
 @query("iupac_to_n", f"SELECT doc_id, md5(translate(raw, '{sq.AMBIGUOUS}', 'nnnnnnnnnnNNNNNNNNNN')) AS digest FROM ({RAW_SQL})")
