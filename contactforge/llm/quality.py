@@ -59,7 +59,7 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(chunks: list[list[bytes]], sizes: list[int], labels: list[float], filters: int = 24, width: int = 8, units: int = 16, epochs: int = 7, seed: int = 7) -> Network:
+def fit(chunks: list[list[bytes]], sizes: list[int], labels: list[float], filters: int = 24, width: int = 8, units: int = 16, steps: int = 440, seed: int = 7) -> Network:
     """Fit by Adam on documents given as lists of chunks and whole lengths. Without both labels, a network that says their mean."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
@@ -77,19 +77,21 @@ def fit(chunks: list[list[bytes]], sizes: list[int], labels: list[float], filter
     par["c"][0] = np.log(mean / (1 - mean))
     if len(set(labels)) < 2:
         par["w"][:] = 0
-        epochs = 0
+        steps = 0
     m1, m2, t = {k: np.zeros_like(v) for k, v in par.items()}, {k: np.zeros_like(v) for k, v in par.items()}, 0
     window = np.arange(CHUNK_STEPS)[:, None] * STRIDE + np.arange(WIDTH)
+    # As many steps for few documents as for many: small samples are seen more often.
+    epochs = -(-steps * 64 // max(len(y), 1))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(order), 64):
             docs = order[i : i + 64]
             count = np.array([len(chunks[d]) for d in docs])
             text = np.frombuffer(b"".join(c.ljust(CHUNK_BYTES, b"\0") for d in docs for c in chunks[d]), np.uint8).reshape(-1, CHUNK_BYTES)
-            steps = np.array([(len(c) - WIDTH) // STRIDE + 1 for d in docs for c in chunks[d]])
+            last = np.array([(len(c) - WIDTH) // STRIDE + 1 for d in docs for c in chunks[d]])
             tables = np.einsum("be,pef->pbf", par["e"], par["k"])
             got = sum(tables[p].take(text[:, window[:, p]], 0) for p in range(WIDTH))
-            got[np.arange(CHUNK_STEPS) >= steps[:, None]] = -1e9
+            got[np.arange(CHUNK_STEPS) >= last[:, None]] = -1e9
             at = got.argmax(1)
             top = np.take_along_axis(got, at[:, None], 1)[:, 0] + par["b"]
             held = np.maximum(top, 0)
@@ -114,7 +116,7 @@ def fit(chunks: list[list[bytes]], sizes: list[int], labels: list[float], filter
             for k, g in grad.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                par[k] = (par[k] - 0.015 * 0.65**epoch * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+                par[k] = (par[k] - 0.015 * 0.05 ** (t / steps) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
     tables = np.einsum("be,pef->pbf", par["e"], par["k"])
     pairs = np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2)
     both = [tables[2 * j][pairs[:, 0]] + tables[2 * j + 1][pairs[:, 1]] for j in range(WIDTH // 2)]
