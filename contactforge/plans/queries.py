@@ -423,7 +423,9 @@ def _slices(shape: str, linear: bool):
         at = f"(CASE WHEN {start} < 0 THEN ({start} % length + length) % length ELSE {start} END)"
         text = f"substr(seq || seq, ({at} + 1)::INT, {size}::INT)"
 
-    @query(f"subseq_{shape}", f"{PROBE}, q AS (SELECT p.*, s.seq FROM probe p JOIN segs s USING (seg_id)) SELECT idx, seg_id, CASE WHEN {at} > length THEN '' ELSE {text} END AS part FROM q WHERE {start} <= length")
+    probe = PROBE.replace(sites_sql(GATC), sites_sql(GATC, str(linear).upper()))
+
+    @query(f"subseq_{shape}", f"{probe}, q AS (SELECT p.*, s.seq FROM probe p JOIN segs s USING (seg_id)) SELECT idx, seg_id, CASE WHEN {at} > length THEN '' ELSE {text} END AS part FROM q WHERE {start} <= length")
     def _(spark, d):
         c, rows, *_ = _probe(spark, d, F.lit(linear))
         cut = digest.tiles(genome(spark, d).select("seg_id", "seq", F.lit(linear).alias("linear")), 150)
