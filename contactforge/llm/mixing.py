@@ -54,7 +54,7 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
 def by_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     """Join on source, null equal to null: broadcast behind the count of sources, else by shuffle (AQE splits skew)."""
     small = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
-    return rows.alias("r").join(small.withColumnRenamed("source", "its"), F.col("r.source").eqNullSafe(F.col("its"))).drop("its")
+    return rows.alias("r").join(small.withColumnRenamed("source", "__its"), F.col("r.source").eqNullSafe(F.col("__its"))).drop("__its")
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
@@ -83,7 +83,7 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
 
 def by_source_left(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    return rows.alias("r").join(sources.withColumnRenamed("source", "its"), F.col("r.source").eqNullSafe(F.col("its")), "left").drop("its")
+    return rows.alias("r").join(sources.withColumnRenamed("source", "__its"), F.col("r.source").eqNullSafe(F.col("__its")), "left").drop("__its")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

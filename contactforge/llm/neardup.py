@@ -17,7 +17,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, shuffle_partitions, slices, stash, table
@@ -271,10 +271,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the smallest doc_id stays (one row of it), with all columns.
+    """Pipeline stage: of each group of near copies the smallest doc_id stays, with all columns.
 
-    Rows with a null doc_id are kept: nothing can name them.
+    Of rows that repeat this id one stays, the least by its columns that have an order. Rows with a null doc_id are kept:
+    nothing can name them.
     """
-    found = group(docs).select(F.col("doc_id").alias("__id"), "component_id").where("__id = component_id").select("__id").distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("__id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    found = group(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+    found = stash(found.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__wins"), F.count("*").alias("__rows")).where("__wins"))
+    on = docs["doc_id"] == F.col("__id")
+    once = docs.join(found.where("__rows = 1"), on, "left_semi")
+    again = docs.join(found.where("__rows > 1"), on, "left_semi")
+    ordered = [f.name for f in docs.schema if f.name != "doc_id" and not any(t in f.dataType.simpleString() for t in ("map<", "variant", "void"))]
+    least = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in ordered))
+    one = again.groupBy("doc_id").agg(*(F.min_by(F.col(f"`{c}`"), least).alias(c) for c in docs.columns if c != "doc_id")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return once.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
