@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import binomial_tails
-from ..functions.draws import below, digest, nucleotide, part, unit
+from ..functions.draws import below, digest, nucleotide, part
 from ..functions.sequence import apply_indels, reverse_complement
 
 SIMPLE_QUALITY = 40
@@ -261,6 +261,18 @@ def named(pairs: DataFrame, prefix: str) -> DataFrame:
     return out
 
 
+def read_id(ref: Column, n: Column) -> Column:
+    return F.concat_ws("-", ref, n.cast("string"))
+
+
+def part_description(reverse: Column, start: Column, size: Column, length: Column, linear: Column) -> Column:
+    """``strand:start:end`` of a part, counted from 1; a circular part that wraps ends where it stops again."""
+    at = F.when(start < 0, F.when(linear, F.lit(0)).otherwise(F.pmod(start, length))).otherwise(start)
+    stop = at + size
+    end = F.when(stop <= length, stop).when(linear, length).otherwise(stop - length)
+    return F.format_string("%d:%d:%d", reverse.cast("int"), at + 1, end)
+
+
 def summary(pairs: DataFrame) -> DataFrame:
     """One row: WGS and ligation pairs, inserts raised to the minimum and cut to the maximum."""
     return pairs.agg(
@@ -269,4 +281,4 @@ def summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["base_errors", "error_reads", "indel_draws", "join_parts", "named", "simple_reads", "summary", "unit"]
+__all__ = ["base_errors", "error_reads", "indel_draws", "join_parts", "named", "part_description", "read_id", "simple_reads", "summary"]

@@ -7,6 +7,7 @@ two parts of the template are equi-joins on segment and rank, or segment and til
 """
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from math import ceil
 
@@ -21,6 +22,7 @@ from ..operators import digest, reads, slices, weights
 from ..operators.enzymes import Enzyme, enzyme, junctions
 from ..storage import removed, written
 
+log = logging.getLogger(__name__)
 METHODS = {"hic": 0.5, "meta3c": 0.02, "dnase": 0.5}
 
 
@@ -68,6 +70,12 @@ class Settings:
             raise ContactError("the largest insert must be above the mean")
         if self.read_length < 1:
             raise ContactError("reads need a positive length")
+        if self.insert_mean < self.insert_sd:
+            log.warning("insert mean %s is below its deviation %s", self.insert_mean, self.insert_sd)
+        if self.insert_mean - self.insert_sd < self.insert_min:
+            log.warning("many inserts will be raised to the minimum %s", self.insert_min)
+        if self.method == "dnase" and self.bridge is None:
+            log.warning("dnase without a bridge: parts are joined plainly")
         self.efficiency = self.efficiency or METHODS[self.method]
 
     @property
@@ -80,19 +88,39 @@ class Settings:
 @dataclass
 class Community:
     """segments (seg_id, cell, repl, length, linear, copy_milli, anti_rate, trans_rate, n_repl, n_sites, weights), the
-    tiles of their sequences, cut sites and gaps: written once, as every pair looks things up in them several times."""
+    tiles of their sequences and cut sites; gaps and running weights are made when first asked for. All are written
+    once, as every pair looks things up in them several times."""
 
     segments: DataFrame
     tiles: DataFrame
     enzymes: list[Enzyme]
     sites: DataFrame | None = None
-    gaps: DataFrame | None = None
-    placed: dict[str, DataFrame] = field(default_factory=dict)
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = written(make())
+        return self.kept[name]
+
+    @property
+    def gaps(self) -> DataFrame | None:
+        return None if self.sites is None else self._once("gaps", lambda: digest.gaps(self.segments, self.sites))
+
+    def placed(self, kind: str) -> DataFrame:
+        """Running weights by ``extent``, or of what ``ends`` are drawn by: sites, or extent without enzymes."""
+        kind = "extent" if self.sites is None else kind
+        return self._once(kind, lambda: weights.running(self.segments, "w_extent" if kind == "extent" else "w_sites"))
+
+    def report(self) -> DataFrame:
+        """One row a segment: its place in the community, length, sites, density, and share of both weights."""
+        share = lambda w: (F.col(w) / F.sum(w).over(Window.partitionBy())).alias(f"share_{w[2:]}")
+        return self.segments.select("cell", "repl", "seg_id", "length", "n_sites", (F.col("n_sites") / F.col("length")).alias("density"), share("w_extent"), share("w_sites"))
 
     def release(self) -> None:
         """Delete the written tables."""
-        for kept in {id(x): x for x in (self.segments, self.tiles, self.sites, self.gaps, *self.placed.values()) if x is not None}.values():
-            removed(kept)
+        for table in (self.segments, self.tiles, self.sites, *self.kept.values()):
+            if table is not None:
+                removed(table)
 
 
 def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Community:
@@ -113,7 +141,7 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
     base = base.withColumn("copy_milli", F.round(F.col("copy_number") * 1000).cast("long")).withColumn("anti_rate", F.when(F.col("linear"), 0.0).otherwise(F.col("anti_rate")))
     if settings.documented:
         base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
-    sites = gap = None
+    sites = None
     if enzymes:
         sites = written(digest.cut_sites(None, enzymes, cut=cut))
         base = base.join(digest.site_counts(sites), "seg_id")
@@ -121,11 +149,7 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
         base = base.withColumn("n_sites", F.col("length").cast("long"))
     base = base.withColumn("n_repl", F.size(F.collect_set("repl").over(Window.partitionBy("cell"))))
     base = written(base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
-    if enzymes:
-        gap = written(digest.gaps(base, sites))
-    placed = {"extent": written(weights.running(base, "w_extent"))}
-    placed["ends"] = written(weights.running(base, "w_sites")) if enzymes else placed["extent"]
-    return Community(base, cut, enzymes, sites, gap, placed)
+    return Community(base, cut, enzymes, sites)
 
 
 def insert_draws(pairs: DataFrame, s: Settings) -> DataFrame:
@@ -147,16 +171,12 @@ class _Draws:
 
     def __init__(self, community: Community, s: Settings):
         self.c, self.s = community, s
-        by_sites = s.method != "dnase"
-        self.placed = community.placed
         self.total, self.buckets = {}, {}
-        for kind, table in self.placed.items():
-            if kind == "ends" and not by_sites:
-                self.total[kind], self.buckets[kind] = self.total["extent"], self.buckets["extent"]
-                continue
+        for kind in ("extent", "ends"):
+            table = community.placed(kind)
             n, total = table.agg(F.count("*"), F.max("total")).first()  # two numbers
             if not n or not total:
-                raise NoCutSites("no segment has a cut site") if by_sites else EmptyCommunity("no segment has a base")
+                raise EmptyCommunity("no segment has a base") if community.sites is None else NoCutSites("no segment has a cut site")
             self.total[kind], self.buckets[kind] = total, weights.bucketed(table, total, n)
 
     def u(self, name):
@@ -239,10 +259,9 @@ def draw_pairs(numbers: DataFrame, community: Community, s: Settings) -> DataFra
         rows = seen.withColumn("hit", hit).drop(*digest.GAP_COLUMNS)
         wgs = rows.where("NOT hit")
         ends = d.nearest(rows.where("hit"), "1")
-        if d.placed["ends"] is not d.placed["extent"]:
-            # The second end is drawn by sites: its stretches replace the extents'.
-            by_sites = d.placed["ends"].select(F.col("seg_id").alias("seg_id1"), *(F.col(c).alias(f"{c}1") for c in _STRETCH))
-            ends = ends.drop(*(f"{c}1" for c in _STRETCH)).join(by_sites, "seg_id1")
+        # The second end is drawn by sites: its stretches replace the extents'.
+        by_sites = community.placed("ends").select(F.col("seg_id").alias("seg_id1"), *(F.col(c).alias(f"{c}1") for c in _STRETCH))
+        ends = ends.drop(*(f"{c}1" for c in _STRETCH)).join(by_sites, "seg_id1")
     else:
         rows = rows.withColumn("hit", coin <= s.efficiency)
         wgs = d.segment(rows.where("NOT hit").withColumn("x1", weights.anywhere(unit(s.seed, "seg1", "idx"), F.lit(d.total["extent"]))), "extent", "x1", "1")

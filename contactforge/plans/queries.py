@@ -259,6 +259,12 @@ def _(spark, d):
     return weights.excluding(weights.running(_community(spark, d).segments, "w_sites"))
 
 
+@query("community_report", f"{COMMUNITY} SELECT cell, repl, seg_id, length, n_sites, round(n_sites / length, 12) AS density, round(copy_milli * length / sum(copy_milli * length) OVER (), 12) AS share_extent, round(copy_milli * n_sites / sum(copy_milli * n_sites) OVER (), 12) AS share_sites FROM usable")
+def _(spark, d):
+    r = _community(spark, d).report()
+    return r.withColumns({c: F.round(c, 12) for c in ("density", "share_extent", "share_sites")})
+
+
 # --- draws and lookups -----------------------------------------------------------------------------------------------
 
 @query("draw_uniform", f"SELECT event_id AS idx, {u_sql('x', 'event_id')} AS u, floor({u_sql('x', 'event_id')} * 1000)::BIGINT AS n, substr('ACGT', floor({u_sql('x', 'event_id')} * 4)::INT + 1, 1) AS base FROM events")
@@ -276,7 +282,7 @@ def _(spark, d):
 def _draw_segment(name: str, kind: str, weight: str, sql_weight: str):
     @query(name, f"{COMMUNITY}, {running_sql(sql_weight, 'r')}, x AS (SELECT event_id AS idx, floor({u_sql('seg', 'event_id')} * (SELECT max(total) FROM r))::BIGINT AS x FROM events) SELECT idx, x, seg_id FROM x JOIN r ON x >= lo AND x < hi")
     def _(spark, d):
-        placed = weights.running(_community(spark, d).segments, weight)
+        placed = _community(spark, d).placed(kind)
         n, total = placed.agg(F.count("*"), F.max("total")).first()
         buckets, width = weights.bucketed(placed, total, n)
         x = numbers(spark, d).withColumn("x", weights.anywhere(draws.unit(SEED, "seg", "idx"), F.lit(total)))
@@ -284,7 +290,7 @@ def _draw_segment(name: str, kind: str, weight: str, sql_weight: str):
 
 
 _draw_segment("draw_segment_by_extent", "extent", "w_extent", "copy_milli * length")
-_draw_segment("draw_segment_by_sites", "sites", "w_sites", "copy_milli * n_sites")
+_draw_segment("draw_segment_by_sites", "ends", "w_sites", "copy_milli * n_sites")
 
 #: A segment and a position on it for every event: a probe of the lookups.
 PROBE = f"""{COMMUNITY}, {running_sql('copy_milli * n_sites', 'r')}, x AS (SELECT event_id AS idx, floor({u_sql('seg', 'event_id')} * (SELECT max(total) FROM r))::BIGINT AS x FROM events),
@@ -293,7 +299,7 @@ probe AS (SELECT idx, seg_id, cell, repl, length, n_sites, n_repl, repl_lo, repl
 
 def _probe(spark, d, linear=None):
     c = _community(spark, d, linear=linear)
-    placed = weights.running(c.segments, "w_sites")
+    placed = c.placed("ends")
     n, total = placed.agg(F.count("*"), F.max("total")).first()
     buckets, width = weights.bucketed(placed, total, n)
     x = numbers(spark, d).withColumn("x", weights.anywhere(draws.unit(SEED, "seg", "idx"), F.lit(total)))
@@ -438,6 +444,15 @@ _slices("linear", True)
 _slices("circular", False)
 
 
+@query("part_descriptions", f"""WITH {GENOME}, q AS (SELECT seg_id, length(seq) AS n, repl = 'de' AS linear, (seg_id::BIGINT * 31 % (length(seq) + 40) - 20) AS start, 1 + seg_id::BIGINT % 150 AS size FROM genome),
+a AS (SELECT *, CASE WHEN start < 0 THEN CASE WHEN linear THEN 0 ELSE (start % n + n) % n END ELSE start END AS place FROM q)
+SELECT seg_id, (CASE WHEN size % 2 = 0 THEN '1' ELSE '0' END) || ':' || (place + 1) || ':' || CASE WHEN place + size <= n THEN place + size WHEN linear THEN n ELSE place + size - n END AS part, seg_id || '-' || size AS read_id FROM a""")
+def _(spark, d):
+    g = genome(spark, d).select("seg_id", "repl", F.length("seq").cast("long").alias("n"), F.col("seg_id").cast("long").alias("k"))
+    start, size = F.col("k") * 31 % (F.col("n") + 40) - 20, 1 + F.col("k") % 150
+    return g.select("seg_id", reads.part_description(size % 2 == 0, start, size, F.col("n"), F.col("repl") == "de").alias("part"), reads.read_id(F.col("seg_id"), size).alias("read_id"))
+
+
 def _joined(name: str, method: str, sql: str, bridge: str | None = None):
     @query(name, f"WITH {GENOME} SELECT seg_id, md5({sql}) AS digest FROM genome")
     def _(spark, d):

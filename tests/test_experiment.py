@@ -162,3 +162,20 @@ def test_command_line(spark, tmp_path):
     lines = [r[0] for r in spark.read.text(out).collect()]
     assert len(lines) == 400 and sum(x.startswith("@SIM:") for x in lines) >= 100
     assert cli.main(["-m", "dnase", "-e", "DpnII", "-n", "5", "-l", "30", str(tmp_path / "g.fa"), out], spark) == 1
+
+
+def test_stream_equals_batch(spark, tables, tmp_path):
+    from contactforge.streaming.experiment import simulate_stream
+
+    seg, seq, _ = tables
+    s = Settings(enzymes=["DpnII"], seed=4, read_length=40, insert_mean=150, insert_sd=20)
+    c = prepare(seg, seq, s)
+    numbers = spark.range(1, 101).withColumnRenamed("id", "idx")
+    numbers.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("idx long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = simulate_stream(stream, c, s, lambda df, epoch: df.write.mode("append").parquet(str(tmp_path / "out")), checkpoint=str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    columns = ["idx", "name1", "seq1", "name2", "seq2"]
+    got = spark.read.parquet(str(tmp_path / "out")).select(columns).orderBy("idx").collect()
+    assert got == simulate(numbers, c, s).select(columns).orderBy("idx").collect() and len(got) == 100
