@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table
+from .common import as_bytes, map_arrow, slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -293,7 +293,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
+    return map_arrow(kept, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids)
 
 
 def decode_ids(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -307,7 +307,7 @@ def decode_ids(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_co
             texts = [None if x is None else decoder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return map_arrow(coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), run, "doc_id long, text string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes that the JVM puts into one Arrow batch. Its own default of 64 MB stands several times in buffers outside the
+#: heap and again in the Python worker, for each running task.
+BATCH_BYTES = "4m"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of a few MB, unless the session names a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table
+from .common import held_out, map_arrow, slices, table
 
 BUCKET_BITS = 14
 #: The broadcast matrix has this many columns at most; more languages raise ValueError.
@@ -73,7 +73,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     found = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if found > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_arrow(rows, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, size = sorted(set(counted["lang"].to_pylist())), 1 << BUCKET_BITS
     counts = np.zeros((size + 1, len(names)))
     at = {x: i for i, x in enumerate(names)}
@@ -100,7 +100,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
     schema = "doc_id long, lang_pred string, score double" + "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def train_on(docs: DataFrame) -> Model:
@@ -124,4 +124,4 @@ def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             for b in slices(whole, at):
                 yield b.filter(pa.array([shared.value.predict(x)[0] != "und" for x in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import map_arrow, slices, table
 
 THRESHOLD = 0.8
 WORDS = re.compile(r"[^\W_]+").findall
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "license", "template", "first_word", "n_words", "dice"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, license string, template int, first_word long, n_words long, dice double")
+    return map_arrow(kept, run, "doc_id long, license string, template int, first_word long, n_words long, dice double")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

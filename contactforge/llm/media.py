@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, as_bytes, slices, table
+from .common import SLICE_BYTES, as_bytes, map_arrow, slices, table
 
 ROW = 64
 MAX_ROWS = 8191
@@ -363,7 +363,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are not read, so their names can't clash; an empty table gives an empty table.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return map_arrow(kept, _encode, "doc_id long, n_bytes long, media binary")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +398,7 @@ def read_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
     Null media gives null features; a file that isn't baseline JPEG, or is damaged, raises ValueError.
     """
     kept = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(size_col).cast("long").alias("n_bytes"), F.col(media_col).alias("media"))
-    return kept.mapInArrow(
+    return map_arrow(kept, 
         _features,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, width int, height int, feature string",

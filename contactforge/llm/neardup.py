@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, shuffle_partitions, slices, stash, table
+from .common import as_bytes, discard, map_arrow, shuffle_partitions, slices, stash, table
 
 BITS_APART = 2
 SHINGLE = 3
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer. Null and wordless texts: zero."""
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(kept, _fingerprints, "doc_id long, fp long")
 
 
 class UpperTree:
@@ -219,8 +219,8 @@ def links(distinct: DataFrame, n: int, limit: int = BITS_APART, shard: int = SHA
                 yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 200_000]), pa.array(f[index[i : i + 200_000]])], ["shard", "fp"])
 
     parts = max(shuffle_partitions(spark), min(tree.shards, 20 * shuffle_partitions(spark)))
-    sent = distinct.select("fp").mapInArrow(route, "shard long, fp long").repartition(parts, "shard").sortWithinPartitions("shard")
-    return sent.mapInArrow(_links(limit), "a long, b long")
+    sent = map_arrow(distinct.select("fp"), route, "shard long, fp long").repartition(parts, "shard").sortWithinPartitions("shard")
+    return map_arrow(sent, _links(limit), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

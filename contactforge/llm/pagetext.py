@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, table
+from .common import map_arrow, shuffle_partitions, slices, table
 
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "datalist", "dialog", "menu", "noscript", "template", "svg", "math", "canvas", "audio", "video", "object", "map", "applet", "fieldset"}
@@ -260,7 +260,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], ["part", "host", "path", "id"])
 
-    found = light.mapInArrow(edges, "part int, host string, path string, id long").groupBy("part").agg(F.min(F.struct("host", "path", "id")).alias("low"), F.max(F.struct("host", "path", "id")).alias("high"))
+    found = map_arrow(light, edges, "part int, host string, path string, id long").groupBy("part").agg(F.min(F.struct("host", "path", "id")).alias("low"), F.max(F.struct("host", "path", "id")).alias("high"))
     ends = sorted((r["part"], tuple(r["low"]), tuple(r["high"])) for r in found.collect())  # one row for each part
     # Last key of a part -> the part after it; first key -> the part before it.
     after = {low: ends[i - 1][0] for i, (_, low, _) in enumerate(ends) if i}
@@ -311,9 +311,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if out:
             yield batch(out)
 
-    parsed = kept.mapInArrow(parse, "part int, own boolean, host string, path string, id long, page_id long, url string, fixed boolean, lines array<string>, hashes array<long>")
+    parsed = map_arrow(kept, parse, "part int, own boolean, host string, path string, id long, page_id long, url string, fixed boolean, lines array<string>, hashes array<long>")
     order = parsed.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "host", "path", "id")
-    return order.mapInArrow(compare, "page_id long, url string, text string, n_chars long")
+    return map_arrow(order, compare, "page_id long, url string, text string, n_chars long")
 
 
 def op3_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, held_out, slices, table
+from .common import as_bytes, held_out, map_arrow, slices, table
 
 WIDTH = 6
 STRIDE = 2
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Net
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most max_docs rows of two numbers.
     sample = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sample.mapInArrow(_chunks, "doc_id long, label double, size long, chunks array<binary>").toArrow().sort_by("doc_id").to_pydict()
+    rows = map_arrow(sample, _chunks, "doc_id long, label double, size long, chunks array<binary>").toArrow().sort_by("doc_id").to_pydict()
     firsts = [i for i, d in enumerate(rows["doc_id"]) if not i or d != rows["doc_id"][i - 1]]
     return fit([rows["chunks"][i] for i in firsts], [rows["size"][i] for i in firsts], [float(rows["label"][i] > 0.5) for i in firsts])
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(shared.value.score, as_bytes(b.column(1))), pa.float64())], ["doc_id", "score"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, score double")
+    return map_arrow(kept, run, "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,4 +184,4 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             for b in slices(whole, at):
                 yield b.filter(pa.array([shared.value.score(x) >= THRESHOLD for x in as_bytes(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

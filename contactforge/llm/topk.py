@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import map_arrow, stash, table
 
 SCALE = 1024
 K = 10
@@ -151,8 +151,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     spark = vectors.sparkSession
     kept = usable(vectors, id_col, vector_col)
     schema = "width int, first long, ids binary, m binary"
-    blocks = kept.mapInArrow(_pack(candidates), schema)
-    asked = kept.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(_pack(queries), schema)
+    blocks = map_arrow(kept, _pack(candidates), schema)
+    asked = map_arrow(kept.where(is_query).dropDuplicates(["vec_id"]), _pack(queries), schema)
     # Blocks meet in `parts` groups; each group holds its candidate blocks and streams all query blocks past them.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     blocks = stash(blocks.withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)).cast("int")))
@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     there = blocks.select("part", "width").distinct()
     sent = asked.join(there.withColumnRenamed("width", "w"), F.col("width") == F.col("w")).drop("w")
     met = sent.join(blocks.select("part", "width", "ids", "m").hint("merge"), ["part", "width"])
-    found = met.select("width", "q_first", "q_ids", "q_m", "ids", "m").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = map_arrow(met.select("width", "q_first", "q_ids", "q_m", "ids", "m"), _search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
