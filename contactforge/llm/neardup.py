@@ -279,8 +279,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = group(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
     found = stash(found.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__wins"), F.count("*").alias("__rows")).where("__wins"))
     on = docs["doc_id"] == F.col("__id")
-    once = docs.join(found.where("__rows = 1"), on, "left_semi")
-    again = docs.join(found.where("__rows > 1"), on, "left_semi")
+    # One way at every size: both joins read the same exchange of the documents.
+    once = docs.join(found.where("__rows = 1").hint("merge"), on, "left_semi")
+    again = docs.join(found.where("__rows > 1").hint("merge"), on, "left_semi")
     ordered = [f.name for f in docs.schema if f.name != "doc_id" and not any(t in f.dataType.simpleString() for t in ("map<", "variant", "void"))]
     least = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in ordered))
     one = again.groupBy("doc_id").agg(*(F.min_by(F.col(f"`{c}`"), least).alias(c) for c in docs.columns if c != "doc_id")).select(*(F.col(f"`{c}`") for c in docs.columns))
