@@ -30,19 +30,25 @@ SAMPLE = 50_000
 LEAF = 96
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words; a shorter text is one run, a wordless one has none."""
     words = data.lower().split()  # of bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        end = (begin + sizes)[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(whole[a:b], 42) for a, b in zip(begin.tolist(), end, strict=False)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    end = (begin + sizes)[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(whole[a:b], 42) for a, b in zip(begin.tolist(), end, strict=False)], np.uint64)
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(data, shingle)
+    if not len(hashes):
+        return 0
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
@@ -271,12 +277,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the smallest doc_id stays, with all columns.
+    """Pipeline stage: of each group of near copies the smallest doc_id stays, with all columns. Near copies share 0.8 or
+    more of their five-word shingles (``wordcopies``); the values of operator 6 bind that operator only.
 
     Of rows that repeat this id one stays, the least by its columns that have an order. Rows with a null doc_id are kept:
     nothing can name them.
     """
-    found = group(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+    from . import wordcopies
+
+    found = wordcopies.group(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
     found = stash(found.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__wins"), F.count("*").alias("__rows")).where("__wins"))
     on = docs["doc_id"] == F.col("__id")
     # One way at every size: both joins read the same exchange of the documents.
