@@ -277,21 +277,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the smallest doc_id stays, with all columns. Near copies share 0.8 or
-    more of their five-word shingles (``wordcopies``); the values of operator 6 bind that operator only.
+    """Pipeline stage: of each group of near copies the row with the smallest (doc_id, MD5 of its text) stays, with all
+    columns. Near copies share 0.8 or more of their five-word shingles (``wordcopies``); the values of operator 6 bind
+    that operator only.
 
-    Of rows that repeat this id one stays, the least by its columns that have an order. Rows with a null doc_id are kept:
-    nothing can name them.
+    Rows that share an id but no text are judged apart, each by its own group. Of rows that repeat id and text one
+    stays, the least by its columns that have an order. Rows with a null doc_id never stand for rows that have one, nor
+    are they dropped for them; among themselves one of each group stays.
     """
     from . import wordcopies
 
-    found = wordcopies.group(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
-    found = stash(found.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__wins"), F.count("*").alias("__rows")).where("__wins"))
-    on = docs["doc_id"] == F.col("__id")
+    marked = docs.select(F.col("doc_id").alias("__id"), wordcopies.node().alias("__node"))
+    texts = stash(marked.groupBy("__id", "__node").agg(F.count("*").alias("__rows")))
+    no_id = F.col("__id").isNull().alias("__none")
+    first = texts.groupBy("__node", no_id).agg(F.min(F.struct("__id", "__rows")).alias("m"))
+    first = first.join(wordcopies.roots(docs).hint("merge"), F.col("__node") == F.col("node"), "left")
+    least = F.min(F.struct("m.__id", "__node", "m.__rows")).alias("m")
+    found = stash(first.groupBy(F.coalesce("root", "__node").alias("__root"), "__none").agg(least).select("m.*"))
+    key = wordcopies.node()
+    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__node"))
     # One way at every size: both joins read the same exchange of the documents.
     once = docs.join(found.where("__rows = 1").hint("merge"), on, "left_semi")
     again = docs.join(found.where("__rows > 1").hint("merge"), on, "left_semi")
     ordered = [f.name for f in docs.schema if f.name != "doc_id" and not any(t in f.dataType.simpleString() for t in ("map<", "variant", "void"))]
     least = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in ordered))
-    one = again.groupBy("doc_id").agg(*(F.min_by(F.col(f"`{c}`"), least).alias(c) for c in docs.columns if c != "doc_id")).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return once.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
+    again = again.groupBy("doc_id", key.alias("__node")).agg(*(F.min_by(F.col(f"`{c}`"), least).alias(c) for c in docs.columns if c != "doc_id"))
+    return once.unionByName(again.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -83,3 +83,15 @@ def test_recall_of_buckets():
         agree = 280 - int.bit_count(int.from_bytes(p) ^ int.from_bytes(q))
         missed += not (m == n).any() or agree < wordcopies.AGREE
     assert missed == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """A text without any copy stays, whatever id it repeats; null ids are compared among themselves."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "k"), (2, a, "k"), (2, b, "k"), (3, c, "z"), (3, c, "y"), (None, b, "k"), (None, b, "l"), (None, a + " more", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got = sorted(neardup.keep_one(spark, docs, "").collect(), key=str)
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id) == [(1, a), (2, b), (3, c)]
+    assert [r.other for r in got if r.doc_id == 3] == ["y"]
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted([a + " more", b])
+    assert neardup.keep_one(spark, docs.limit(0), "").count() == 0
