@@ -113,8 +113,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a language stay, with all columns; ``und`` goes."""
+    """Pipeline stage: only texts without any letter (null and empty ones too) go; all others stay, with all columns.
+
+    The classifier's language and score reject nothing: the corpus is multilingual and names no language to drop. Where
+    no row has a language to learn from, every document stays.
+    """
     model = train_on(docs)
+    if not model.languages:
+        return docs
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
