@@ -1,19 +1,19 @@
 """Licence scans: Dice coefficient over word bigrams between passages and licence templates.
 
-A text becomes lower-case words. For each template of m words, the passages are all runs of m words of the text (the
-whole text if it is shorter); a passage matches if the Dice coefficient of its bigrams and the template's, both with
-repetitions, reaches the threshold. Of matches that overlap (of one template or several) the best stays, then the
-longest, the template listed first, the first in the text.
-
-Bounds. Dice is at most 2 min(a, b) / (a + b) for a and b bigrams, so texts too short for a template skip it. In a
-passage the count of word pairs that occur in the template at all bounds the common bigrams from above; running sums
-give that count for every passage at once and only the passages that pass are counted exactly.
+A text becomes lower-case words. Passages are all runs of words of the text; a passage matches a template if the Dice
+coefficient of its bigrams and the template's, both with repetitions, reaches the threshold. Of matches that overlap
+(of one template or several) the best stays, then the longest, the template listed first, the first in the text.
+
+Bounds. Dice is at most 2 min(a, b) / (a + b) for a and b bigrams, so a passage has 2/3 to 3/2 of the template's bigrams
+at a threshold of 0.8. Words at either end whose bigram isn't the template's only lower Dice, so passages start and end
+at such bigrams (hits). The count of hits bounds the common bigrams from above; only starts that pass are counted exactly.
 """
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -96,24 +96,26 @@ class Templates:
         if not len(places):
             return []
         found = []
-        for t, (_, m, own) in enumerate(self.items):
-            n = min(m, len(words))
-            a, b = len(own), n - 1
-            need = self.threshold * (a + b) / 2
+        for t, (_, _, own) in enumerate(self.items):
+            a, want = len(own), Counter(own.tolist())
             hits = places[np.isin(grams[places], own)]
-            if min(a, b) < need or len(hits) < need:
+            least, most = ceil(a * self.threshold / (2 - self.threshold) - 1e-9), floor(a * (2 - self.threshold) / self.threshold + 1e-9)
+            if len(hits) < least:
                 continue
-            # A passage that starts at s holds the bigrams s to s + n - 2; only passages near a hit can match.
-            last = len(words) - n
-            starts = np.unique(np.clip(np.concatenate([hits - d for d in range(n - 1)]), 0, last)) if len(hits) * n < last else np.arange(last + 1)
-            bound = np.searchsorted(hits, starts + n - 1) - np.searchsorted(hits, starts)
-            starts = starts[bound >= need]
-            want = Counter(own.tolist())
-            for s in starts.tolist():
-                i, j = np.searchsorted(hits, [s, s + n - 1])
-                common = sum(min(c, want[g]) for g, c in Counter(grams[hits[i:j]].tolist()).items())
-                if common >= need:
-                    found.append((-2 * common / (a + b), -n, t, s))
+            # The best passages start and end at hits; only starts with enough hits within the longest passage can match.
+            starts = np.flatnonzero(hits[least - 1 :] - hits[: len(hits) - least + 1] < most)
+            ends = np.searchsorted(hits, hits[starts] + most)
+            for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+                b = hits[i:j] - hits[i] + 1
+                reach = np.flatnonzero(np.arange(1, j - i + 1) >= self.threshold * (a + b) / 2)
+                if not len(reach):
+                    continue
+                seen, common = Counter(), 0
+                for size, g in zip(b[: reach[-1] + 1].tolist(), grams[hits[i : i + reach[-1] + 1]].tolist(), strict=True):
+                    seen[g] += 1
+                    common += seen[g] <= want[g]
+                    if common >= self.threshold * (a + size) / 2:
+                        found.append((-2 * common / (a + size), -size - 1, t, int(hits[i])))
         out, free = [], np.ones(len(words), bool)
         for d, n, t, s in sorted(found):
             if free[s : s - n].all():
