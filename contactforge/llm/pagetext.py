@@ -1,25 +1,29 @@
-"""Main text of web pages: page structure, and differences between pages with neighbouring URLs.
+"""Main text of web pages: differences between pages with neighbouring URLs, and page structure.
 
-Each page becomes a list of text lines, one for each block, that remember whether they stand in a part that is never
-article (navigation, page header and footer, sidebars, forms, adverts, notices, comments, scripts) and whether they
-stand in the page's own article container. Pages of a host are put in the order of their URL path; a page is paired
-with the neighbour in that order whose path shares the longer beginning. Their lines are aligned by longest common
-subsequence and the shared ones are deleted as template. Lines inside an ``<article>`` or ``<main>`` are the
-article by the author's own mark-up and stay even if another page repeats them (articles quote, and pages are
-copied); where a page has no such container, sharing decides. A pair that shares most of its text is a copy, not
-a template, and deletes nothing.
+Each page becomes a list of text lines, one for each block. Pages of a host are put in the order of their URL path; a
+page is paired with the neighbour in that order whose path shares the longer beginning and whose lines aren't all the
+same (a copy shows nothing about the template). The two pages' lines, in whatever part of the page they stand, are
+aligned by longest common subsequence. What is aligned is deleted as template, with these exceptions by mark-up:
+
+- A page's own article container (``<article>``, ``<main>`` and the like) breaks the tie about lines inside it: shared
+  lines there are the author's text (articles repeat passages, and pages are copied), and stay. In a part whose class
+  or id *may* name something else (``related``, ``legal``, ``search`` ...) the neighbour decides even there.
+- Elements that are never article text (scripts, navigation, forms, asides, footers), and parts whose class or id says
+  plainly what they are (``ads``, ``comments``, ``cookie-banner``), go without a neighbour, as does what stands outside the
+  container of a page that has one: adverts and reader comments differ from page to page.
 
 The order over all pages is cut into parts at sampled keys. A first, light pass finds each part's first and last key,
-so that these rows can also be sent to the part before and after: results don't depend on the cuts, and a host
-of any size is spread over many tasks.
+so that these rows can also be sent to the part before and after, and a host of any size is spread over many tasks.
 """
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +40,22 @@ BLOCK = {
 }
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Parts of class names and ids that mark what isn't article.
+#: Words of class names and ids that say what isn't article, and those that may be part of an article all the same.
 MARKS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promoted", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
-    "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "widget", "widgets", "footer", "masthead", "topbar", "toolbar",
-    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations",
-    "pagination", "pager", "search", "login", "copyright", "legal", "disclaimer", "skip",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promoted", "promotion",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login",
+    "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "footer", "masthead", "topbar", "toolbar",
+    "comment", "comments", "commentlist", "disqus", "share", "sharing", "social", "pagination", "pager",
+}
+DOUBTFUL = {
+    "banner", "notice", "notices", "notification", "alert", "overlay", "widget", "widgets", "reply", "replies", "respond", "discussion", "related", "recommended",
+    "recommendations", "search", "copyright", "legal", "disclaimer", "skip", "header",
+}
+#: Words that only say where or how a part stands.
+PLACE = {
+    "area", "bar", "bars", "block", "blocks", "body", "bottom", "box", "boxes", "btn", "button", "buttons", "col", "column", "container", "content", "desktop", "first", "form", "global", "group",
+    "icon", "icons", "inner", "item", "items", "last", "layout", "left", "link", "links", "list", "main", "media", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "site", "slot", "sticky", "text", "title", "top", "unit", "user", "users", "wrap", "wrapper", "zone",
 }
 LAYOUT = {"has", "with", "no", "is", "show", "hide", "without"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
@@ -50,17 +63,19 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAME_PART = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
-#: A pair of pages that shares at least this part of its undecided text counts as copies.
-COPY = 0.5
+NEVER_LINE, DOUBTFUL_LINE, PLAIN_LINE = 2, 1, 0
 
 
-def _marked(name: str) -> bool:
-    parts = NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
-    return bool(parts) and parts[0] not in LAYOUT and (parts[0] in MARKS or parts[-1] in MARKS)
+def _marked(name: str) -> int:
+    """What one class name or id says: every word of it must be a mark or tell only about place, and one be a mark."""
+    parts = [p for p in NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())]
+    if not parts or parts[0] in LAYOUT or not set(parts) <= MARKS | DOUBTFUL | PLACE:
+        return PLAIN_LINE
+    return NEVER_LINE if MARKS & set(parts) else DOUBTFUL_LINE if DOUBTFUL & set(parts) else PLAIN_LINE
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """'never', 'header', 'article' or '' for an element."""
+    """'never', 'header', 'doubt', 'article' or '' for an element."""
     if tag in NEVER:
         return "never"
     kind = "header" if tag == "header" else "article" if tag in ("article", "main") else ""
@@ -70,22 +85,22 @@ def _kind(tag: str, attributes: str) -> str:
         if role in ROLES or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(re.sub(r"""(class|id|name)\s*=\s*("[^"]*"|'[^']*'|\S+)""", "", attributes)):
             return "header" if role == "banner" and not kind else "never"
         if tag not in ("html", "body", "main"):
-            names = [*found.get("class", "").split(), *found.get("id", "").split()]
-            if any(map(_marked, names)):
+            said = max(map(_marked, [*found.get("class", "").split(), *found.get("id", "").split()]), default=PLAIN_LINE)
+            if said == NEVER_LINE:
                 return "never"
-            if any(n.lower() in ("header", "site-header", "page-header") for n in names):
-                kind = kind or "header"
+            if said == DOUBTFUL_LINE:
+                kind = kind or "doubt"
         if not kind and (role == "main" or found.get("itemprop", "").lower() == "articlebody"):
             kind = "article"
     return kind
 
 
-def page_lines(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, never article, inside the article container) of every block of the page with text."""
-    lines: list[tuple[str, bool, bool]] = []
+def page_lines(html: str) -> list[tuple[str, int, bool]]:
+    """(text, NEVER_LINE, DOUBTFUL_LINE or PLAIN_LINE, inside the article container) of every block with text."""
+    lines: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, str]] = []  # open block elements, and inline ones of a kind
     held: list[str] = []
-    never = heads = inside = 0
+    open_of = dict.fromkeys(("never", "header", "doubt", "article", ""), 0)
     at = 0
     in_heading = False
 
@@ -93,15 +108,13 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
         text = " ".join(unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
-            lines.append((text, bool(never or heads and not (inside and in_heading)), bool(inside)))
-
-    def count(kind: str, by: int):
-        nonlocal never, heads, inside
-        never, heads, inside = never + by * (kind == "never"), heads + by * (kind == "header"), inside + by * (kind == "article")
+            inside = bool(open_of["article"])
+            never = open_of["never"] or open_of["header"] and not (inside and in_heading)
+            lines.append((text, NEVER_LINE if never else DOUBTFUL_LINE if open_of["doubt"] else PLAIN_LINE, inside))
 
     def close_to(depth: int):
         while len(stack) > depth:
-            count(stack.pop()[1], -1)
+            open_of[stack.pop()[1]] -= 1
 
     while True:
         found = TOKEN.search(html, at)
@@ -155,32 +168,71 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
         if tag == "p" and not kind:
             continue
         stack.append((tag, kind))
-        count(kind, 1)
+        open_of[kind] += 1
     flush()
     return lines
 
 
-def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence (Hunt and Szymanski); of several, the one found first."""
-    where: dict[int, list[int]] = {}
+#: Cells of the alignment table (lines times lines) that are kept as bits at once; larger tables are halved.
+TABLE_BITS = 1 << 23
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Bit-parallel table of the longest common subsequence, one integer for each line of ``a``: bit j is 0 where
+    line j of ``b`` lengthens what the lines before it reach."""
+    where: dict[int, int] = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    chain: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, j, chain[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chain.append(link)
-            else:
-                ends[k], chain[k] = j, link
-    out, link = [], chain[-1] if chain else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
-    return out[::-1]
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _reached(row: int, n: int) -> np.ndarray:
+    """Length of the longest common subsequence with each beginning of ``b``, the empty one first."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence. Bit-parallel rows; large tables are cut by halving ``a`` and
+    finding where the best path crosses (linear space), so tens of thousands of equal lines take seconds."""
+    out: list[tuple[int, int]] = []
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        i, k, j, m = open_.pop()
+        while i < k and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) > TABLE_BITS and k - i > 1:
+            half, row = (i + k) // 2, 0
+            for row in _rows(a[i:half], b[j:m]):
+                pass
+            ahead = _reached(row, m - j)
+            for row in _rows(a[half:k][::-1], b[j:m][::-1]):
+                pass
+            cut = j + int((ahead + _reached(row, m - j)[::-1]).argmax())
+            open_ += [(i, half, j, cut), (half, k, cut, m)]
+            continue
+        rows = list(_rows(a[i:k], b[j:m]))
+        x, y = k - i, m - j
+        while x and y:
+            if rows[x - 1] >> (y - 1) & 1:
+                y -= 1
+                continue
+            x -= 1
+            if not x or rows[x - 1] >> (y - 1) & 1:
+                y -= 1
+                out.append((i + x, j + y))
+    return sorted(out)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -198,23 +250,28 @@ def _key(page_id: int | None, url: str | None) -> tuple[str, str, int]:
     return (*split_url(url), LOWEST if page_id is None else page_id)
 
 
-def _shared(a: list[int], b: list[int]) -> list[int]:
+def _shared(a: list[int], b: list[int]) -> set[int]:
     """Indexes of ``a`` that a longest common subsequence with ``b`` aligns."""
     both = set(a) & set(b)
-    if not both:
-        return []
     mine, theirs = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
-    return [mine[i] for i, _ in common_subsequence([a[i] for i in mine], theirs)]
+    return {mine[i] for i, _ in common_subsequence([a[i] for i in mine], theirs)} if both else set()
+
+
+#: What the neighbour decides about a line: nothing (it stays), all, or nothing as it only takes part in the alignment.
+STAYS, OPEN, OUTSIDE = 0, 1, 2
+
 
+def candidates(html: str) -> tuple[list[str], list[int]]:
+    """The lines that take part in the alignment, and what the neighbour decides about each."""
+    lines = [x for x in page_lines(html) if x[1] != NEVER_LINE]
+    held = any(inside for *_, inside in lines)
+    return [x for x, *_ in lines], [OPEN if not held or inside and said == DOUBTFUL_LINE else STAYS if inside else OUTSIDE for _, said, inside in lines]
 
-def main_text(lines: list[str], fixed: bool, own: list[int], others: list[int] | None) -> str:
-    """The page's text from its lines that could be article. ``fixed``: the container's, which stay; else ``own`` are
-    their hashes, and what the nearest page's ``others`` share is deleted unless the two pages are copies."""
-    if not fixed and others:
-        cut = set(_shared(own, others))
-        if sum(len(lines[i]) for i in cut) < COPY * sum(map(len, lines)):
-            lines = [x for i, x in enumerate(lines) if i not in cut]
-    return "\n".join(lines)
+
+def main_text(lines: list[str], fate: list[int], own: list[int], others: list[int] | None) -> str:
+    """The page's text: ``own`` are the hashes of its lines, ``others`` those of the nearest page, if there is one."""
+    cut = _shared(own, others) if others and OPEN in fate else ()
+    return "\n".join(x for i, (x, f) in enumerate(zip(lines, fate, strict=True)) if f == STAYS or f == OPEN and i not in cut)
 
 
 def _nearest(path: str, before: tuple | None, after: tuple | None) -> tuple | None:
@@ -231,12 +288,21 @@ def _nearest(path: str, before: tuple | None, after: tuple | None) -> tuple | No
     return after if alike(after[0]) > alike(before[0]) else before
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            yield from b.slice(i, 500).to_pylist()
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null and empty pages have empty text. Null URLs and those without ``://`` form a host of their own; null ids come
-    first among equal paths; of rows that repeat a page each is the other's neighbour and, as its copy, deletes
-    nothing. Broken mark-up is read as far as it goes; other columns are not read; an empty table gives an empty table.
+    first among equal paths; equal paths are ties that the id breaks. Rows that repeat a page, and other pages with the
+    same lines, are copies: neighbours in a row of copies are passed over on either side, as far as the row stands in
+    one part of the order; where nothing else is left (a host of copies, or of one page), nothing is deleted. Pages of
+    any length and any number of equal lines are compared whole; broken mark-up is read as far as it goes; other
+    columns are not read; an empty table gives an empty table.
     """
     spark = pages.sparkSession
     kept = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -268,50 +334,57 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     halo = spark.sparkContext.broadcast((after, before))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "own", "host", "path", "id", "page_id", "url", "fixed", "lines", "hashes"]
-        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        names = ["part", "own", "host", "path", "id", "page_id", "url", "lines", "fate", "hashes"]
+        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64())]
         for whole in batches:
             for b in slices(whole, 2):
                 rows = []
                 for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     k = _key(page_id, url)
-                    lines = page_lines(html or "")
-                    fixed = any(inside and not never for _, never, inside in lines)
-                    open_ = [x for x, never, inside in lines if not never and (inside or not fixed)]
-                    compared = [x for x, _, inside in lines if not inside] if fixed else open_
-                    template = [xxhash.xxh64_intdigest(x.encode()) >> 1 for x in compared]
+                    lines, fate = candidates(html or "")
+                    hashes = [xxhash.xxh64_intdigest(x.encode()) >> 1 for x in lines]
                     p = bisect_right(shared.value, k)
-                    rows.append((p, True, *k, page_id, url, fixed, open_, template))
+                    # Texts of lines that can't stay aren't needed any more.
+                    rows.append((p, True, *k, page_id, url, [x if f != OUTSIDE else "" for x, f in zip(lines, fate, strict=True)], bytes(fate), hashes))
                     for to in {halo.value[0].get(k), halo.value[1].get(k)} - {None, p}:
-                        rows.append((to, False, *k, page_id, None, fixed, [], template))
+                        rows.append((to, False, *k, page_id, None, [], b"", hashes))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(row, prev, nxt):
-            near = _nearest(row["path"], *((r["path"], r) if r is not None and (r["part"], r["host"]) == (row["part"], row["host"]) else None for r in (prev, nxt)))
-            return row["page_id"], row["url"], main_text(row["lines"], row["fixed"], row["hashes"], near[1]["hashes"] if near else None)
-
         def batch(rows):
             ids, urls, texts = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-        prev = row = None
         out, size = [], 0
-        for b in batches:
-            for nxt in b.to_pylist():
-                if row is not None and row["own"]:
-                    out.append(result(row, prev, nxt))
-                    size += len(out[-1][2])
-                    if size > 4_000_000 or len(out) > 5000:
-                        yield batch(out)
-                        out, size = [], 0
-                prev, row = row, nxt
-        if row is not None and row["own"]:
-            out.append(result(row, prev, None))
+        before = None  # the last page unlike the row of copies in hand
+        run: list[tuple] = []  # (page_id, url, path) of copies; they differ in nothing else
+        like = None
+        for row in chain(_read(batches), [None]):
+            same_host = row is not None and like is not None and (row["part"], row["host"]) == (like["part"], like["host"])
+            if same_host and (row["hashes"], row["fate"] if row["own"] and like["own"] else b"") == (like["hashes"], like["fate"] if row["own"] and like["own"] else b""):
+                if row["own"]:
+                    if not like["own"]:
+                        like = row
+                    run.append((row["page_id"], row["url"], row["path"]))
+                continue
+            after = row if same_host and row["hashes"] != like["hashes"] else None
+            done: dict[int, str] = {}
+            for page_id, url, path in run:
+                near = _nearest(path, (before["path"], before) if before else None, (after["path"], after) if after else None)
+                at = -1 if near is None else id(near[1])
+                if at not in done:
+                    done[at] = main_text(like["lines"], like["fate"], like["hashes"], near[1]["hashes"] if near else None)
+                out.append((page_id, url, done[at]))
+                size += len(done[at])
+                if size > 4_000_000 or len(out) > 5000:
+                    yield batch(out)
+                    out, size = [], 0
+            before = (before if row["hashes"] == like["hashes"] else like) if same_host else None
+            like, run = row, [(row["page_id"], row["url"], row["path"])] if row is not None and row["own"] else []
         if out:
             yield batch(out)
 
-    parsed = map_arrow(kept, parse, "part int, own boolean, host string, path string, id long, page_id long, url string, fixed boolean, lines array<string>, hashes array<long>")
+    parsed = map_arrow(kept, parse, "part int, own boolean, host string, path string, id long, page_id long, url string, lines array<string>, fate binary, hashes array<long>")
     order = parsed.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "host", "path", "id")
     return map_arrow(order, compare, "page_id long, url string, text string, n_chars long")
 

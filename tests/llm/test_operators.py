@@ -319,9 +319,9 @@ def test_page_structure():
     <div class="cookie-notice">Cookies</div><main><article><h1>Head&amp;line</h1><p>One <b>two</b>
     three&nbsp;&lt;four&gt;<br>five<p>Six</p><aside>Side</aside><form>Form</form><p class="ad">Buy</p><div style="display:none">No</div></article></main>
     <section id="comments"><p>Reader</p></section><footer>&copy; F</footer></body></html>"""
-    kept = [x for x, never, inside in pagetext.page_lines(page) if inside and not never]
+    kept = [x for x, said, inside in pagetext.page_lines(page) if inside and said == pagetext.PLAIN_LINE]
     assert kept == ["Head&line", "One two three <four> five", "Six"]
-    assert pagetext.page_lines("") == [] and pagetext.page_lines("<p>a<div") == [("a", False, False)]
+    assert pagetext.page_lines("") == [] and pagetext.page_lines("<p>a<div") == [("a", pagetext.PLAIN_LINE, False)]
 
 
 def test_common_subsequence():
