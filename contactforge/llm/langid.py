@@ -23,9 +23,14 @@ MAX_LANGUAGES = 128
 _letter = regex.compile(r"\p{L}").search
 
 
+#: Characters whose n-grams are counted at once.
+BLOCK = 1 << 18
+
+
 def ngram_buckets(text: str) -> np.ndarray:
-    """Hashed character bigrams and trigrams of the lower-cased text with a blank at each end."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Hashed character bigrams and trigrams that begin in a lower-cased text; its last two characters begin none of
+    their own if they were put there to complete the others (see ``ngram_counts``)."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     # Runs of other ASCII characters tell nothing about the language.
     c = np.where((c < 128) & ~((c >= 97) & (c <= 122)), np.uint32(32), c)
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
@@ -36,20 +41,42 @@ def ngram_buckets(text: str) -> np.ndarray:
     return out >> np.uint32(32 - BUCKET_BITS)
 
 
+def ngram_counts(text: str) -> np.ndarray:
+    """How often each bucket occurs in the text with a blank at each end; long texts are walked through in blocks."""
+    text = f" {text.lower()} "
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for start in range(0, len(text), BLOCK):
+        part = text[start : start + BLOCK + 2]
+        if len(part) < 2:
+            break
+        found = ngram_buckets(part)
+        if len(part) == BLOCK + 2:
+            # The bigram of the two added characters begins in the next block.
+            found = np.delete(found, BLOCK)
+        counts += np.bincount(found, minlength=1 << BUCKET_BITS)
+    return counts
+
+
 @dataclass
 class Model:
     languages: list[str]
     log_prob: np.ndarray  # buckets x languages
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its posterior probability, and how much better it explains an n-gram than chance does (mean of
+        the log ratio to even buckets; -inf for ``und``)."""
         if text is None or not self.languages or not _letter(text):
-            return "und", 0.0
-        counts = np.bincount(ngram_buckets(text), minlength=1 << BUCKET_BITS)
+            return "und", 0.0, -np.inf
+        counts = ngram_counts(text)
         used = np.flatnonzero(counts)
         total = self.prior + counts[used] @ self.log_prob[used]
         best = int(total.argmax())  # ties: the first language in code point order
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        gain = float((total[best] - self.prior[best]) / counts[used].sum() + np.log(1 << BUCKET_BITS))
+        return self.languages[best], float(1 / np.exp(total - total[best]).sum()), gain
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(whole, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held = sums.setdefault(lang, np.zeros(size + 1, np.int64))
-                held[:size] += np.bincount(ngram_buckets(text), minlength=size)
+                held[:size] += ngram_counts(text)
                 held[size] += 1
     for lang, held in sums.items():
         used = np.flatnonzero(held)
@@ -87,8 +114,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score (posterior probability) of each whole text, then the columns named in ``keep``.
 
-    Null texts and texts without a letter: ``und`` with score 0. Ties: the smaller language. Repeated rows: repeated
-    results. Columns that aren't named are not read.
+    Null texts and texts without a letter: ``und`` with score 0. Ties: the smaller language. Texts of any length are
+    counted in blocks. Repeated rows: repeated results. Columns that aren't named are not read; an empty table gives
+    an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -108,26 +136,41 @@ def train_on(docs: DataFrame) -> Model:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; learned from rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train_on(docs)).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: only texts without any letter (null and empty ones too) go; all others stay, with all columns.
+#: The stage's rule: least mean gain over chance, and how sure a contradiction of the document's own ``lang`` must be.
+LEAST_GAIN = 0.0
+CONTRADICTS = 0.99
 
-    The classifier's language and score reject nothing: the corpus is multilingual and names no language to drop. Where
-    no row has a language to learn from, every document stays.
-    """
+
+def accepted(model: Model, text: str | None, lang: str | None) -> bool:
+    """Whether a document stays: its text has a language, that language explains the text better than chance does
+    (texts in a language that was never learned, and random letters, are explained worse), and the classifier isn't
+    sure of another language than the one that the document claims, if that is one it knows."""
+    found, score, gain = model.judge(text)
+    if found == "und" or not gain > LEAST_GAIN:
+        return False
+    return not (lang in model.languages and lang != found and score >= CONTRADICTS)
+
+
+def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents whose language the classifier rejects go (see ``accepted``); all others stay, with all
+    columns. Where no row has a language to learn from, every document stays. Null and empty texts go; repeated rows
+    are judged alike; texts of any length are counted whole; an empty table gives an empty table."""
     model = train_on(docs)
     if not model.languages:
         return docs
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
-    at = names.index("text")
+    at, claimed = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, at):
-                yield b.filter(pa.array([shared.value.predict(x)[0] != "und" for x in b.column(at).to_pylist()], pa.bool_()))
+                keep = [accepted(shared.value, x, y) for x, y in zip(b.column(at).to_pylist(), b.column(claimed).to_pylist(), strict=True)]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

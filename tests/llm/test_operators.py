@@ -124,7 +124,7 @@ def test_language(spark, awkward):
     assert langid.train(awkward.limit(0)).predict("abc") == ("und", 0.0)
     counts = Counter()
     for r in docs(spark).where("lang = 'de'").collect():
-        counts.update(langid.ngram_buckets(r.text).tolist())
+        counts.update(langid.ngram_buckets(f" {r.text.lower()} ").tolist())
     column = model.languages.index("de")
     total = sum(counts.values()) + 0.1 * (1 << langid.BUCKET_BITS)
     for b, n in counts.most_common(50):
