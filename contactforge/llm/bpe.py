@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +141,14 @@ class Transducer:
         self.moves[state << 8 | byte] = found = (to, agreed)
         return found
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece. A piece that is itself a token is that token."""
+    def encode(self, piece: bytes) -> array:
+        """Ids of one piece, 32 bits each. A piece that is itself a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return array("I", (whole,))
         if len(self.states) > self.max_states:
             self._reset()
-        out, state, moves = [], 0, self.moves
+        out, state, moves = array("I"), 0, self.moves
         for b in piece:
             found = moves.get(state << 8 | b) or self._move(state, b)
             state = found[0]
@@ -163,7 +165,7 @@ class PieceCache(dict):
         self.transducer, self.most = transducer, most
 
     def __missing__(self, piece: str) -> bytes:
-        got = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        got = np.asarray(self.transducer.encode(piece.encode()), "<u4").tobytes()
         if len(piece) > 64:
             return got
         if len(self) >= self.most:
@@ -242,14 +244,18 @@ class StreamDecoder:
         self.restart()
         return rest
 
-    def decode(self, ids) -> str:
-        """All ids at once; tokens of whole characters need no state."""
-        parts = list(map(self.whole.get, ids))
+    def more(self, ids) -> str:
+        """Text of the next ids; tokens of whole characters between characters need no state."""
+        parts = list(map(self.whole.get, ids)) if not self.state else [None]
         if None in parts:
-            self.restart()
-            parts = [*map(self.feed, ids), self.finish()]
+            parts = map(self.feed, ids)
         return "".join(parts)
 
+    def decode(self, ids) -> str:
+        """All ids at once."""
+        self.restart()
+        return self.more(ids) + self.finish()
+
 
 _coders: dict[str, tuple] = {}
 
@@ -262,15 +268,54 @@ def coder(data: bytes, pattern: str) -> tuple:
         # In rank files' own library \s is the Unicode property; here it would also take U+001C to U+001F.
         split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         machine = Transducer(read_ranks(data))
-        _coders[key] = (split.findall, PieceCache(machine), StreamDecoder(machine.bytes_of))
+        _coders[key] = (split, PieceCache(machine), StreamDecoder(machine.bytes_of))
     return _coders[key]
 
 
+#: Characters above which a text is split, encoded and decoded in blocks of pieces, and pieces in a block.
+LONG, PIECES = 1 << 18, 1 << 15
+
+
+def blocks(split, text: str) -> Iterator[list[str]]:
+    """The text's pieces, in one list or, for long texts, in bounded ones (the splitter sees the whole text)."""
+    if len(text) <= LONG:
+        yield split.findall(text)
+        return
+    found = (m[0] for m in split.finditer(text))
+    while held := list(islice(found, PIECES)):
+        yield held
+
+
+def code(split, pieces: PieceCache, decoder: StreamDecoder, raw: bytes, sink=None) -> tuple[int, str, str, bool]:
+    """(tokens, SHA-256 of the ids, SHA-256 of the decoded bytes, whether these are ``raw``) of one text. Ids and decoded
+    bytes are hashed as they come; ``sink`` gets the ids' bytes."""
+    n, at, same = 0, 0, True
+    ids, back = hashlib.sha256(), hashlib.sha256()
+    decoder.restart()
+    for held in blocks(split, raw.decode()):
+        coded = b"".join(map(pieces.__getitem__, held))
+        for start in range(0, len(coded), 1 << 20):
+            part = coded[start : start + (1 << 20)]
+            text = decoder.more(np.frombuffer(part, "<u4").tolist()).encode()
+            back.update(text)
+            same = same and raw.startswith(text, at)
+            at += len(text)
+        ids.update(coded)
+        n += len(coded) // 4
+        if sink is not None:
+            sink.append(coded)
+    rest = decoder.finish().encode()
+    back.update(rest)
+    return n, ids.hexdigest(), back.hexdigest(), same and raw.startswith(rest, at) and at + len(rest) == len(raw)
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and round_trip of each text; with ``ids`` also the ids themselves.
 
     ``vocabulary`` is a rank file's path on the driver; its bytes (a size fixed by the vocabulary) are broadcast.
-    Null and empty texts have no ids; repeated rows give repeated rows; other columns are not read.
+    Null and empty texts have no ids; repeated rows give repeated rows; long texts go through in blocks of pieces, so
+    that memory is a few times the text (and its ids, where they are asked for); ties can't occur (ranks are
+    distinct); other columns are not read; an empty table gives an empty table.
     """
     with open(vocabulary, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -279,16 +324,14 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         split, pieces, decoder = coder(data.value, pattern)
         for whole in batches:
             for b in slices(whole, 1):
-                rows = []
-                for raw in as_bytes(b.column(1)):
-                    coded = b"".join(map(pieces.__getitem__, split(raw.decode())))
-                    back = decoder.decode(np.frombuffer(coded, "<u4").tolist()).encode()
-                    rows.append((len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw, coded))
-                n, a, d, same, coded = zip(*rows, strict=True)
+                texts = as_bytes(b.column(1))
+                kept = [[] if ids else None for _ in texts]
+                n, a, d, same = zip(*(code(split, pieces, decoder, raw, k) for raw, k in zip(texts, kept, strict=True)), strict=True)
                 columns = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(same, pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if ids:
-                    columns.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in coded], pa.list_(pa.int32())))
+                    flat = np.frombuffer(b"".join(x for k in kept for x in k), "<u4").astype(np.int32, copy=False)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -297,7 +340,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
 
 def decode_ids(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text: token ids back to text by the streaming decoder; null ids give null text."""
+    """doc_id, text: token ids back to text by the streaming decoder; null ids give null text, no ids empty text."""
     with open(vocabulary, "rb") as f:
         data = coded.sparkSession.sparkContext.broadcast(f.read())
 
@@ -311,6 +354,7 @@ def decode_ids(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_co
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and decoded bytes, as digests."""
     import public_tokenizers
 
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)

@@ -153,7 +153,7 @@ def test_bpe(spark, awkward):
     for _ in range(3000):
         piece = "".join(r.choice("aeiouthnsré ñ.!1") for _ in range(r.randrange(1, 40))).encode()
         parts = theirs._encode_single_piece(piece)
-        assert machine.encode(piece) == parts
+        assert machine.encode(piece).tolist() == parts
 
 
 def test_streaming_decode():
