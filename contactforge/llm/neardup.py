@@ -12,7 +12,7 @@ spanning forest of them is passed on. Forests of all shards are joined by large-
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,13 @@ from .common import as_bytes, discard, map_arrow, shuffle_partitions, slices, st
 
 BITS_APART = 2
 SHINGLE = 3
-#: Distinct fingerprints that a shard should hold, and the sample that the upper tree is built from.
-SHARD = 4096
-SAMPLE = 50_000
+#: Distinct fingerprints that a shard should hold (16 MB of them), fewer where that leaves tasks without work; sampled
+#: fingerprints for each such shard.
+SHARD = 1 << 21
+LEAST_SHARD = 16384
+SAMPLE = 64
+#: A node is split if its larger side, with what stands on both sides, is at most this share of it.
+SHRINKS = 0.9
 LEAF = 96
 
 
@@ -70,35 +74,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class UpperTree:
-    """Vantage fingerprints and radii in arrays; children below zero are shards."""
+    """Vantage fingerprints and radii in arrays; children below zero are shards. Each sampled point stands for
+    ``weight`` fingerprints; nodes are split while they stand for more than ``shard``, so that a dense ball of
+    fingerprints is split further than an even region. A ball that no vantage splits any more stays one shard."""
 
-    def __init__(self, sample: np.ndarray, shards: int, limit: int):
+    def __init__(self, sample: np.ndarray, weight: float, shard: int, limit: int):
         self.limit, self.vantage, self.radius, self.inner, self.outer, self.shards = limit, [], [], [], [], 0
-        self.root = self._build(sample, max(0, ceil(log2(max(1, shards)))), np.random.default_rng(5))
-
-    def _build(self, points: np.ndarray, depth: int, rng) -> int:
-        if depth <= 0 or len(points) < 8:
-            self.shards += 1
-            return -self.shards
-        best = None
-        for _ in range(12):
-            v = rng.integers(0, 1 << 64, dtype=np.uint64) if best is None or rng.random() < 0.5 else points[rng.integers(len(points))]
-            d = np.bitwise_count(points ^ v)
-            for r in {int(np.quantile(d, q)) for q in (0.35, 0.5, 0.6)}:
-                inside, doubled = (d <= r).mean(), ((d > r) & (d <= r + self.limit)).mean()
-                cost = max(inside + doubled, 1 - inside) + 0.5 * doubled
-                if best is None or cost < best[0]:
-                    best = (cost, v, r, d)
-        _, v, r, d = best
-        if best[0] > 1.2 or not (d > r).any():
-            self.shards += 1
-            return -self.shards
-        node = len(self.vantage)
-        for held, x in ((self.vantage, v), (self.radius, r), (self.inner, 0), (self.outer, 0)):
-            held.append(x)
-        self.inner[node] = self._build(points[d <= r + self.limit], depth - 1, rng)
-        self.outer[node] = self._build(points[d > r], depth - 1, rng)
-        return node
+        rng = np.random.default_rng(5)
+        self.root = -1
+        open_ = [(sample, None, None)]
+        while open_:
+            points, above, side = open_.pop()
+            found = self._split(points, rng) if len(points) * weight > shard and len(points) > 2 else None
+            if found is None:
+                self.shards += 1
+                at = -self.shards
+            else:
+                v, r, d = found
+                at = len(self.vantage)
+                for held, x in ((self.vantage, v), (self.radius, r), (self.inner, 0), (self.outer, 0)):
+                    held.append(x)
+                open_ += [(points[d <= r + limit], at, self.inner), (points[d > r], at, self.outer)]
+            if above is None:
+                self.root = at
+            else:
+                side[above] = at
+
+    def _split(self, points: np.ndarray, rng) -> tuple[np.uint64, int, np.ndarray] | None:
+        """The vantage and radius that leave the smallest larger side and the fewest copies."""
+        best, seen = None, points if len(points) <= 1024 else points[rng.integers(0, len(points), 1024)]
+        for k in range(12):
+            v = rng.integers(0, 1 << 64, dtype=np.uint64) if k % 2 else points[rng.integers(len(points))]
+            # Shares at distance r or less, for every r.
+            upto = np.bincount(np.bitwise_count(seen ^ v), minlength=65 + self.limit).cumsum() / len(seen)
+            inner, outer = upto[self.limit :], 1 - upto[: len(upto) - self.limit]
+            larger = np.maximum(inner, outer)
+            cost = np.where(larger <= SHRINKS, larger + 0.5 * (inner + outer - 1), 9.0)
+            r = int(cost.argmin())
+            if cost[r] < 9 and (best is None or cost[r] < best[0]):
+                best = (cost[r], v, r)
+        return None if best is None else (*best[1:], np.bitwise_count(points ^ best[1]))
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the fingerprint, shard) of every copy: its own shard and those whose boundary it overlaps."""
@@ -209,12 +224,15 @@ def _links(limit: int):
     return run
 
 
-def links(distinct: DataFrame, n: int, limit: int = BITS_APART, shard: int = SHARD) -> DataFrame:
+def links(distinct: DataFrame, n: int, limit: int = BITS_APART, shard: int | None = None) -> DataFrame:
     """Links (a, b) of a spanning forest over all pairs of ``n`` distinct fingerprints at most ``limit`` bits apart."""
     spark = distinct.sparkSession
-    # Where to split only; which fingerprints meet doesn't depend on the sample.
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
-    tree = UpperTree(sample, ceil(n / shard), limit)
+    shard = shard or max(LEAST_SHARD, min(SHARD, ceil(n / (4 * shuffle_partitions(spark)))))
+    # Where to split only; which fingerprints meet doesn't depend on the sample. It is one fingerprint in 32768 for
+    # shards of full size, taken by hash without a sort.
+    modulus = max(1, shard // SAMPLE)
+    sample = np.sort(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(modulus)) == 0).select("fp").toArrow()["fp"].to_numpy()).view(np.uint64)
+    tree = UpperTree(sample, modulus, shard, limit)
     shared = spark.sparkContext.broadcast(tree)  # one vantage for each shard
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,7 +209,8 @@ def test_trees_find_all_pairs():
     found = {(min(a, b), max(a, b)) for x, y in neardup.close_pairs(points, leaf=20) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     apart = np.bitwise_count(points[:, None] ^ points)
     assert found == {(a, b) for a, b in zip(*np.nonzero(apart <= 2), strict=True) if a < b}
-    tree = neardup.UpperTree(points[:500], 32, 2)
+    tree = neardup.UpperTree(points[:500], len(points) / 500, 100, 2)
+    assert tree.shards > 20
     index, shard = tree.route(points)
     together = {}
     for i, s in zip(index.tolist(), shard.tolist(), strict=True):
