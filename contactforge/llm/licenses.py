@@ -1,8 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams between passages and licence templates.
 
 A text becomes lower-case words. Passages are all runs of words of the text; a passage matches a template if the Dice
-coefficient of its bigrams and the template's, both with repetitions, reaches the threshold. Of matches that overlap
-(of one template or several) the best stays, then the longest, the template listed first, the first in the text.
+coefficient of its bigrams and the template's, both with repetitions, reaches the threshold. Of one template's matches
+that overlap the best stays, then the longest, the first in the text. Of several templates' matches that overlap the
+one with the most shared bigrams stays, then the best, the longest, the template listed first: a licence whose text
+holds another's whole text is told from it.
 
 Bounds. Dice is at most 2 min(a, b) / (a + b) for a and b bigrams, so a passage has 2/3 to 3/2 of the template's bigrams
 at a threshold of 0.8. Words at either end whose bigram isn't the template's only lower Dice, so passages start and end
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from math import ceil, floor
 
 import numpy as np
@@ -21,50 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.8
-WORDS = re.compile(r"[^\W_]+").findall
-
-# Usual licence statements and short public licence texts.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
-files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
-merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
-to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
-or substantial portions of the Software."""),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
-License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
-agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
-ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
-published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
-published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
-    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
-License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
-    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
-with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
-    ("BSD", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-conditions are met:"""),
-    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-that the above copyright notice and this permission notice appear in all copies."""),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-]
+WORD = re.compile(r"[^\W_]+")
+WORDS = WORD.findall
+#: Characters above which a text's words are read in blocks, and words in a block.
+LONG, BLOCK = 1 << 18, 1 << 16
 
 
 class Templates:
@@ -82,53 +48,77 @@ class Templates:
         self.items = [(name, m, ids[:-1] * size + ids[1:]) for name, m, ids in self.items]
         self.known = np.unique(np.concatenate([g for *_, g in self.items]))
         self.size = size
+        #: Which template holds which known bigram, and the fewest and most bigrams of its passages.
+        self.holds = np.array([np.isin(self.known, g) for *_, g in self.items])
+        self.least = np.array([ceil(len(g) * threshold / (2 - threshold) - 1e-9) for *_, g in self.items])
+        self.most = np.array([floor(len(g) * (2 - threshold) / threshold + 1e-9) for *_, g in self.items])
+
+    def word_ids(self, text: str) -> np.ndarray:
+        """Number of each word, 0 for words of no template."""
+        text, get = text.lower(), self.word.get
+        if len(text) <= LONG:
+            return np.array([get(w, 0) for w in WORDS(text)], np.int32)
+        found, parts = (get(m[0], 0) for m in WORD.finditer(text)), []
+        while not parts or len(parts[-1]) == BLOCK:
+            parts.append(np.fromiter(islice(found, BLOCK), np.int32))
+        return np.concatenate(parts)
 
     def scan(self, text: str) -> list[tuple[int, int, int, float]]:
         """(template, first word, words, Dice) of the matches, by template and place."""
-        words = WORDS(text.lower())
-        if len(words) < 2:
-            return []
-        ids = np.fromiter((self.word.get(w, 0) for w in words), np.int64, len(words))
-        grams = ids[:-1] * self.size + ids[1:]
-        grams[(ids[:-1] == 0) | (ids[1:] == 0)] = 0
-        places = np.flatnonzero(grams)
-        places = places[np.isin(grams[places], self.known)]
-        if not len(places):
+        ids = self.word_ids(text)
+        if len(ids) < 2:
             return []
+        places = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+        grams = ids[places].astype(np.int64) * self.size + ids[places + 1]
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        real = self.known[at] == grams
+        places, grams, at = places[real], grams[real], at[real]
+        # Templates with too few hits in the whole text can't match.
+        seen_at = np.bincount(at, minlength=len(self.known))
         found = []
-        for t, (_, _, own) in enumerate(self.items):
+        for t in np.flatnonzero(self.holds @ seen_at >= self.least).tolist():
+            own = self.items[t][2]
             a, want = len(own), Counter(own.tolist())
-            hits = places[np.isin(grams[places], own)]
-            least, most = ceil(a * self.threshold / (2 - self.threshold) - 1e-9), floor(a * (2 - self.threshold) / self.threshold + 1e-9)
-            if len(hits) < least:
-                continue
+            mine = self.holds[t][at]
+            hits, codes = places[mine], grams[mine]
+            least, most = int(self.least[t]), int(self.most[t])
             # The best passages start and end at hits; only starts with enough hits within the longest passage can match.
             starts = np.flatnonzero(hits[least - 1 :] - hits[: len(hits) - least + 1] < most)
             ends = np.searchsorted(hits, hits[starts] + most)
+            own_found = []
             for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
                 b = hits[i:j] - hits[i] + 1
                 reach = np.flatnonzero(np.arange(1, j - i + 1) >= self.threshold * (a + b) / 2)
                 if not len(reach):
                     continue
                 seen, common = Counter(), 0
-                for size, g in zip(b[: reach[-1] + 1].tolist(), grams[hits[i : i + reach[-1] + 1]].tolist(), strict=True):
+                for size, g in zip(b[: reach[-1] + 1].tolist(), codes[i : i + reach[-1] + 1].tolist(), strict=True):
                     seen[g] += 1
                     common += seen[g] <= want[g]
                     if common >= self.threshold * (a + size) / 2:
-                        found.append((-2 * common / (a + size), -size - 1, t, int(hits[i])))
-        out, free = [], np.ones(len(words), bool)
-        for d, n, t, s in sorted(found):
-            if free[s : s - n].all():
-                free[s : s - n] = False
-                out.append((t, s, -n, -d))
-        return sorted(out)
+                        own_found.append((-2 * common / (a + size), -size - 1, int(hits[i]), common))
+            free = np.ones(len(ids) if own_found else 0, bool)
+            found += [(-common, d, n, t, s) for d, n, s, common in _apart(sorted(own_found), free, 1, 2)]
+        if not found:
+            return []
+        return sorted((t, s, -n, -d) for _, d, n, t, s in _apart(sorted(found), np.ones(len(ids), bool), 2, 4))
+
+
+def _apart(matches: list[tuple], free: np.ndarray, length: int, start: int) -> Iterator[tuple]:
+    """The matches, in their order, that overlap none before them; lengths are negative."""
+    for m in matches:
+        own = free[m[start] : m[start] - m[length]]
+        if own.all():
+            own[:] = False
+            yield m
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a match: doc_id, license, template (its number), first_word, n_words, dice.
 
-    Null and empty texts and texts of one word have no matches; repeated rows give repeated matches; other
-    columns are not read.
+    Null and empty texts and texts of one word have no matches; null ids stay null; repeated rows give repeated
+    matches; ties between passages as above; texts of any length are scanned whole, their words read in blocks; other columns are not read; an empty
+    table gives an empty table.
     """
     held = Templates(templates, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(held)
@@ -147,4 +137,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence passage of every document."""
     return scan(table(spark, sf_dir, "documents"))
