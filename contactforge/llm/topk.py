@@ -17,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash, table
+from .common import map_arrow, shuffle_partitions, stash, table
 
 SCALE = 1024
 K = 10
-CANDIDATES = 8192
-QUERIES = 512
+#: Bytes of a block of candidates and of queries (components as 64-bit integers).
+CANDIDATE_BYTES, QUERY_BYTES = 4 << 20, 1 << 18
 STEP = 16
 LIMIT = 1 << 63
 
 
 def _pack(size: int):
-    """Batches of (id, vector) into blocks: ids, and components as 64-bit integers, dimension by dimension."""
+    """Batches of (id, vector) into blocks of ``size`` bytes (one vector at least): ids, and components as 64-bit
+    integers, dimension by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -51,7 +52,7 @@ def _pack(size: int):
                 ids, rows = held.setdefault(e - s, ([], []))
                 ids.append(i)
                 rows.append(x.astype(np.int64))
-                if len(ids) >= size:
+                if len(ids) * 8 * max(e - s, 1) >= size:
                     yield block(e - s)
         for width in list(held):
             yield block(width)
@@ -89,6 +90,9 @@ class Best:
         rest_q = [np.sqrt((q[c:].astype(np.float64) ** 2).sum(0)) for c in cuts]
         rest_m = [np.sqrt((m[c:].astype(np.float64) ** 2).sum(0)) for c in cuts]
         bound = np.where(self.count >= k, self.scores[:, -1].astype(np.float64), -np.inf)
+        if (self.count < k).any():
+            # The block's own candidates of largest mass along the query give a first bound: their whole scores.
+            bound = np.maximum(bound, self._first_bound(q, m, ids))
         half = min(2, len(cuts) - 1)
         part = q[: cuts[half]].T @ m[: cuts[half]]
         # One part in 2**40 covers the rounding of the roots.
@@ -104,6 +108,19 @@ class Best:
             qi, ci, part = qi[stay], ci[stay], part[stay]
         self._merge(qi, part.astype(np.int64), ids[ci])
 
+    def _first_bound(self, q: np.ndarray, m: np.ndarray, ids: np.ndarray, several: int = 4) -> np.ndarray:
+        """A score that k candidates of this block reach, for each query: exact scores of the ones that lead after the
+        first dimensions (the query's own row left out)."""
+        n = min(len(ids), several * self.k + 1)
+        if n <= self.k:
+            return np.full(len(self.qids), -np.inf)
+        lead = q[:STEP].T @ m[:STEP]
+        lead[self.qids[:, None] == ids] = np.iinfo(np.int64).min if lead.dtype == np.int64 else -np.inf
+        at = np.argpartition(-lead, n - 1, axis=1)[:, :n]
+        whole = np.einsum("iq,iqn->qn", q, m[:, at]).astype(np.float64)
+        whole[self.qids[:, None] == ids[at]] = -np.inf
+        return np.sort(whole, axis=1)[:, -self.k]
+
     def _merge(self, qi: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         have = np.repeat(np.arange(len(self.qids)), self.k)
         old = (self.scores != -LIMIT).ravel() | (self.ids != LIMIT - 1).ravel()
@@ -140,33 +157,38 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", candidate_bytes: int = CANDIDATE_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all other vectors of its length.
 
     Vectors that are null or hold nulls or non-finite components take no part; neither do null ids. Rows that repeat
     an id are one vector's copies: none of them is its own query's candidate, and each other query may list them
     once per row. Ties go to the smaller id; fewer candidates than k give fewer rows; components or scores beyond 62
-    bits raise ValueError; other columns are not read. A query row repeated under one id is asked once.
+    bits raise ValueError; other columns are not read. An id that several query rows bear is asked once, with the
+    smallest of their vectors in array order. Blocks are bounded in bytes, whatever the width. An empty table gives an
+    empty table.
     """
     spark = vectors.sparkSession
     kept = usable(vectors, id_col, vector_col)
     schema = "width int, first long, ids binary, m binary"
-    blocks = map_arrow(kept, _pack(candidates), schema)
-    asked = map_arrow(kept.where(is_query).dropDuplicates(["vec_id"]), _pack(queries), schema)
+    blocks = map_arrow(kept, _pack(candidate_bytes), schema)
+    asked = map_arrow(kept.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), _pack(query_bytes), schema)
     # Blocks meet in `parts` groups; each group holds its candidate blocks and streams all query blocks past them.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    parts = shuffle_partitions(spark)
     blocks = stash(blocks.withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)).cast("int")))
     asked = asked.select(F.col("width"), F.col("first").alias("q_first"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     asked = stash(asked)
     there = blocks.select("part", "width").distinct()
     sent = asked.join(there.withColumnRenamed("width", "w"), F.col("width") == F.col("w")).drop("w")
-    met = sent.join(blocks.select("part", "width", "ids", "m").hint("merge"), ["part", "width"])
+    # Dealt out by name, so that groups which are small in bytes but not in work aren't put together again.
+    sent = sent.repartition(parts, "part", "width")
+    met = sent.join(blocks.select("part", "width", "ids", "m").repartition(parts, "part", "width").hint("merge"), ["part", "width"])
     found = map_arrow(met.select("width", "q_first", "q_ids", "q_m", "ids", "m"), _search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth one."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
