@@ -1,32 +1,95 @@
-"""Written intermediates in the folder that driver and executors share."""
+"""Written intermediates in the folder that driver and executors share, and who deletes them.
+
+A table that is read lazily can't be deleted by the function that wrote it. So every written table is on the session's
+list: ``owned`` deletes what was written inside a block once its result is no longer read, ``remove_all`` what a session
+has left, and the end of the process does so by itself.
+"""
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ContactError
+
+#: Paths written by this process, in order, with the session's application.
+_held: dict[str, list[str]] = {}
+_own_folder: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a temporary folder of our own becomes its value."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local master gets a temporary folder; on a cluster that
+    is an error, as executors would write where nobody else reads."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="contactforge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ContactError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="contactforge-")
+    return _own_folder[app]
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table that is read again: short lineage, one computation, and no loss with an executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    held = _held.get(spark.sparkContext.applicationId, [])
+    if path in held:
+        held.remove(path)
+
+
 def removed(df: DataFrame) -> None:
     """Delete a written table that nothing will read again."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
+    for path in [p for p in _held.get(df.sparkSession.sparkContext.applicationId, []) if p.rsplit("/", 1)[1] in names]:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside the block at its end; results must have been read by then."""
+    held = _held.setdefault(spark.sparkContext.applicationId, [])
+    before = set(held)
+    try:
+        yield
+    finally:
+        for path in [p for p in held if p not in before]:
+            _delete(spark, path)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The result of ``make`` as one written table; all that was written on the way is deleted."""
+    held = _held.setdefault(spark.sparkContext.applicationId, [])
+    with owned(spark):
+        out = written(make())
+        kept = held.pop()
+    held.append(kept)
+    return out
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Delete every table that this process has written for the session."""
+    for path in list(_held.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession._instantiatedSession
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with suppress(Exception):  # the JVM may be gone
+            remove_all(spark)
