@@ -143,6 +143,13 @@ _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 def parse_frames(data: bytes) -> list[Frame]:
     """Markers of one or more baseline files standing one after another; ValueError for anything else."""
+    try:
+        return _parse_frames(data)
+    except IndexError as e:
+        raise ValueError("a segment ends too early") from e
+
+
+def _parse_frames(data: bytes) -> list[Frame]:
     frames, at, frame = [], 0, None
     while at < len(data):
         if data[at] != 0xFF or at + 1 >= len(data):
@@ -162,6 +169,8 @@ def parse_frames(data: bytes) -> list[Frame]:
             at -= 1
             continue
         size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > len(data):
+            raise ValueError("a segment ends too early")
         body = data[at + 2 : at + size]
         at += size
         if marker == 0xDB:
@@ -175,8 +184,12 @@ def parse_frames(data: bytes) -> list[Frame]:
                 raise ValueError("samples must have 8 bits")
             frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             for c in range(body[5]):
-                key, sampling, quant = body[6 + 3 * c : 9 + 3 * c]
+                key, sampling, quant = body[6 + 3 * c], body[7 + 3 * c], body[8 + 3 * c]
+                if not 1 <= sampling >> 4 <= 4 or not 1 <= sampling & 15 <= 4:
+                    raise ValueError("sampling factors must be from 1 to 4")
                 frame.components[key] = (sampling >> 4, sampling & 15, quant)
+            if not frame.height or not frame.width:
+                raise ValueError("an image needs a width and a height")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline files are read")
         elif marker == 0xC4:
@@ -282,6 +295,13 @@ def _decode_lanes(lanes: list[bytes], blocks: np.ndarray, slots: list[int], tabl
     return np.ascontiguousarray(out.T)
 
 
+def luma_blocks(f: Frame) -> tuple[int, int]:
+    """Rows and columns of 8x8 blocks that the image's luminance has."""
+    h, v, _ = next(iter(f.components.values()))
+    most_h, most_v = max(h for h, _, _ in f.components.values()), max(v for _, v, _ in f.components.values())
+    return -(-(-(-f.height * v // most_v)) // 8), -(-(-(-f.width * h // most_h)) // 8)
+
+
 def thumbnails(cells: list[bytes]) -> list[list[np.ndarray]]:
     """For each cell, the DC-only luminance plane of each of its files, one pixel for each 8x8 block."""
     frames = [parse_frames(c) for c in cells]
@@ -292,6 +312,8 @@ def thumbnails(cells: list[bytes]) -> list[list[np.ndarray]]:
             for parts, lanes, restart, huff in f.scans:
                 if luma is None or luma not in [c for c, _, _ in parts]:
                     continue
+                if any(c not in f.components for c, _, _ in parts):
+                    raise ValueError("a scan names a component that isn't there")
                 shape = tuple((f.components[c][0], f.components[c][1]) if len(parts) > 1 else (1, 1) for c, _, _ in parts)
                 hv = max(h for h, _, _ in f.components.values()), max(v for _, v, _ in f.components.values())
                 if len(parts) > 1:
@@ -299,6 +321,8 @@ def thumbnails(cells: list[bytes]) -> list[list[np.ndarray]]:
                 else:
                     h, v, _ = f.components[luma]
                     across, down = -(-(-(-f.width * h // hv[0])) // 8), -(-(-(-f.height * v // hv[1])) // 8)
+                if any(x not in huff for _, d, a in parts for x in (d, 16 + a)) or f.components[luma][2] not in f.quant:
+                    raise ValueError("a scan names a table that isn't there")
                 key = (shape, tuple((huff[d], huff[16 + a]) for _, d, a in parts), [c for c, _, _ in parts].index(luma))
                 groups[key].append((i, j, f, lanes, restart, across, down))
     planes: dict[tuple[int, int], np.ndarray] = {}
@@ -325,7 +349,11 @@ def thumbnails(cells: list[bytes]) -> list[list[np.ndarray]]:
             skip = sum(a * b for a, b in shape[:luma_at])
             grid = flat.reshape(down, across, len(slots))[:, :, skip : skip + h * v].reshape(down, across, v, h)
             grid = grid.transpose(0, 2, 1, 3).reshape(down * v, across * h)
-            quant = f.quant[f.components[next(iter(f.components))][2]]
+            luma = next(iter(f.components))
+            quant = f.quant[f.components[luma][2]]
+            # Blocks that only fill up the last units of several components aren't part of the image.
+            high, wide = luma_blocks(f)
+            grid = grid[:high, :wide]
             planes[i, j] = np.clip((grid * quant + 4 + 8 * 128) // 8, 0, 255).astype(np.uint8)
     return [[planes[i, j] for j in range(len(fs)) if (i, j) in planes] for i, fs in enumerate(frames)]
 
@@ -366,44 +394,63 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(kept, _encode, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(cells: list[bytes]) -> list[tuple[list[Frame], list[np.ndarray]] | str]:
+    """Frames and planes of each cell, or what is wrong with it. All cells are decoded in step; one by one only where
+    some cell is broken."""
+    try:
+        return list(zip(map(parse_frames, cells), thumbnails(cells), strict=True))
+    except ValueError as e:
+        if len(cells) == 1:
+            return [str(e)]
+        return [x for c in cells for x in _decoded([c])]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, 2, SLICE_BYTES):
             media = b.column(2).to_pylist()
-            rows = [[] for _ in range(8)]
+            rows = [[] for _ in range(9)]
             known = [i for i, m in enumerate(media) if m is not None]
-            seen = dict(zip(known, thumbnails([media[i] for i in known]), strict=True))
+            seen = dict(zip(known, _decoded([media[i] for i in known]), strict=True))
             for i, m in enumerate(media):
-                planes = seen.get(i)
-                if not planes:
-                    for r in rows:
+                found = seen.get(i)
+                if not isinstance(found, tuple) or not found[1]:
+                    for r in rows[:8]:
                         r.append(None)
+                    rows[8].append(found if isinstance(found, str) else None if m is None else "no image")
                     continue
+                frames, planes = found
                 payload = b"".join(p.tobytes() for p in planes)
                 plane = planes[0] if len(planes) == 1 else np.concatenate(planes) if len({p.shape[1] for p in planes}) == 1 else planes[0]
-                dims = [max(p.shape[1] for p in planes) * 8, sum(p.shape[0] for p in planes) * 8]
+                # As the frames' headers say; files in one cell stand below each other.
+                dims = [max(f.width for f in frames), sum(f.height for f in frames)]
                 values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), *dims]
-                for r, v in zip(rows, [*values, f"{dims[0]}x{dims[1]}:{thumbnail_hash(plane)}"], strict=True):
+                for r, v in zip(rows, [*values, f"{dims[0]}x{dims[1]}:{thumbnail_hash(plane)}", None], strict=True):
                     r.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "error"],
             )
 
 
 def read_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """Dimensions, thumbnail hashes and digests, all computed from the stored bytes.
 
-    Null media gives null features; a file that isn't baseline JPEG, or is damaged, raises ValueError.
+    Null media gives null features; a cell that isn't baseline JPEG, or is damaged, gives null features and says why in
+    ``error``, which is null otherwise. Repeated rows give repeated rows; cells of any size are decoded whole; other
+    columns are not read; an empty table gives an empty table.
     """
     kept = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(size_col).cast("long").alias("n_bytes"), F.col(media_col).alias("media"))
-    return map_arrow(kept, 
+    return map_arrow(
+        kept,
         _features,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, width int, height int, feature string",
+        "media_sha256 string, width int, height int, feature string, error string",
     )
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media cell, and what is computed from the cell's bytes. The cells pass from the encoder to the
+    decoder as a column; a table of them would be about twice the input (see the README)."""
     return read_features(store_texts(table(spark, sf_dir, "documents")))
