@@ -1,8 +1,6 @@
-"""Helpers shared by the corpus operators: tables, durable intermediates, bounded Arrow slices."""
+"""Helpers shared by the corpus operators: tables, durable intermediates (the library's), bounded Arrow slices."""
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +8,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import removed as discard
+from ..storage import settled
+from ..storage import written as stash
+
+__all__ = ["as_bytes", "discard", "held_out", "map_arrow", "settled", "shuffle_partitions", "slices", "stash", "table"]
+
 #: Bytes of text handled at once inside a Python worker; one longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -20,7 +24,8 @@ BATCH_BYTES = "4m"
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with batches of a few MB, unless the session names a size of its own."""
+    """``mapInArrow`` with batches of a few MB. Spark reads this size from the session only, so it is set there where
+    the user has set none; nothing else of the session is touched."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, BATCH_BYTES)
@@ -31,33 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="contactforge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a stashed table that nothing will read again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -54,7 +54,7 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
 def by_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     """Join on source, null equal to null: broadcast behind the count of sources, else by shuffle (AQE splits skew)."""
     small = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
-    return rows.alias("r").join(small.withColumnRenamed("source", "__its"), F.col("r.source").eqNullSafe(F.col("__its"))).drop("__its")
+    return rows.alias("r").join(small.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
@@ -83,7 +83,7 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
 
 def by_source_left(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    return rows.alias("r").join(sources.withColumnRenamed("source", "__its"), F.col("r.source").eqNullSafe(F.col("__its")), "left").drop("__its")
+    return rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left").drop(F.col("s.source"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -99,19 +99,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size and how many of its words the mix takes."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, with all columns."""
+    """Pipeline stage: every document as often as the mix takes it, with all columns, whatever their names. Nulls, ties,
+    repeated rows and empty tables as in ``mix``; texts are counted whole."""
     sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", draw_key(F.col("doc_id"))))
     sources, n = plan(sized)
     discard(sized)
-    copies = F.col("__whole") + (F.col("__key") <= F.col("__limit")).cast("long")
-    limits = sources.select("source", F.col("whole").alias("__whole"), F.col("limit").alias("__limit"))
-    keyed = by_source(docs.withColumn("__key", draw_key(F.col("doc_id"))), limits, n)
-    again = keyed.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return again.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The document stands apart from the operator's own columns.
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "source", draw_key(F.col("doc_id")).alias("h"))
+    keyed = by_source(held, sources.select("source", "whole", "limit"), n)
+    copies = F.col("whole") + (F.col("h") <= F.col("limit")).cast("long")
+    again = keyed.withColumn("copies", copies).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return again.select("doc.*")
 
 
 OP9_SQL = r"""
