@@ -95,3 +95,22 @@ def test_rows_that_share_an_id(spark):
     assert [r.other for r in got if r.doc_id == 3] == ["y"]
     assert sorted(r.text for r in got if r.doc_id is None) == sorted([a + " more", b])
     assert neardup.keep_one(spark, docs.limit(0), "").count() == 0
+
+
+def test_large_groups_with_outliers(spark, monkeypatch):
+    """A group of near copies around one text, and outliers that are similar to a few of them only."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(260):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 6])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for large, part in ((64, 16 << 20), (3, 4000), (10**9, 1)):
+        monkeypatch.setattr(wordcopies, "LARGE", large)
+        monkeypatch.setattr(wordcopies, "PART_BYTES", part)
+        assert {r.doc_id: r.component_id for r in wordcopies.group(docs).collect()} == want
