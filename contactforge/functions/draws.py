@@ -5,6 +5,7 @@ another SQL engine. A draw is the first 32 bits of an MD5 digest, divided by 2**
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +56,36 @@ def other_nucleotide(u: Column, base: Column) -> Column:
 def symbols(u: Column, alphabet: str) -> Column:
     """One symbol of an alphabet."""
     return F.substring(F.lit(alphabet), below(u, len(alphabet)).cast("int") + 1, F.lit(1))
+
+
+#: Multipliers of a public 32-bit integer mix; both are below 2**31, so that products fit into 63 bits everywhere.
+MIX = (0x21F0AAAD, 0x735A2D97)
+
+
+def mixed(x):
+    """The mix of a number from 0 to 2**32 - 1, as a column."""
+    low = F.lit(0xFFFFFFFF).cast("long")
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+    x = (x * MIX[0]).bitwiseAND(low)
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 15))
+    x = (x * MIX[1]).bitwiseAND(low)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 15))
+
+
+def counted(keys: Column, k: Column) -> Column:
+    """Draw number ``k`` in [0, 1) of a stream whose two 32-bit keys are in a digest: many draws from one digest."""
+    key = lambda n: F.conv(F.substring(keys, 8 * n + 1, 8), 16, 10).cast("long")
+    x = mixed(key(0).bitwiseXOR(k.cast("long"))) + key(1)
+    return mixed(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) / 4294967296.0
+
+
+def counted_array(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``counted`` for arrays: keys of shape (n, 2)."""
+    def mix(x):
+        x = x ^ (x >> np.uint32(16))
+        x = x * np.uint32(MIX[0])
+        x = x ^ (x >> np.uint32(15))
+        x = x * np.uint32(MIX[1])
+        return x ^ (x >> np.uint32(15))
+
+    return mix(mix(keys[:, 0] ^ k.astype(np.uint32)) + keys[:, 1]) / 4294967296.0

@@ -1,5 +1,5 @@
-"""Read pairs from templates, with and without errors: Spark expressions, but for the one digest a base that
-sequencing errors need, which is done on Arrow batches (the same as an expression is ``base_errors``)."""
+"""Read pairs from templates, with and without errors: Spark expressions, but for the draws of each base that
+sequencing errors need, which are done on Arrow batches (the same as an expression is ``base_errors``)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import binomial_tails
-from ..functions.draws import below, digest, nucleotide, part
+from ..functions.draws import below, counted, counted_array, digest, nucleotide, part
 from ..functions.sequence import apply_indels, reverse_complement
 
 SIMPLE_QUALITY = 40
@@ -109,21 +109,20 @@ def substitute(base: Column, quality: Column, chance: Column, which: Column) ->
 def base_errors(seq: Column, levels: Column, seed: int, *keys) -> Column:
     """Array of (base, quality) of a read: ``levels`` is the array over read positions of (cum, qual).
 
-    One digest a base, one step after the other: each step's results are bound before the next one uses them, so
-    nothing is computed twice.
+    One digest a read, three numbered draws a base, one step after the other: each step's results are bound before the
+    next one uses them, so nothing is computed twice.
     """
-    start = F.concat_ws(":", F.lit(f"{seed}:base"), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    start = digest(seed, "base", *keys)
     symbols = F.filter(F.split(F.upper(seq), ""), lambda c: c != "")
-    hashed = F.transform(symbols, lambda c, i: F.struct(c.alias("b"), i.alias("i"), F.md5(F.concat(start, F.lit(":"), i.cast("string"))).alias("h")))
-    drawn = F.transform(hashed, lambda x: F.struct(x["b"].alias("b"), F.element_at(levels, x["i"] + 1).alias("l"), (below(part(x["h"], 0), 1_000_000) + 1).alias("n"), x["h"].alias("h")))
-    scored = F.transform(drawn, lambda x: F.struct(x["b"].alias("b"), quality_at(x["l"]["cum"], x["l"]["qual"], x["n"]).alias("q"), x["h"].alias("h")))
-    return F.transform(scored, lambda x: F.struct(substitute(x["b"], x["q"], part(x["h"], 1), part(x["h"], 2)).alias("base"), F.when(x["b"] == "N", F.lit(1)).otherwise(x["q"]).alias("quality")))
+    drawn = F.transform(symbols, lambda c, i: F.struct(c.alias("b"), i.alias("i"), F.element_at(levels, i + 1).alias("l"), (below(counted(start, i * 3), 1_000_000) + 1).alias("n")))
+    scored = F.transform(drawn, lambda x: F.struct(x["b"].alias("b"), x["i"].alias("i"), quality_at(x["l"]["cum"], x["l"]["qual"], x["n"]).alias("q")))
+    return F.transform(scored, lambda x: F.struct(substitute(x["b"], x["q"], counted(start, x["i"] * 3 + 1), counted(start, x["i"] * 3 + 2)).alias("base"), F.when(x["b"] == "N", F.lit(1)).otherwise(x["q"]).alias("quality")))
 
 
 def batch_errors(levels: list, seed: int, read: int):
     """The same results as ``base_errors``, as a function of Arrow arrays (sequences, pair numbers) that gives (bases,
-    qualities): a few array steps for each batch around one digest a base. ``levels`` is a list over read positions
-    of (cum, qual), a size fixed by the read."""
+    qualities): a few array steps for each batch. ``levels`` is a list over read positions of (cum, qual), a size fixed
+    by the read."""
     wide = max(len(x["cum"]) for x in levels)
     cum = np.array([list(x["cum"]) + [1 << 40] * (wide - len(x["cum"])) for x in levels])
     qual = np.array([list(x["qual"]) + [0] * (wide - len(x["qual"])) for x in levels])
@@ -138,23 +137,20 @@ def batch_errors(levels: list, seed: int, read: int):
         texts = [(x or "").upper().encode() for x in seq.to_pylist()]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
-        raw = []
-        for n, i in zip(sizes.tolist(), idx.to_pylist(), strict=True):
-            start = md5(f"{seed}:base:{i}:{read}:".encode())
-            for k in range(n):
-                one = start.copy()
-                one.update(b"%d" % k)
-                raw.append(one.digest())
-        draw = np.frombuffer(b"".join(raw), ">u4").reshape(-1, 4)
-        u = draw[:, :3] / 4294967296.0
+        start = b"".join(md5(b"%d:base:%d:%d" % (seed, i, read)).digest()[:8] for i in idx.to_pylist())
+        keys = np.repeat(np.frombuffer(start, ">u4").astype(np.uint32).reshape(-1, 2), sizes, 0)
         at = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
-        base = code[np.frombuffer(b"".join(texts), np.uint8)]
-        n_draw = np.floor(u[:, 0] * 1_000_000).astype(np.int64) + 1
-        quality = qual[at, (cum[at] < n_draw[:, None]).sum(1)]
-        wrong = (u[:, 1] < chance[quality]) & (base < 4)
-        seen = np.where(wrong, other[base, np.floor(u[:, 2] * 3).astype(np.int64)], base)
-        is_n = np.frombuffer(b"".join(texts), np.uint8) == ord("N")
-        quality = np.where(is_n, 1, quality).astype(np.int32)
+        shown_as = np.frombuffer(b"".join(texts), np.uint8)
+        base = code[shown_as]
+        n_draw = np.floor(counted_array(keys, at * 3) * 1_000_000).astype(np.int64) + 1
+        level = np.zeros(len(at), np.int64)
+        for k in range(wide):
+            level += cum[at, k] < n_draw
+        quality = qual[at, level]
+        wrong = np.flatnonzero((counted_array(keys, at * 3 + 1) < chance[quality]) & (base < 4))
+        seen = base.copy()
+        seen[wrong] = other[base[wrong], np.floor(counted_array(keys[wrong], at[wrong] * 3 + 2) * 3).astype(np.int64)]
+        quality = np.where(shown_as == ord("N"), 1, quality).astype(np.int32)
         shown, offsets = letters[seen].tobytes(), np.concatenate([[0], ends]).astype(np.int32)
         bases = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(shown))
         return bases, pa.ListArray.from_arrays(pa.array(offsets), pa.array(quality))

@@ -394,9 +394,9 @@ def _(spark, d):
     return rows.select("idx", "seg_id", F.floor(distributions.inverse(draws.unit(SEED, "sep", "idx"), F.col("length"))).cast("long").alias("sep"))
 
 
-@query("sep_sampled", f"WITH {GENOME} SELECT seg_id, n::INT AS n, round(l * n / 99.0, 6) AS x, round(((1.0 - 0.333) * (1.0 - pow(1.0 - 3.5e-6, l * n / 99.0)) + 0.333 * (l * n / 99.0) / l) / ((1.0 - 0.333) * (1.0 - pow(1.0 - 3.5e-6, l)) + 0.333), 9) AS y FROM (SELECT seg_id, length(seq)::DOUBLE AS l, n::DOUBLE AS n FROM genome, range(0, 100) t(n))")
+@query("sep_sampled", f"WITH {GENOME} SELECT seg_id, n::INT AS n, round(l * n / 999.0, 6) AS x, round(((1.0 - 0.333) * (1.0 - pow(1.0 - 3.5e-6, l * n / 999.0)) + 0.333 * (l * n / 999.0) / l) / ((1.0 - 0.333) * (1.0 - pow(1.0 - 3.5e-6, l)) + 0.333), 9) AS y FROM (SELECT seg_id, length(seq)::DOUBLE AS l, n::DOUBLE AS n FROM genome, range(0, 1000) t(n))")
 def _(spark, d):
-    g = genome(spark, d).select("seg_id", F.posexplode(distributions.sampled(F.length("seq"), bins=100)).alias("n", "p"))
+    g = genome(spark, d).select("seg_id", F.posexplode(distributions.sampled(F.length("seq"))).alias("n", "p"))
     return g.select("seg_id", "n", F.round("p.x", 6).alias("x"), F.round("p.y", 9).alias("y"))
 
 
@@ -453,17 +453,21 @@ def _(spark, d):
     return g.select("seg_id", reads.part_description(size % 2 == 0, start, size, F.col("n"), F.col("repl") == "de").alias("part"), reads.read_id(F.col("seg_id"), size).alias("read_id"))
 
 
-def _joined(name: str, method: str, sql: str, bridge: str | None = None):
-    @query(name, f"WITH {GENOME} SELECT seg_id, md5({sql}) AS digest FROM genome")
+def _joined(name: str, method: str, middle: str, bridge: str | None = None):
+    """Both halves of each whole sequence, the second one first."""
+    half = "(length(seq) // 2)"
+
+    @query(name, f"WITH {GENOME} SELECT seg_id, md5(substr(seq, {half} + 1) || '{middle}' || substr(seq, 1, {half})) AS digest FROM genome")
     def _(spark, d):
-        a, b = F.substring("seq", 1, 60), F.substring("seq", 30, 60)
+        n = F.floor(F.length("seq") / 2).cast("int")
+        a, b = F.substring(F.col("seq"), n + 1, F.length("seq")), F.substring(F.col("seq"), F.lit(1), n)
         j = F.lit(junctions(spark, [enzyme("DpnII")]).first()["junction"])
         return genome(spark, d).select("seg_id", F.md5(reads.join_parts(method, a, b, j, bridge)).alias("digest"))
 
 
-_joined("join_simple", "meta3c", "substr(seq, 1, 60) || substr(seq, 30, 60)")
-_joined("join_sitedup", "hic", "substr(seq, 1, 60) || 'GATCGATC' || substr(seq, 30, 60)")
-_joined("join_bridged", "dnase", "substr(seq, 1, 60) || 'ACGTTGCA' || substr(seq, 30, 60)", "ACGTTGCA")
+_joined("join_simple", "meta3c", "")
+_joined("join_sitedup", "hic", "GATCGATC")
+_joined("join_bridged", "dnase", "ACGTTGCA", "ACGTTGCA")
 
 
 # --- whole experiments ---------------------------------------------------------------------------------------------------
@@ -648,18 +652,25 @@ def _(spark, d):
     return both.select("r", "pos", F.array_join("cum", ",").alias("cum"), F.array_join("qual", ",").alias("qual"))
 
 
-def hex_sql(keys: list[str]) -> str:
-    return "md5(" + "||':'||".join([f"'{SEED}:base'", *(f"({k})::VARCHAR" for k in keys)]) + ")"
-
-
-def part_sql(h: str, n: int) -> str:
-    return f"(('0x'||substr({h}, {8 * n + 1}, 8))::BIGINT / 4294967296::DOUBLE)"
-
-
-#: Per base: quality draw, then substitution.
-BASES_SQL = f"""b0 AS (SELECT idx, r, i, upper(substr(seq, i + 1, 1)) AS base, {hex_sql(['idx', 'r', 'i'])} AS h FROM (SELECT idx, r, seq, unnest(range(0, length(seq))) AS i FROM reads)),
-b1 AS (SELECT b.*, l.qual[1 + len(list_filter(l.cum, lambda c: c < floor({part_sql('h', 0)} * 1000000)::BIGINT + 1))] AS q FROM b0 b JOIN levels l ON l.r = b.r AND l.pos = b.i),
-b2 AS (SELECT idx, r, i, base, q, CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN 'N' WHEN {part_sql('h', 1)} < pow(10.0, -q / 10.0) THEN substr(replace('ACGT', base, ''), (floor({part_sql('h', 2)} * 3) + 1)::INT, 1) ELSE base END AS seen,
+#: Per base: three numbered draws of the read's stream (each step of the mix in a column of its own), quality, substitution.
+def _streams_sql() -> str:
+    half = lambda n: f"('0x'||substr(md5('{SEED}:base:'||idx||':'||r), {8 * n + 1}, 8))::BIGINT"
+    out = f"""d0 AS (SELECT *, {half(0)} AS k0, {half(1)} AS k1, unnest(range(0, length(seq))) AS i FROM reads),
+d1 AS (SELECT idx, r, i, upper(substr(seq, i + 1, 1)) AS base, k1, c, xor(k0, i * 3 + c) AS x FROM d0, range(0, 3) t(c))"""
+    n = 1
+    for again in (0, 1):
+        for turn, by in ((16, draws.MIX[0]), (15, draws.MIX[1])):
+            out += f", d{n + 1} AS (SELECT * EXCLUDE (x), xor(x, x >> {turn}) * {by} % 4294967296 AS x FROM d{n})"
+            n += 1
+        last = "(xor(x, x >> 15) + k1) % 4294967296" if not again else "xor(x, x >> 15)"
+        out += f", d{n + 1} AS (SELECT * EXCLUDE (x), {last} AS x FROM d{n})"
+        n += 1
+    return out + f", b0 AS (SELECT idx, r, i, any_value(base) AS base, max(x) FILTER (WHERE c = 0) / 4294967296::DOUBLE AS u0, max(x) FILTER (WHERE c = 1) / 4294967296::DOUBLE AS u1, max(x) FILTER (WHERE c = 2) / 4294967296::DOUBLE AS u2 FROM d{n} GROUP BY idx, r, i)"
+
+
+BASES_SQL = f"""{_streams_sql()},
+b1 AS (SELECT b.*, l.qual[1 + len(list_filter(l.cum, lambda c_: c_ < floor(u0 * 1000000)::BIGINT + 1))] AS q FROM b0 b JOIN levels l ON l.r = b.r AND l.pos = b.i),
+b2 AS (SELECT idx, r, i, base, q, CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN 'N' WHEN u1 < pow(10.0, -q / 10.0) THEN substr(replace('ACGT', base, ''), (floor(u2 * 3) + 1)::INT, 1) ELSE base END AS seen,
   CASE WHEN base = 'N' THEN 1 ELSE q END AS quality FROM b1)"""
 
 TWO_READS = ", reads AS (SELECT idx, 1 AS r, seq1 AS seq FROM ends3 UNION ALL SELECT idx, 2, seq2 FROM ends3)"
@@ -704,11 +715,11 @@ def _up(x: str, taken: str) -> str:
     return f"list_reduce(list_prepend({x}, list_sort({taken})), lambda at_, t: CASE WHEN t <= at_ THEN at_ + 1 ELSE at_ END)"
 
 
-def indel_sql(way: int, key: str, rows: str) -> str:
+def indel_sql(way: int, key: str, rows: str, ins: list[float] = INDEL_INS, dels: list[float] = INDEL_DEL) -> str:
     """CTEs ending in i<way>: idx, del (list), ins (list), bases (list)."""
     h = lambda n, p: u_sql(f"indel{way}{n}", key, part=p)
     L = READ_LENGTH
-    nd, ni = _tail_sql(INDEL_DEL, h("t", 0), h("t", 1)), _tail_sql(INDEL_INS, h("t", 2), h("t", 3))
+    nd, ni = _tail_sql(dels, h("t", 0), h("t", 1)), _tail_sql(ins, h("t", 2), h("t", 3))
     counts = f"{nd} AS nd, {ni} AS ni" if way == 0 else f"least({nd}, {ni}) AS nd, {ni} AS ni"
     d1, d2, i1, i2 = (h("p", k) for k in range(4))
 
@@ -755,10 +766,29 @@ def _(spark, d):
     return g.withColumn("ref", ref).select("idx", sq.apply_indels(F.col("ref"), F.col("d"), F.col("i"), F.col("b")).alias("seq"))
 
 
-@query("error_reads")
-def _(spark, d):
-    """All of it together: indels, qualities, substitutions. Its parts have SQL of their own."""
-    s = _experiment("hic", simple=False, ins_rate=0.01, del_rate=0.01)
+ERROR_RATE = 0.01
+_TAILS = distributions.binomial_tails(READ_LENGTH, ERROR_RATE)
+#: Both ends of the templates with all errors: indels the first way, or the second where a read would run over.
+ERROR_SQL = f"""{template_sql('hic')},
+rr AS (SELECT idx AS pair, 1 AS r, idx || ':1' AS key, substr(template, 1, {READ_LENGTH + 2}) AS ref, length(template) AS n FROM templates
+  UNION ALL SELECT idx, 2, idx || ':2', substr(reverse(translate(template, 'ACGT', 'TGCA')), 1, {READ_LENGTH + 2}), length(template) FROM templates),
+{indel_sql(0, 'key', 'rr', _TAILS, _TAILS)}, {indel_sql(1, 'key', 'rr', _TAILS, _TAILS)},
+way AS (SELECT rr.*, {READ_LENGTH} - (len(a.ins) - len(a.del)) > n AS over, a.del AS del_a, a.ins AS ins_a, a.bases AS bases_a, b.del AS del_b, b.ins AS ins_b, b.bases AS bases_b FROM rr JOIN i0 a ON a.idx = key JOIN i1 b ON b.idx = key),
+pick AS (SELECT pair, rr.r, key, ref, CASE WHEN over THEN del_b ELSE del_a END AS del, CASE WHEN over THEN ins_b ELSE ins_a END AS ins, CASE WHEN over THEN bases_b ELSE bases_a END AS bases FROM way rr),
+r AS (SELECT key AS idx, substr(ref, 1, greatest({READ_LENGTH} - len(ins) + len(del), 0)::INT) AS ref, del, ins, bases FROM pick),
+{APPLY},
+whole AS (SELECT idx AS key, string_agg(b, '' ORDER BY k) AS seq FROM emitted GROUP BY idx),
+reads AS (SELECT pair AS idx, r, substr(seq, 1, {READ_LENGTH}) AS seq FROM pick JOIN whole USING (key)),
+{LEVELS_SQL}, {BASES_SQL},
+done AS (SELECT idx, r, string_agg(seen, '' ORDER BY i) AS seq, string_agg(quality::VARCHAR, ',' ORDER BY i) AS qual FROM b2 GROUP BY idx, r)
+SELECT t.idx, mode, 'SIM:' || mode || ':1:1:1:' || t.idx || ' 1:Y:18:1 ' || "desc" AS name1, x.seq AS seq1, x.qual AS qual1, y.seq AS seq2, y.qual AS qual2
+FROM templates t JOIN done x ON x.idx = t.idx AND x.r = 1 JOIN done y ON y.idx = t.idx AND y.r = 2"""
+
+
+@query("error_reads", ERROR_SQL)
+def _(spark, d):
+    """All of it together: indels, qualities, substitutions."""
+    s = _experiment("hic", simple=False, ins_rate=ERROR_RATE, del_rate=ERROR_RATE)
     return simulate(numbers(spark, d), _community(spark, d, s), s, _levels(spark)).select("idx", "mode", "name1", "seq1", F.array_join("qual1", ",").alias("qual1"), "seq2", F.array_join("qual2", ",").alias("qual2"))
 
 
