@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .errors import ContactError
 from .operators.reads import summary
-from .plans.experiment import METHODS, Settings, draw_pairs, prepare, simulate
+from .plans.experiment import METHODS, Settings, prepare, simulate
 from .sinks.records import output_kind, write_profile, write_reads
 from .sources import fasta, profile, quality
+from .storage import removed
 
-VERSION = "0.1"
+VERSION = "0.2"
+#: Rows of a procedural profile that are shown; the file has all.
+SHOWN = 1000
 log = logging.getLogger("contactforge")
 
 
@@ -47,10 +50,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lognorm-mu", type=float, default=1.0)
     p.add_argument("--lognorm-sigma", type=float, default=1.0)
     p.add_argument("--simple-reads", action="store_true", help="no sequencing errors")
-    p.add_argument("--machine-profile", default="EmpMiSeq250", choices=quality.MACHINES)
+    p.add_argument("--machine-profile", default=quality.PARAMETRIC, choices=[quality.PARAMETRIC, *quality.MACHINES])
     p.add_argument("--machine-folder", default=".", help="folder of the machine profile's two files")
     p.add_argument("--ins-rate", type=float, default=9e-5)
     p.add_argument("--del-rate", type=float, default=1.1e-4)
+    p.add_argument("--folders", action="store_true", help="leave outputs as folders of parts, for other Spark jobs")
+    p.add_argument("--overwrite", action="store_true", help="replace an existing profile file")
     p.add_argument("--documented", action="store_true", help="follow the model's description where practice differs")
     p.add_argument("sequences", help="FASTA")
     p.add_argument("output", help="reads: R1, or both interleaved")
@@ -72,13 +77,16 @@ def community(spark: SparkSession, a: argparse.Namespace, sequences):
     made = profile.distribute(names, a.dist or "equal", a.seed, a.lognorm_mu, a.lognorm_sigma)
     made = made.select(F.col("name").alias("seg_id"), F.col("name").alias("cell"), F.col("name").alias("repl"), "abundance", F.lit(1.0).alias("copy_number"))
     if a.dist:
-        write_profile(made, a.profile_name)
+        write_profile(made, a.profile_name, overwrite=a.overwrite)
+        for line in profile.table_rows(made).orderBy("ord").limit(SHOWN).select("line").collect():
+            print(line[0])
     return made.withColumn("linear", F.lit(a.linear)), a.spurious_rate
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING)
+    log.info("contactforge %s at %s: %s", VERSION, time.strftime("%Y-%m-%dT%H:%M:%S%z"), " ".join(sys.argv[1:] if argv is None else argv))
     try:
         output_kind(a.output, a.output2)
         spark = spark or SparkSession.builder.appName("contactforge").getOrCreate()
@@ -90,16 +98,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sequences = fasta.read_fasta(spark, a.sequences, a.convert)
         fasta.check_unique(sequences)
         segments, settings.spurious_rate = community(spark, a, sequences)
+        fasta.check_unique(segments)
         fasta.check_known(segments, sequences)
         levels = None
-        if not a.simple_reads:
+        if not a.simple_reads and a.machine_profile == quality.PARAMETRIC:
+            levels = quality.parametric(spark, a.read_length)
+        elif not a.simple_reads:
             first, second = quality.profile_files(a.machine_profile, a.machine_folder)
             levels = quality.levels(quality.read_profile(spark, first), quality.read_profile(spark, second), a.read_length)
         made = prepare(segments, sequences, settings)
         numbers = spark.range(1, a.num_pairs + 1).withColumnRenamed("id", "idx")
-        write_reads(simulate(numbers, made, settings, levels), a.output, a.output2)
-        if a.verbose:
-            log.info("pairs: %s", summary(draw_pairs(numbers, made, settings)).first().asDict())
+        held = write_reads(simulate(numbers, made, settings, levels), a.output, a.output2, not a.folders)
+        print("pairs: " + ", ".join(f"{k} {v}" for k, v in summary(held).first().asDict().items()))
+        removed(held)
+        made.release()
     except ContactError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -9,10 +9,6 @@ class NoCutSites(ContactError):
     """No segment of the community has a cut site."""
 
 
-class NoReplicons(ContactError):
-    """A cell, or the community, is left without usable replicons."""
-
-
 class SequenceError(ContactError):
     """Sequences are missing, repeated or hold symbols that can't be read."""
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import OutOfBounds
+
 #: Separation model: geometric with this shape, mixed with a uniform part.
 SHAPE = 3.5e-6
 BINS = 1000
@@ -35,6 +37,13 @@ def checked_cdf(x: Column, length: Column, shape: float = SHAPE, alpha: float =
     return F.when(x > length, F.raise_error(F.lit("out of bounds"))).otherwise(geometric_uniform(x, length, shape, alpha))
 
 
+def check_bounds(rows: DataFrame, x: str, length: str) -> None:
+    """OutOfBounds if a value lies below 0 or beyond its row's length."""
+    bad = rows.where((F.col(x) < 0) | (F.col(x) > F.col(length))).select(x, length).limit(1).collect()
+    if bad:
+        raise OutOfBounds(f"{bad[0][0]} is outside 0 to {bad[0][1]}")
+
+
 def sampled(length: Column, bins: int = BINS, shape: float = SHAPE, alpha: float = ALPHA) -> Column:
     """Array of (x, y): the function at ``bins`` even points, scaled to end at 1."""
     top = geometric_uniform(length.cast("double"), length, shape, alpha)

@@ -47,20 +47,32 @@ def merged(domains: DataFrame) -> DataFrame:
     order = Window.partitionBy("chrom").orderBy("begin", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = domains.withColumn("new", F.when(reach.isNull() | (F.col("begin") >= reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
-    held = islands.groupBy("chrom", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("begin")).alias("length"), F.array_sort(F.collect_list(F.struct("begin", "end", "prob"))).alias("all"))
-    fold = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1)["prob"], lambda acc, x: 0.5 * (acc + x["prob"]))
-    return held.select("chrom", "begin", "end", fold.alias("prob"), "length")
+    own = Window.partitionBy("chrom", "island")
+    # The fold 0.5 * (so far + next) as weights: halved once for each later domain, the first as often as the second.
+    k, n = F.row_number().over(own.orderBy("begin", "end", "prob")), F.count("*").over(own)
+    weighed = islands.withColumn("part", F.col("prob") * F.pow(F.lit(0.5), n - F.greatest(k, F.lit(2)) + 1))
+    weighed = weighed.withColumn("part", F.when(n == 1, F.col("prob")).otherwise(F.col("part")))
+    held = weighed.groupBy("chrom", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("part").alias("prob"), F.sum(F.col("end") - F.col("begin")).alias("length"))
+    return held.select("chrom", "begin", "end", "prob", "length")
 
 
 def blocks(domains: DataFrame) -> DataFrame:
     """(chrom, block_begin, block_end, begin, end, share): between neighbouring ends of domains, the domains there with
     their probabilities scaled to 1."""
     ends = domains.select("chrom", F.explode(F.array("begin", "end")).alias("x")).distinct()
-    cut = ends.withColumn("block_end", F.lead("x").over(Window.partitionBy("chrom").orderBy("x"))).where("block_end IS NOT NULL").withColumnRenamed("x", "block_begin")
-    both = domains.join(cut, "chrom").where("begin < block_end AND end > block_begin")
+    cut = ends.withColumn("block_end", F.lead("x").over(Window.partitionBy("chrom").orderBy("x"))).where("block_end IS NOT NULL")
+    # No domain ends inside a block: it is there if it holds the block's first base.
+    both = containing(cut, domains).withColumnRenamed("x", "block_begin")
     return both.withColumn("share", F.col("prob") / F.sum("prob").over(Window.partitionBy("chrom", "block_begin"))).select("chrom", "block_begin", "block_end", "begin", "end", "share")
 
 
+#: Bases of a chromosome that one key of the interval join stands for.
+STRETCH = 1 << 16
+
+
 def containing(points: DataFrame, domains: DataFrame) -> DataFrame:
-    """Points (chrom, x) with every domain that holds them: begin <= x < end."""
-    return points.join(domains, "chrom").where("begin <= x AND x < end")
+    """Points (chrom, x, ...) with every domain that holds them: begin <= x < end. An equi-join on chromosome and stretch:
+    a point meets the domains of its own stretch only, and one chromosome is many keys."""
+    each = domains.where("end > begin").withColumn("stretch", F.explode(F.sequence(F.floor(F.col("begin") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))))
+    at = points.withColumn("stretch", F.floor(F.col("x") / STRETCH))
+    return at.join(each, ["chrom", "stretch"]).where("begin <= x AND x < end").drop("stretch")

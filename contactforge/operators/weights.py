@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import SingleReplicon
+
 
 def running(table: DataFrame, weight: str) -> DataFrame:
     """Adds lo, hi (the segment's stretch), repl_lo, repl_hi, cell_lo, cell_hi, total to (cell, repl, seg_id, weight).
@@ -57,6 +59,13 @@ def in_other_replicon(u: Column) -> Column:
     return F.when(F.col("cell_hi") - F.col("cell_lo") > own, there).cast("long")
 
 
+def check_other_replicons(placed: DataFrame) -> None:
+    """SingleReplicon if a cell has just one replicon, so that none other can be drawn there."""
+    alone = placed.where("n_repl < 2").select("cell").distinct().limit(5).collect()
+    if alone:
+        raise SingleReplicon("cells with one replicon: " + ", ".join(r[0] for r in alone))
+
+
 def bucketed(placed: DataFrame, total: int, n: int) -> tuple[DataFrame, int]:
     """The stretches under each bucket of ``width`` that they touch: about five quarters of n rows with 4 n buckets."""
     width = max(1, total // max(1, 4 * n))

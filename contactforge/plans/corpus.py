@@ -5,16 +5,12 @@ query stands beside its SQL for a second engine; both use the same draws.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distributions, draws
+from ..functions import distributions
 from ..functions import sequence as sq
-from ..operators import digest, domains, reads, slices, weights
-from ..operators.enzymes import CUTS, enzyme, junctions
-from ..sinks.records import records
-from ..sources import profile, quality
-from .experiment import Community, Settings, draw_pairs, insert_draws, prepare, simulate, templates
+from ..operators.enzymes import enzyme
 
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 SEED = 1

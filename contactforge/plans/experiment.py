@@ -111,6 +111,12 @@ class Community:
         kind = "extent" if self.sites is None else kind
         return self._once(kind, lambda: weights.running(self.segments, "w_extent" if kind == "extent" else "w_sites"))
 
+    def covers(self, rows: DataFrame, seg: str, pos: str, size: str) -> DataFrame:
+        """Adds covered: whether a site lies in the stretch of each row. Without enzymes every base is a site."""
+        if self.gaps is None:
+            return rows.withColumn("covered", F.lit(True))
+        return digest.in_gap(rows, self.gaps, seg, pos).withColumn("covered", digest.covers(F.col(pos), F.col(size))).drop(*digest.GAP_COLUMNS)
+
     def report(self) -> DataFrame:
         """One row a segment: its place in the community, length, sites, density, and share of both weights."""
         share = lambda w: (F.col(w) / F.sum(w).over(Window.partitionBy())).alias(f"share_{w[2:]}")
@@ -127,8 +133,10 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
     """Digest, then drop segments without sites; replicons and cells left without segments go with them.
 
     segments: seg_id, cell, repl, copy_number, linear and, optionally, anti_rate, trans_rate, abundance.
-    sequences: seg_id, seq (upper case).
+    sequences: seg_id, seq (upper case). A segment that is listed twice is an error.
     """
+    from ..sources.fasta import check_unique
+
     enzymes = [enzyme(n) for n in settings.enzymes]
     for name, default in (("anti_rate", settings.anti_rate), ("trans_rate", settings.trans_rate), ("abundance", 1.0)):
         own = F.col(name) if name in segments.columns else F.lit(None)
@@ -148,6 +156,7 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
     else:
         base = base.withColumn("n_sites", F.col("length").cast("long"))
     base = base.withColumn("n_repl", F.size(F.collect_set("repl").over(Window.partitionBy("cell"))))
+    check_unique(segments)
     base = written(base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
     return Community(base, cut, enzymes, sites)
 

@@ -10,8 +10,9 @@ from ..functions import distributions, draws
 from ..functions import sequence as sq
 from ..operators import digest, domains, reads, slices, weights
 from ..operators.enzymes import CUTS, enzyme, junctions
-from ..sinks.records import records
-from ..sources import profile, quality
+from ..sinks.records import joined_parts, records, write_reads
+from ..sources import fasta, profile, quality
+from ..storage import fresh, removed
 from .corpus import (
     GENOME, LINEAR_SQL, NEAREST, SEED, USABLE, dealt, genome, inverse_sql, near_sql, nearest_sql, running_sql, segments, sites_sql, table, u_sql,
 )
@@ -74,6 +75,26 @@ def _(spark, d):
     return _raw(spark, d).select("doc_id", F.md5(sq.reverse_complement(F.col("raw"))).alias("digest"))
 
 
+# --- files: written, then read back -----------------------------------------------------------------------------------
+
+@query("fasta_read", f"WITH {GENOME} SELECT seg_id, length(seq) AS length, md5(seq) AS digest FROM genome")
+def _(spark, d):
+    """Records of lines of 60 bases, with arrows in their headers."""
+    path = fresh(spark)
+    lines = F.concat(F.lit(">"), "seg_id", F.lit(" of -> "), "cell", F.lit("\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))
+    genome(spark, d).select(lines).write.text(path)
+    found = fasta.read_fasta(spark, path)
+    fasta.check_unique(found)
+    return found.select("seg_id", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
+
+
+@query("fasta_ids", f"WITH {GENOME} SELECT seg_id FROM genome")
+def _(spark, d):
+    path = fresh(spark)
+    genome(spark, d).select(F.concat(F.lit(">"), "seg_id", F.lit("\n"), "seq")).write.text(path)
+    return fasta.sequence_ids(fasta.read_fasta(spark, path))
+
+
 # --- digestion ---------------------------------------------------------------------------------------------------
 
 def _scan(name: str, enzymes: list[str], linear: bool | str):
@@ -206,6 +227,29 @@ def _(spark, d):
     return _profile(spark, d).select("seg_id", profile.long_name(F.col("cell"), F.col("repl"), F.col("seg_id")).alias("long_name"), profile.effective_abundance(F.col("abundance"), F.col("copy_number")).alias("effective"))
 
 
+SETTLED_SQL = f"""p AS ({PROFILE_SQL}), c AS (SELECT cell, arg_min(abundance, ord) AS a FROM p GROUP BY cell), r AS (SELECT cell, repl, arg_min(copy_number, ord) AS copy_number FROM p GROUP BY cell, repl)"""
+
+
+@query("profile_read", f"WITH {SETTLED_SQL} SELECT seg_id, cell, repl, round(a / (SELECT sum(a) FROM c), 9) AS abundance, r.copy_number FROM p JOIN c USING (cell) JOIN r USING (cell, repl)")
+def _(spark, d):
+    """The rows as a table file with a comment, in the order of their keys; the first of a cell and a replicon counts."""
+    path = fresh(spark)
+    line = F.format_string("%s\t%s\t%s\t%.2f\t%s", "seg_id", "cell", "repl", "abundance", F.col("copy_number").cast("string"))
+    head = spark.createDataFrame([(-1, "# segments"), (-2, "")], "ord long, line string")
+    rows = head.unionByName(_profile(spark, d).select("ord", line.alias("line"))).orderBy("ord")
+    rows.select("line").write.text(f"{path}.parts")
+    joined_parts(spark, f"{path}.parts", path)
+    return profile.read_table(spark, path, normalise=True).withColumn("abundance", F.round("abundance", 9))
+
+
+@query("toml_read", f"WITH {SETTLED_SQL} SELECT seg_id, cell, repl, a AS abundance, r.copy_number, 0.1::DOUBLE AS trans_rate, 0.2::DOUBLE AS anti_rate, FALSE AS linear, 0.03::DOUBLE AS spurious FROM p JOIN c USING (cell) JOIN r USING (cell, repl)")
+def _(spark, d):
+    """The hierarchy as TOML text and back."""
+    text = profile.to_toml(profile.settle(_profile(spark, d)), 0.03)
+    rows, spurious = profile.read_toml(spark, text)
+    return rows.withColumn("spurious", F.lit(spurious))
+
+
 def _distribution(mode: str, weight: str):
     @query(f"profile_{mode}", f"WITH n AS (SELECT c_name AS name, row_number() OVER (ORDER BY c_name) AS rank FROM customer), w AS (SELECT name, rank, {weight} AS w FROM n) SELECT name, rank::INT AS rank, round(w / sum(w) OVER (), 9) AS abundance FROM w")
     def _(spark, d):
@@ -626,6 +670,20 @@ def _(spark, d):
     return records(_simple(spark, d, "meta3c"), "fasta")
 
 
+@query("fastq_files", f"{template_sql('hic')}{READS}, n AS (SELECT idx, {NAMES}, seq1, seq2 FROM ends3), l AS (SELECT idx, unnest([1, 2]) AS r, unnest([{FASTQ}]) AS record FROM n) "
+"SELECT 'both' AS file, row_number() OVER (ORDER BY idx, r) AS n, record FROM l UNION ALL SELECT 'r' || r, row_number() OVER (PARTITION BY r ORDER BY idx), record FROM l")
+def _(spark, d):
+    """One interleaved file and two split ones, compressed, read back record by record in their order."""
+    made, at, out = _simple(spark, d), fresh(spark), None
+    for names in (("both.fq.gz",), ("r1.fq.bz2", "r2.fq.bz2")):
+        removed(write_reads(made, *(f"{at}/{n}" for n in names)))
+        for name in names:
+            lines = spark.read.option("lineSep", "\n@SIM:").text(f"{at}/{name}").select(F.regexp_replace("value", r"\A@SIM:|\n\z", "").alias("v"), F.monotonically_increasing_id().alias("at"))
+            rows = lines.select(F.lit(name.split(".")[0]).alias("file"), F.row_number().over(Window.orderBy("at")).cast("long").alias("n"), F.concat(F.lit("@SIM:"), "v").alias("record"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- sequencing errors ---------------------------------------------------------------------------------------------------
 
 #: A made-up machine: six qualities whose counts shift with the position, in the lines of a profile file.

@@ -1,12 +1,13 @@
 """FASTQ and FASTA records, profile tables and TOML."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContactError
 from ..functions.sequence import phred
 from ..sources.profile import table_rows
+from ..storage import written
 
 SUFFIXES = {".fq": "fastq", ".fastq": "fastq", ".fa": "fasta", ".fasta": "fasta"}
 CODECS = {".gz": "gzip", ".bz2": "bzip2"}
@@ -43,17 +44,59 @@ def records(pairs: DataFrame, kind: str = "fastq") -> DataFrame:
     return pairs.select("idx", F.explode(F.array(one(1), one(2))).alias("r")).select("idx", "r.r1r2", "r.record")
 
 
-def write_reads(pairs: DataFrame, first: str, second: str | None = None) -> None:
-    """Interleaved into one folder, or R1 and R2 into two, in order of pair number; parts are range-partitioned."""
+def joined_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder as one file, in order; the folder goes. Members of gzip and bzip2 files may follow each
+    other. Bytes are copied in small blocks."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(source)), key=lambda p: p.getName())
+    to.delete(target, True)
+    out = to.create(target, True)
+    try:
+        for part in parts:
+            if part.getName().startswith("part-"):
+                read = fs.open(part)
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+                read.close()
+    finally:
+        out.close()
+    fs.delete(source, True)
+
+
+def write_reads(pairs: DataFrame, first: str, second: str | None = None, one_file: bool = True) -> DataFrame:
+    """Interleaved into one output, or R1 and R2 into two, in order of pair number.
+
+    The pairs are computed once and written to the shared folder; outputs are sorted from there by ranges of pair
+    numbers. ``one_file`` joins the parts of an output (else it is a folder of them). Returns the written pairs, which
+    the caller may summarise and must remove.
+    """
     kind, codec = output_kind(first, second)
-    rows = records(pairs, kind)
+    held = written(pairs)
+    rows = records(held, kind)
     for path, keep in ([(first, (1, 2))] if second is None else [(first, (1,)), (second, (2,))]):
         chosen = rows.where(F.col("r1r2").isin(*keep)).orderBy("idx", "r1r2").select("record")
-        chosen.write.mode("overwrite").option("compression", codec).text(path)
+        folder = f"{path}.parts" if one_file else path
+        chosen.write.mode("overwrite").option("compression", codec).text(folder)
+        if one_file:
+            joined_parts(pairs.sparkSession, folder, path)
+    return held
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def write_profile(profile: DataFrame, path: str, ordered: bool = True) -> None:
+def write_profile(profile: DataFrame, path: str, ordered: bool = True, overwrite: bool = False) -> None:
+    """The profile as one text file, in order of cell, molecule and segment; an existing one is kept unless told
+    otherwise. Rows are names, so that their number is small beside the sequences'."""
+    spark = profile.sparkSession
+    if exists(spark, path) and not overwrite:
+        raise ContactError(f"{path} exists already")
     rows = table_rows(profile)
-    head = profile.sparkSession.createDataFrame([("#chrom\tcell\tmolecule\tabundance\tcopy_number", "", 0)], "line string, ord string, k int")
+    head = spark.createDataFrame([("#chrom\tcell\tmolecule\tabundance\tcopy_number", "", 0)], "line string, ord string, k int")
     rows = head.unionByName(rows.select("line", F.col("ord") if ordered else F.lit("").alias("ord"), F.lit(1).alias("k"))).orderBy("k", "ord")
-    rows.select("line").coalesce(1).write.mode("overwrite").text(path)
+    rows.select("line").write.mode("overwrite").text(f"{path}.parts")
+    joined_parts(spark, f"{path}.parts", path)

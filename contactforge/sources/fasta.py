@@ -9,12 +9,13 @@ from ..functions.sequence import ambiguous_to_n, checked
 
 
 def read_fasta(spark: SparkSession, path: str, convert: bool = False, validate: bool = True) -> DataFrame:
-    """(seg_id, seq): the name up to the first blank, and the upper-case sequence.
+    """(seg_id, seq): the name up to the first blank, and the upper-case sequence. A record begins with ``>`` at the start
+    of a line; one elsewhere in a header is part of it.
 
     ``convert`` turns ambiguous symbols into N; ``validate`` makes other symbols than ACGTN an error when read.
     Compressed files are read as they are; each record must fit into one row (2 GB).
     """
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"\A([^\r\n]*)", 1)
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
     out = raw.select(F.regexp_extract(head, r"\A\s*(\S+)", 1).alias("seg_id"), F.upper(body).alias("seq"))
@@ -26,7 +27,7 @@ def read_fasta(spark: SparkSession, path: str, convert: bool = False, validate:
 
 
 def check_unique(sequences: DataFrame, name: str = "seg_id") -> None:
-    """SequenceError if a name is repeated or none is there."""
+    """SequenceError if a name is repeated, of sequences or of a profile's segments, or none is there."""
     again = sequences.groupBy(name).count().where("count > 1").limit(5).collect()
     if again:
         raise SequenceError("repeated names: " + ", ".join(r[0] for r in again))

@@ -1,6 +1,8 @@
 """Machine quality profiles: for each read and position, qualities with cumulative counts."""
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,25 @@ MACHINES = (
 )
 
 
+#: A machine without files: see ``parametric``.
+PARAMETRIC = "parametric"
+_QUALITIES = (2, 14, 21, 27, 32, 36, 40)
+
+
+def parametric(spark: SparkSession, read_length: int) -> DataFrame:
+    """Levels of a made-up machine for reads of any length: at each position seven qualities in normal shares around a
+    mean that falls from 38 by 6 (read 1) or 9 (read 2) with the square of the position, deviation 4 to 7."""
+    def share(read: int, pos: int) -> dict:
+        x = pos / max(read_length - 1, 1)
+        mean, sd = 38 - (6, 9)[read - 1] * x * x, 4 + 3 * x
+        weights = [exp(-0.5 * ((q - mean) / sd) ** 2) + 1e-3 for q in _QUALITIES]
+        cum = [round(1_000_000 * sum(weights[: k + 1]) / sum(weights)) for k in range(len(weights))]
+        return {"cum": cum[:-1] + [1_000_000], "qual": list(_QUALITIES)}
+
+    one = "array<struct<cum:array<bigint>,qual:array<int>>>"
+    return spark.createDataFrame([tuple([share(r, p) for p in range(read_length)] for r in (1, 2))], f"level1 {one}, level2 {one}")
+
+
 def profile_files(name: str, folder: str) -> tuple[str, str]:
     """Where the two files of a named profile are looked for."""
     if name not in MACHINES:

@@ -35,11 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path for a table or file of the session that doesn't exist yet; it is deleted with the others."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table that is read again: short lineage, one computation, and no loss with an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
