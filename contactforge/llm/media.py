@@ -304,7 +304,11 @@ def luma_blocks(f: Frame) -> tuple[int, int]:
 
 def thumbnails(cells: list[bytes]) -> list[list[np.ndarray]]:
     """For each cell, the DC-only luminance plane of each of its files, one pixel for each 8x8 block."""
-    frames = [parse_frames(c) for c in cells]
+    return planes_of([parse_frames(c) for c in cells])
+
+
+def planes_of(frames: list[list[Frame]]) -> list[list[np.ndarray]]:
+    """The same from parsed cells."""
     groups = defaultdict(list)
     for i, fs in enumerate(frames):
         for j, f in enumerate(fs):
@@ -398,7 +402,8 @@ def _decoded(cells: list[bytes]) -> list[tuple[list[Frame], list[np.ndarray]] |
     """Frames and planes of each cell, or what is wrong with it. All cells are decoded in step; one by one only where
     some cell is broken."""
     try:
-        return list(zip(map(parse_frames, cells), thumbnails(cells), strict=True))
+        frames = [parse_frames(c) for c in cells]
+        return list(zip(frames, planes_of(frames), strict=True))
     except ValueError as e:
         if len(cells) == 1:
             return [str(e)]
