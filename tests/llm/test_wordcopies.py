@@ -110,7 +110,37 @@ def test_large_groups_with_outliers(spark, monkeypatch):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for large, part in ((64, 16 << 20), (3, 4000), (10**9, 1)):
+    for large, part, block in ((64, 16 << 20, 4096), (3, 4000, 10), (10**9, 1, 40)):
         monkeypatch.setattr(wordcopies, "LARGE", large)
+        monkeypatch.setattr(wordcopies, "BLOCK", block)
         monkeypatch.setattr(wordcopies, "PART_BYTES", part)
         assert {r.doc_id: r.component_id for r in wordcopies.group(docs).collect()} == want
+
+
+def test_blocks_meet_once(spark):
+    """Every pair of different roots of a bucket meets in one cell; rows of the most frequent root never meet there."""
+    from itertools import combinations as pairs_of
+
+    rows = [(1, bytes([i]), b"", b"big" if i < 90 else bytes([i // 2]), 1) for i in range(120)]
+    rows += [(2, b"a", b"", b"a", 1), (2, b"b", b"", b"b", 1)]
+    monkey, wordcopies.BLOCK = wordcopies.BLOCK, 8
+    try:
+        got = wordcopies.blocked(spark.createDataFrame(rows, "bucket long, node binary, bits binary, root binary, size long")).collect()
+    finally:
+        wordcopies.BLOCK = monkey
+    cells = {}
+    for r in got:
+        cells.setdefault((r.bucket, r.i, r.j), []).append((r.own, bytes(r.node), bytes(r.root)))
+    met = []
+    for (bucket, i, j), held in cells.items():
+        assert not (i == j and len({root for *_, root in held}) == 1 and held[0][2] == b"big")
+        met += [(bucket, *sorted((x[1], y[1]))) for x, y in pairs_of(held, 2) if x[2] != y[2] and (i == j or x[0] != y[0])]
+    want = [(b, *sorted((x[1], y[1]))) for b in (1, 2) for x, y in pairs_of([(r[0], r[1], r[3]) for r in rows if r[0] == b], 2) if x[2] != y[2]]
+    assert sorted(met) == sorted(want)
+
+
+def test_neighbours_across_ranges(spark):
+    """A bucket that fills several ranges is one chain."""
+    rows = [(7, i.to_bytes(2)) for i in range(500)] + [(k, k.to_bytes(2)) for k in range(100, 120)]
+    got = {(bytes(r.a), bytes(r.b)) for r in wordcopies.neighbours(spark.createDataFrame(rows, "bucket long, node binary"), "node").collect()}
+    assert got == {(i.to_bytes(2), (i + 1).to_bytes(2)) for i in range(499)}
