@@ -11,7 +11,7 @@ import logging
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContactError, EmptyCommunity, NoCutSites
@@ -119,7 +119,7 @@ class Community:
 
     def report(self) -> DataFrame:
         """One row a segment: its place in the community, length, sites, density, and share of both weights."""
-        share = lambda w: (F.col(w) / F.sum(w).over(Window.partitionBy())).alias(f"share_{w[2:]}")
+        share = lambda w: (F.col(w) / self.segments.select(F.sum(w)).scalar()).alias(f"share_{w[2:]}")
         return self.segments.select("cell", "repl", "seg_id", "length", "n_sites", (F.col("n_sites") / F.col("length")).alias("density"), share("w_extent"), share("w_sites"))
 
     def release(self) -> None:
@@ -155,9 +155,12 @@ def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Co
         base = base.join(digest.site_counts(sites), "seg_id")
     else:
         base = base.withColumn("n_sites", F.col("length").cast("long"))
-    base = base.withColumn("n_repl", F.size(F.collect_set("repl").over(Window.partitionBy("cell"))))
     check_unique(segments)
-    base = written(base.withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
+    # Written first: a cell with very many segments is counted from its replicons, not gathered by a window.
+    found = written(base)
+    replicons = found.select("cell", "repl").distinct().groupBy("cell").agg(F.count("*").cast("int").alias("n_repl"))
+    base = written(found.join(replicons, "cell").withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
+    removed(found)
     return Community(base, cut, enzymes, sites)
 
 
