@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that the driver compares them with."""
 from __future__ import annotations
 
-from . import bpe, langid, licenses, media, mixing, neardup, pagetext, quality, resample, topk, urlrules, whitening
+from . import bpe, langid, licenses, lm, media, mixing, neardup, pagetext, quality, resample, topk, urlrules, whitening
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_urls": urlrules.op10_urls,
     "op11_whitening": whitening.op11_whitening,
+    "op12_lm": lm.op12_lm,
     "op13_resample": resample.op13_resample,
 }
 ORACLE_SQL: dict[str, str] = {"op7_topk": topk.OP7_SQL, "op9_mixing": mixing.OP9_SQL, "op13_resample": resample.OP13_SQL}
