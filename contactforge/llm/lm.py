@@ -31,8 +31,10 @@ UNITS = FREQUENT + CLASSES
 END, START = 0, UNITS
 #: Words whose counts are shared with every task; the others' counts are joined by shuffle.
 LISTED = 1 << 16
-#: Examples and noise words of a batch, step size, rounds, tokens of a round from which on each takes a part of the corpus.
-BATCH, NOISE, STEP, ROUNDS, ROUND_TOKENS = 2048, 32, 0.15, 4, 2_000_000
+#: Examples of a batch (a thousandth of the corpus, within these), its noise words, and the step size.
+LEAST_BATCH, BATCH, NOISE, STEP = 256, 2048, 32, 0.15
+#: Rounds, and the tokens that they see in all where the corpus is small (so many rounds at most).
+ROUNDS, MOST_ROUNDS, ROUND_TOKENS = 4, 16, 2_000_000
 SPLIT = splitter(bytes(range(9, 14)))
 _LONG, _HELD = 64, 200_000
 
@@ -238,12 +240,12 @@ def _stepped(rows: np.ndarray, squares: np.ndarray, at: np.ndarray, slope: np.nd
     rows[at] += total * (scale if total.ndim == 1 else scale[:, None])
 
 
-def learn(m: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, shares: np.ndarray, rng: np.random.Generator) -> None:
+def learn(m: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray, shares: np.ndarray, rng: np.random.Generator, batch: int = BATCH) -> None:
     """Noise-contrastive steps over the examples (u, v before w): each tells its own word from all noise words of
     the batch, which are drawn by ``shares``."""
     log_noise, upto = (np.log(shares) + np.log(NOISE)).astype(np.float32), np.cumsum(shares)
     parts = np.split(m.squares, np.cumsum([UNITS + 1, 2 * WIDTH, UNITS]))
-    steps = -(-len(w) // BATCH)
+    steps = -(-len(w) // batch)
     for s in range(steps):
         x, y = np.concatenate([u[s::steps], v[s::steps]]), w[s::steps]
         drawn = np.minimum(np.searchsorted(upto, rng.random(NOISE)), UNITS - 1).astype(np.uint16)
@@ -269,14 +271,17 @@ def examples(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([x[:-2] for x in ids]), np.concatenate([x[1:-1] for x in ids]), np.concatenate([x[2:] for x in ids])
 
 
-def train(blocks: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
+def train(blocks: DataFrame, lex: Lexicon) -> Model:
     """Rounds of steps over all blocks that aren't held out: small corpora are read in every round, of large ones each
-    round reads another part. A task's parameters are a bounded array, and averages are weighted by tokens."""
+    round reads another part, so that all is read. A task's parameters are a bounded array, and averages are weighted by
+    tokens."""
     spark, shares = blocks.sparkSession, noise_shares(lex.units)
     model = beginning(lex.units)
     if not lex.tokens:
         return model
-    parts = min(rounds, max(1, lex.tokens // ROUND_TOKENS))
+    parts = min(ROUNDS, max(1, lex.tokens // ROUND_TOKENS))
+    rounds = min(MOST_ROUNDS, max(ROUNDS, ROUNDS * ROUND_TOKENS // lex.tokens))
+    batch = min(BATCH, max(LEAST_BATCH, lex.tokens // 1000))
     kept = blocks.where("NOT held_out")
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((model, shares))
@@ -287,7 +292,7 @@ def train(blocks: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
             for b in batches:
                 if b.num_rows:
                     u, v, w = examples(b.column(0))
-                    learn(own, u, v, w, shares, rng)
+                    learn(own, u, v, w, shares, rng, batch)
                     seen += len(w)
             if seen:
                 flat = np.append(own.flat().astype(np.float64), 1.0) * seen
