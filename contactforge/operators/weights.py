@@ -9,33 +9,35 @@ A drawn number is found by an equi-join on its bucket: a stretch is listed under
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SingleReplicon
+from . import prefix
 
 
 def running(table: DataFrame, weight: str) -> DataFrame:
     """Adds lo, hi (the segment's stretch), repl_lo, repl_hi, cell_lo, cell_hi, total to (cell, repl, seg_id, weight).
 
-    Only replicon totals pass through one task; segments are summed within their replicons.
+    One running sum over ranges of the order; the stretches of replicons and cells are its ends there. No task sees more
+    than a range of the segments, however many a replicon or a cell has.
     """
-    within = Window.partitionBy("cell", "repl").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = table.groupBy("cell", "repl").agg(F.sum(weight).alias("repl_weight"))
-    order = Window.orderBy("cell", "repl").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = totals.withColumn("repl_hi", F.sum("repl_weight").over(order)).withColumn("repl_lo", F.col("repl_hi") - F.col("repl_weight"))
-    placed = placed.withColumn("cell_lo", F.min("repl_lo").over(Window.partitionBy("cell"))).withColumn("cell_hi", F.max("repl_hi").over(Window.partitionBy("cell")))
-    placed = placed.withColumn("total", F.max("repl_hi").over(Window.partitionBy()))
-    both = table.withColumn("upto", F.sum(weight).over(within)).join(placed.drop("repl_weight"), ["cell", "repl"])
-    return both.withColumn("hi", F.col("repl_lo") + F.col("upto")).withColumn("lo", F.col("hi") - F.col(weight)).drop("upto")
+    placed = prefix.running(table, ["cell", "repl", "seg_id"], {"hi": weight}).withColumn("lo", F.col("hi") - F.col(weight))
+    replicons = placed.groupBy("cell", "repl").agg(F.min("lo").alias("repl_lo"), F.max("hi").alias("repl_hi"))
+    cells = replicons.groupBy("cell").agg(F.min("repl_lo").alias("cell_lo"), F.max("repl_hi").alias("cell_hi"))
+    total = F.coalesce(table.select(F.sum(weight)).scalar(), F.lit(0)).cast("long")
+    return placed.join(replicons.join(cells, "cell"), ["cell", "repl"]).withColumn("total", total)
 
 
 def cdf(table: DataFrame, weight: str, *groups: str) -> DataFrame:
     """Running share of the weight within the groups (the whole table if none), in order of cell, repl, seg_id."""
     keys = [k for k in ("cell", "repl", "seg_id") if k not in groups]
-    order = Window.partitionBy(*groups).orderBy(*keys)
-    upto = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return table.withColumn("cdf", upto / F.sum(weight).over(Window.partitionBy(*groups)))
+    placed = prefix.running(table, [*groups, *keys], {"__hi": weight})
+    if not groups:
+        return placed.withColumn("cdf", F.col("__hi") / table.select(F.sum(weight)).scalar()).drop("__hi")
+    ends = placed.groupBy(*groups).agg(F.min(F.col("__hi") - F.col(weight)).alias("__from"), F.max("__hi").alias("__to"))
+    share = (F.col("__hi") - F.col("__from")) / (F.col("__to") - F.col("__from"))
+    return placed.join(ends, list(groups)).withColumn("cdf", share).drop("__hi", "__from", "__to")
 
 
 def excluding(placed: DataFrame) -> DataFrame:

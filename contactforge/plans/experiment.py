@@ -20,7 +20,9 @@ from ..functions.draws import NORMAL_BOUND, below, normal, unit
 from ..functions.sequence import reverse_complement
 from ..operators import digest, reads, slices, weights
 from ..operators.enzymes import Enzyme, enzyme, junctions
+from ..sources.fasta import check_unique
 from ..storage import removed, written
+from ..store import Store, identified
 
 log = logging.getLogger(__name__)
 METHODS = {"hic": 0.5, "meta3c": 0.02, "dnase": 0.5}
@@ -85,31 +87,76 @@ class Settings:
         return max(self.insert_min, free if self.insert_max is None else min(free, self.insert_max))
 
 
-@dataclass
 class Community:
     """segments (seg_id, cell, repl, length, linear, copy_milli, anti_rate, trans_rate, n_repl, n_sites, weights), the
-    tiles of their sequences and cut sites; gaps and running weights are made when first asked for. All are written
-    once, as every pair looks things up in them several times."""
-
-    segments: DataFrame
-    tiles: DataFrame
-    enzymes: list[Enzyme]
-    sites: DataFrame | None = None
-    kept: dict[str, DataFrame] = field(default_factory=dict)
+    tiles of their sequences, cut sites, gaps and running weights: each is made when first asked for, and kept in the
+    store (see ``store``), as every pair looks things up in them several times and other runs may need them too."""
+
+    def __init__(self, segments: DataFrame, sequences: DataFrame, settings: Settings, stamp: str | None = None):
+        self.spark, self.store, self.stamp = segments.sparkSession, Store(segments.sparkSession), stamp
+        self.enzymes = [enzyme(n) for n in settings.enzymes]
+        self.overlap = max([settings.longest_insert, *(len(e.site) - 1 for e in self.enzymes)])
+        self._sequences = segments.select("seg_id", "linear").join(sequences, "seg_id")
+        self._key = "-".join(f"{e.site}.{e.cut}" for e in self.enzymes)
+        self._kept: dict[str, DataFrame] = {}
+        # What follows from the profile and the rates is kept under all of them; without a stamp, for this community.
+        rates = (settings.documented, settings.anti_rate, settings.trans_rate, self._key)
+        self._stamp = None if stamp is None else f"{stamp} {rates}"
+        self.segments = self._whole("segments", lambda: self._weighed(segments, settings))
 
     def _once(self, name: str, make) -> DataFrame:
-        if name not in self.kept:
-            self.kept[name] = written(make())
-        return self.kept[name]
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
+
+    def _whole(self, kind: str, make) -> DataFrame:
+        return self._once(kind, lambda: written(make()) if self._stamp is None else self.store.whole(kind, self._stamp, make))
+
+    def _index(self) -> DataFrame:
+        """Digests of all sequences: they are read for it, but only where the stamp isn't known."""
+        return self._once("index", lambda: written(identified(self._sequences)))
+
+    def _digested(self, kind: str, make) -> DataFrame:
+        return self._once(kind, lambda: self.store.rows(kind, self._index, make, self.stamp))
+
+    def _cut(self, new: DataFrame, overlap: int) -> DataFrame:
+        """Tiles of new segments. One long sequence is one input row: its tiles are dealt out before the work on them."""
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return digest.tiles(self._sequences.join(new.select("seg_id"), "seg_id", "left_semi"), overlap).repartition(spread, "seg_id", "tile")
+
+    @property
+    def tiles(self) -> DataFrame:
+        return self._digested(f"tiles-{digest.TILE}-{self.overlap}", lambda new: self._cut(new, self.overlap))
+
+    @property
+    def sites(self) -> DataFrame | None:
+        if not self.enzymes:
+            return None
+        return self._digested(f"sites-{digest.TILE}-{self._key}", lambda new: digest.cut_sites(None, self.enzymes, cut=self._cut(new, max(len(e.site) for e in self.enzymes) - 1)))
 
     @property
     def gaps(self) -> DataFrame | None:
-        return None if self.sites is None else self._once("gaps", lambda: digest.gaps(self.segments, self.sites))
+        if not self.enzymes:
+            return None
+        return self._digested(f"gaps-{digest.TILE}-{self._key}", lambda new: digest.gaps(new, self.sites.join(new.select("seg_id"), "seg_id", "left_semi")))
+
+    def _weighed(self, segments: DataFrame, settings: Settings) -> DataFrame:
+        """The usable segments with their weights: those without sites, or bases, fall out."""
+        check_unique(segments)
+        base = segments.drop("length").join(self._index().select("seg_id", "length").where("length > 0"), "seg_id")
+        base = base.withColumn("copy_milli", F.round(F.col("copy_number") * 1000).cast("long")).withColumn("anti_rate", F.when(F.col("linear"), 0.0).otherwise(F.col("anti_rate")))
+        if settings.documented:
+            base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
+        base = base.join(digest.site_counts(self.sites), "seg_id") if self.enzymes else base.withColumn("n_sites", F.col("length").cast("long"))
+        # Written first: a cell with very many segments is counted from its replicons, not gathered by a window.
+        found = self._once("found", lambda: written(base))
+        replicons = found.select("cell", "repl").distinct().groupBy("cell").agg(F.count("*").cast("int").alias("n_repl"))
+        return found.join(replicons, "cell").withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites"))
 
     def placed(self, kind: str) -> DataFrame:
         """Running weights by ``extent``, or of what ``ends`` are drawn by: sites, or extent without enzymes."""
-        kind = "extent" if self.sites is None else kind
-        return self._once(kind, lambda: weights.running(self.segments, "w_extent" if kind == "extent" else "w_sites"))
+        kind = kind if self.enzymes else "extent"
+        return self._whole(kind, lambda: weights.running(self.segments, "w_extent" if kind == "extent" else "w_sites"))
 
     def covers(self, rows: DataFrame, seg: str, pos: str, size: str) -> DataFrame:
         """Adds covered: whether a site lies in the stretch of each row. Without enzymes every base is a site."""
@@ -123,45 +170,22 @@ class Community:
         return self.segments.select("cell", "repl", "seg_id", "length", "n_sites", (F.col("n_sites") / F.col("length")).alias("density"), share("w_extent"), share("w_sites"))
 
     def release(self) -> None:
-        """Delete the written tables."""
-        for table in (self.segments, self.tiles, self.sites, *self.kept.values()):
-            if table is not None:
-                removed(table)
+        """Delete the written tables that aren't kept in the store."""
+        for table in self._kept.values():
+            removed(table)
 
 
-def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings) -> Community:
+def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings, stamp: str | None = None) -> Community:
     """Digest, then drop segments without sites; replicons and cells left without segments go with them.
 
     segments: seg_id, cell, repl, copy_number, linear and, optionally, anti_rate, trans_rate, abundance.
-    sequences: seg_id, seq (upper case). A segment that is listed twice is an error.
+    sequences: seg_id, seq (upper case). A segment that is listed twice is an error. ``stamp`` names what both are made
+    from (see ``store.file_stamp``): with a known one nothing is digested, nor are sequences read.
     """
-    from ..sources.fasta import check_unique
-
-    enzymes = [enzyme(n) for n in settings.enzymes]
     for name, default in (("anti_rate", settings.anti_rate), ("trans_rate", settings.trans_rate), ("abundance", 1.0)):
         own = F.col(name) if name in segments.columns else F.lit(None)
         segments = segments.withColumn(name, F.coalesce(own.cast("double"), F.lit(float(default))))
-    overlap = max([settings.longest_insert, *(len(e.site) - 1 for e in enzymes)])
-    # One long sequence is one input row: its tiles are dealt out before the work on them begins.
-    spread = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(digest.tiles(segments.select("seg_id", "linear").join(sequences, "seg_id"), overlap).repartition(spread, "seg_id", "tile"))
-    base = segments.drop("length").join(cut.where("tile = 0").select("seg_id", "length"), "seg_id")
-    base = base.withColumn("copy_milli", F.round(F.col("copy_number") * 1000).cast("long")).withColumn("anti_rate", F.when(F.col("linear"), 0.0).otherwise(F.col("anti_rate")))
-    if settings.documented:
-        base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
-    sites = None
-    if enzymes:
-        sites = written(digest.cut_sites(None, enzymes, cut=cut))
-        base = base.join(digest.site_counts(sites), "seg_id")
-    else:
-        base = base.withColumn("n_sites", F.col("length").cast("long"))
-    check_unique(segments)
-    # Written first: a cell with very many segments is counted from its replicons, not gathered by a window.
-    found = written(base)
-    replicons = found.select("cell", "repl").distinct().groupBy("cell").agg(F.count("*").cast("int").alias("n_repl"))
-    base = written(found.join(replicons, "cell").withColumn("w_extent", F.col("copy_milli") * F.col("length")).withColumn("w_sites", F.col("copy_milli") * F.col("n_sites")))
-    removed(found)
-    return Community(base, cut, enzymes, sites)
+    return Community(segments, sequences, settings, stamp)
 
 
 def insert_draws(pairs: DataFrame, s: Settings) -> DataFrame:

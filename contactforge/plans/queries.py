@@ -3,16 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions, draws
 from ..functions import sequence as sq
-from ..operators import digest, domains, reads, slices, weights
+from ..operators import digest, domains, prefix, reads, slices, weights
 from ..operators.enzymes import CUTS, enzyme, junctions
 from ..sinks.records import joined_parts, records, write_reads
 from ..sources import fasta, profile, quality
 from ..storage import fresh, removed
+from ..store import file_stamp
 from .corpus import (
     GENOME, LINEAR_SQL, NEAREST, SEED, USABLE, dealt, genome, inverse_sql, near_sql, nearest_sql, running_sql, segments, sites_sql, table, u_sql,
 )
@@ -212,7 +213,7 @@ def _(spark, d):
 
 @query("profile_table", f"SELECT row_number() OVER (ORDER BY cell || repl || seg_id) AS n, printf('%s\t%s\t%s\t%.6f\t%d', seg_id, cell, repl, abundance, copy_number::INT) AS line FROM ({PROFILE_SQL})")
 def _(spark, d):
-    return profile.table_rows(_profile(spark, d)).select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("n"), "line")
+    return prefix.numbered(profile.table_rows(_profile(spark, d)).select("ord", "line"), ["ord", "line"]).select("n", "line")
 
 
 @query("profile_hierarchy", f"""WITH p AS ({PROFILE_SQL}), r AS (SELECT cell, repl, count(*) AS n, string_agg(seg_id, ',' ORDER BY seg_id) AS s FROM p GROUP BY cell, repl)
@@ -276,7 +277,9 @@ def _settings(**kw) -> Settings:
 
 
 def _community(spark, d, s: Settings | None = None, linear=None) -> Community:
-    return prepare(segments(spark, d, linear), genome(spark, d).select("seg_id", "seq"), s or _settings())
+    """Made from the documents; a second query over the same files finds all that the first has digested."""
+    stamp = file_stamp(spark, f"{d}/documents.parquet", "genome", str(linear))
+    return prepare(segments(spark, d, linear), genome(spark, d).select("seg_id", "seq"), s or _settings(), stamp)
 
 
 def _cdf(name: str, weight: str, sql_weight: str, groups: list[str]):
@@ -295,12 +298,12 @@ _cdf("cdf_replicon", "w_sites", "copy_milli * n_sites", ["cell", "repl"])
 
 @query("running_weights", f"{COMMUNITY}, {running_sql('copy_milli * n_sites', 'r')} SELECT seg_id, lo, hi, repl_lo, repl_hi, cell_lo, cell_hi, total FROM r")
 def _(spark, d):
-    return weights.running(_community(spark, d).segments, "w_sites").select("seg_id", "lo", "hi", "repl_lo", "repl_hi", "cell_lo", "cell_hi", "total")
+    return _community(spark, d).placed("ends").select("seg_id", "lo", "hi", "repl_lo", "repl_hi", "cell_lo", "cell_hi", "total")
 
 
 @query("cdf_excluding_replicon", f"{COMMUNITY}, {running_sql('copy_milli * n_sites', 'r')} SELECT DISTINCT cell, repl, (cell_hi - cell_lo - repl_hi + repl_lo)::BIGINT AS other_weight FROM r")
 def _(spark, d):
-    return weights.excluding(weights.running(_community(spark, d).segments, "w_sites"))
+    return weights.excluding(_community(spark, d).placed("ends"))
 
 
 @query("community_report", f"{COMMUNITY} SELECT cell, repl, seg_id, length, n_sites, round(n_sites / length, 12) AS density, round(copy_milli * length / sum(copy_milli * length) OVER (), 12) AS share_extent, round(copy_milli * n_sites / sum(copy_milli * n_sites) OVER (), 12) AS share_sites FROM usable")
@@ -679,7 +682,7 @@ def _(spark, d):
         removed(write_reads(made, *(f"{at}/{n}" for n in names)))
         for name in names:
             lines = spark.read.option("lineSep", "\n@SIM:").text(f"{at}/{name}").select(F.regexp_replace("value", r"\A@SIM:|\n\z", "").alias("v"), F.monotonically_increasing_id().alias("at"))
-            rows = lines.select(F.lit(name.split(".")[0]).alias("file"), F.row_number().over(Window.orderBy("at")).cast("long").alias("n"), F.concat(F.lit("@SIM:"), "v").alias("record"))
+            rows = prefix.numbered(lines, ["at"]).select(F.lit(name.split(".")[0]).alias("file"), "n", F.concat(F.lit("@SIM:"), "v").alias("record"))
             out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 import logging
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContactError
 from ..functions.draws import normal, unit
+from ..operators.prefix import numbered
 
 log = logging.getLogger(__name__)
 SCHEMA = "seg_id string, cell string, repl string, abundance double, copy_number double"
@@ -29,14 +30,14 @@ def settle(rows: DataFrame, normalise: bool = False, order: str = "ord") -> Data
     cells = rows.groupBy("cell").agg(F.min_by("abundance", order).alias("abundance"))
     repls = rows.groupBy("cell", "repl").agg(F.min_by("copy_number", order).alias("copy_number"))
     if normalise:
-        cells = cells.withColumn("abundance", F.col("abundance") / F.sum("abundance").over(Window.partitionBy()))
+        cells = cells.withColumn("abundance", F.col("abundance") / cells.select(F.sum("abundance")).scalar())
     return rows.select("seg_id", "cell", "repl").join(repls, ["cell", "repl"]).join(cells, "cell").select("seg_id", "cell", "repl", "abundance", "copy_number")
 
 
 def normalise_last(rows: DataFrame, order: str = "ord") -> DataFrame:
     """(cell, abundance, conflicting): the last row of a cell counts; says whether its rows differ."""
     cells = rows.groupBy("cell").agg(F.max_by("abundance", order).alias("abundance"), (F.countDistinct("abundance") > 1).alias("conflicting"))
-    return cells.withColumn("abundance", F.col("abundance") / F.sum("abundance").over(Window.partitionBy()))
+    return cells.withColumn("abundance", F.col("abundance") / cells.select(F.sum("abundance")).scalar())
 
 
 def read_toml(spark: SparkSession, text: str, normalise: bool = False, trans_rate: float = 0.1, anti_rate: float = 0.2, linear: bool = False) -> tuple[DataFrame, float | None]:
@@ -85,7 +86,7 @@ def table_rows(profile: DataFrame) -> DataFrame:
 
 def distribute(taxa: DataFrame, mode: str, seed: int = 1, mu: float = 1.0, sigma: float = 1.0, key: str = "name") -> DataFrame:
     """Adds abundance to taxa: equal, uniform or lognormal, summing to 1. Draws go by rank in order of name."""
-    ranked = taxa.withColumn("rank", F.row_number().over(Window.orderBy(key)))
+    ranked = numbered(taxa, [key], "rank").withColumn("rank", F.col("rank").cast("int"))
     weight: Column
     if mode == "equal":
         weight = F.lit(1.0)
@@ -95,7 +96,7 @@ def distribute(taxa: DataFrame, mode: str, seed: int = 1, mu: float = 1.0, sigma
         weight = F.exp(F.lit(mu) + F.lit(sigma) * normal(seed, "abundance", "rank"))
     else:
         raise ContactError(f"unknown distribution {mode}")
-    return ranked.withColumn("abundance", weight).withColumn("abundance", F.col("abundance") / F.sum("abundance").over(Window.partitionBy()))
+    return ranked.withColumn("abundance", weight / ranked.select(F.sum(weight)).scalar())
 
 
 def long_name(cell: Column, repl: Column, name: Column) -> Column:

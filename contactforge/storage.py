@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ContactError
 
-#: Paths written by this process, in order, with the session's application.
-_held: dict[str, list[str]] = {}
+#: Paths written by this process and not yet deleted, by the session's application.
+_held: dict[str, set[str]] = {}
+#: What the innermost open block has written; each thread has blocks of its own.
+_block: ContextVar[list[str] | None] = ContextVar("block", default=None)
+_lock = threading.Lock()
 _own_folder: dict[str, str] = {}
+_PATH = "_written_at"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,7 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession) -> str:
     """A path for a table or file of the session that doesn't exist yet; it is deleted with the others."""
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
+    with _lock:
+        _held.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    if (block := _block.get()) is not None:
+        block.append(path)
     return path
 
 
@@ -47,52 +56,64 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    held = _held.get(spark.sparkContext.applicationId, [])
-    if path in held:
-        held.remove(path)
+    with _lock:
+        _held.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def removed(df: DataFrame) -> None:
-    """Delete a written table that nothing will read again."""
-    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
-    for path in [p for p in _held.get(df.sparkSession.sparkContext.applicationId, []) if p.rsplit("/", 1)[1] in names]:
+    """Delete a table that ``written`` or ``settled`` has returned and that nothing will read again; anything else
+    stays."""
+    path = getattr(df, _PATH, None)
+    if path in _held.get(df.sparkSession.sparkContext.applicationId, ()):
         _delete(df.sparkSession, path)
 
 
 @contextmanager
-def owned(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables written inside the block at its end; results must have been read by then."""
-    held = _held.setdefault(spark.sparkContext.applicationId, [])
-    before = set(held)
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that its own thread has written inside the block; results must have been read by
+    then. A path that is taken off the list stays."""
+    mine: list[str] = []
+    outer = _block.set(mine)
     try:
-        yield
+        yield mine
     finally:
-        for path in [p for p in held if p not in before]:
-            _delete(spark, path)
+        _block.reset(outer)
+        for path in mine:
+            if path in _held.get(spark.sparkContext.applicationId, ()):
+                _delete(spark, path)
 
 
 def settled(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """The result of ``make`` as one written table; all that was written on the way is deleted."""
-    held = _held.setdefault(spark.sparkContext.applicationId, [])
-    with owned(spark):
+    """The result of ``make`` as one written table, of the block around; all that was written on the way is deleted."""
+    with owned(spark) as mine:
         out = written(make())
-        kept = held.pop()
-    held.append(kept)
+        mine.remove(getattr(out, _PATH))
+    if (block := _block.get()) is not None:
+        block.append(getattr(out, _PATH))
     return out
 
 
 def remove_all(spark: SparkSession) -> None:
     """Delete every table that this process has written for the session."""
-    for path in list(_held.get(spark.sparkContext.applicationId, [])):
+    for path in sorted(_held.get(spark.sparkContext.applicationId, ())):
         _delete(spark, path)
 
 
+def unowned(spark: SparkSession, path: str) -> str:
+    """Puts a path of no block's on the session's list: it stays until ``remove_all`` or the end of the process."""
+    with _lock:
+        _held.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 @atexit.register
 def _at_exit() -> None:
     spark = SparkSession._instantiatedSession

@@ -1,5 +1,6 @@
 """Written tables and their owners."""
 import glob
+import threading
 
 import pytest
 
@@ -42,3 +43,36 @@ def test_owners(spark, monkeypatch):
     storage.written(spark.range(3))
     storage.remove_all(spark)
     assert there() == before and spark.conf.get("spark.checkpoint.dir", None) == named
+
+
+def test_blocks_of_two_threads(spark):
+    """Each block deletes what its own thread has written, whatever the other one writes meanwhile."""
+    began, ended, kept = threading.Event(), threading.Event(), []
+
+    def other():
+        with storage.owned(spark):
+            began.wait(60)
+            kept.append(storage.written(spark.range(4)))
+            ended.wait(60)
+            kept.append(kept[0].count())
+
+    t = threading.Thread(target=other)
+    t.start()
+    with storage.owned(spark):
+        mine = storage.written(spark.range(2))
+        began.set()
+        while not kept:
+            threading.Event().wait(0.05)
+        assert mine.count() == 2
+    ended.set()
+    t.join()
+    assert kept[1] == 4
+
+
+def test_only_written_tables_are_removed(spark):
+    a = storage.written(spark.range(3))
+    storage.removed(a.where("id > 0"))
+    storage.removed(spark.range(3))
+    assert a.count() == 3
+    storage.removed(a)
+    storage.removed(a)
