@@ -13,8 +13,9 @@ from .errors import ContactError
 from .operators.reads import summary
 from .plans.experiment import METHODS, Settings, prepare, simulate
 from .sinks.records import output_kind, write_profile, write_reads
-from .sources import fasta, profile, quality
+from .sources import fasta, profile, quality, tiled
 from .storage import removed
+from .store import file_stamp
 
 VERSION = "0.2"
 #: Rows of a procedural profile that are shown; the file has all.
@@ -95,18 +96,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             insert_min=a.insert_min, insert_max=a.insert_max, efficiency=a.efficiency, anti_rate=a.anti_rate, trans_rate=a.trans_rate,
             spurious_rate=a.spurious_rate, bridge=a.bridge_adapter, simple=a.simple_reads, ins_rate=a.ins_rate, del_rate=a.del_rate, documented=a.documented,
         )
-        sequences = fasta.read_fasta(spark, a.sequences, a.convert)
-        fasta.check_unique(sequences)
-        segments, settings.spurious_rate = community(spark, a, sequences)
+        source = tiled.opened(spark, a.sequences, a.convert, some=bool(a.profile))
+        names = source.lengths()
+        segments, settings.spurious_rate = community(spark, a, names)
         fasta.check_unique(segments)
-        fasta.check_known(segments, sequences)
+        fasta.check_known(segments, names)
         levels = None
         if not a.simple_reads and a.machine_profile == quality.PARAMETRIC:
             levels = quality.parametric(spark, a.read_length)
         elif not a.simple_reads:
             first, second = quality.profile_files(a.machine_profile, a.machine_folder)
             levels = quality.levels(quality.read_profile(spark, first), quality.read_profile(spark, second), a.read_length)
-        made = prepare(segments, sequences, settings)
+        # What the community is made from: with the same files and options, a store that is kept has it already.
+        given = file_stamp(spark, a.profile, a.profile_format) if a.profile else (a.dist, a.seed, a.lognorm_mu, a.lognorm_sigma)
+        made = prepare(segments, source, settings, f"{source.stamp} {given} {a.linear}")
         numbers = spark.range(1, a.num_pairs + 1).withColumnRenamed("id", "idx")
         held = write_reads(simulate(numbers, made, settings, levels), a.output, a.output2, not a.folders)
         print("pairs: " + ", ".join(f"{k} {v}" for k, v in summary(held).first().asDict().items()))

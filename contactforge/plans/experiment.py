@@ -21,6 +21,7 @@ from ..functions.sequence import reverse_complement
 from ..operators import digest, reads, slices, weights
 from ..operators.enzymes import Enzyme, enzyme, junctions
 from ..sources.fasta import check_unique
+from ..sources.tiled import SequenceFiles
 from ..storage import removed, written
 from ..store import Store, identified
 
@@ -92,11 +93,12 @@ class Community:
     tiles of their sequences, cut sites, gaps and running weights: each is made when first asked for, and kept in the
     store (see ``store``), as every pair looks things up in them several times and other runs may need them too."""
 
-    def __init__(self, segments: DataFrame, sequences: DataFrame, settings: Settings, stamp: str | None = None):
+    def __init__(self, segments: DataFrame, sequences: DataFrame | SequenceFiles, settings: Settings, stamp: str | None = None):
         self.spark, self.store, self.stamp = segments.sparkSession, Store(segments.sparkSession), stamp
         self.enzymes = [enzyme(n) for n in settings.enzymes]
         self.overlap = max([settings.longest_insert, *(len(e.site) - 1 for e in self.enzymes)])
-        self._sequences = segments.select("seg_id", "linear").join(sequences, "seg_id")
+        self._shapes, self._files = segments.select("seg_id", "linear"), sequences if isinstance(sequences, SequenceFiles) else None
+        self._sequences = None if self._files else self._shapes.join(sequences, "seg_id")
         self._key = "-".join(f"{e.site}.{e.cut}" for e in self.enzymes)
         self._kept: dict[str, DataFrame] = {}
         # What follows from the profile and the rates is kept under all of them; without a stamp, for this community.
@@ -113,7 +115,11 @@ class Community:
         return self._once(kind, lambda: written(make()) if self._stamp is None else self.store.whole(kind, self._stamp, make))
 
     def _index(self) -> DataFrame:
-        """Digests of all sequences: they are read for it, but only where the stamp isn't known."""
+        """Digests of all sequences: they are read for it, but only where the stamp isn't known. Segments of files go by the
+        files' stamp instead."""
+        if self._files:
+            where = F.lit(self._files.stamp)
+            return self._once("index", lambda: written(self._shapes.join(self._files.lengths(), "seg_id").select("seg_id", F.concat(where, F.when(F.col("linear"), "l").otherwise("c")).alias("digest"), "length", "linear")))
         return self._once("index", lambda: written(identified(self._sequences)))
 
     def _digested(self, kind: str, make) -> DataFrame:
@@ -121,6 +127,8 @@ class Community:
 
     def _cut(self, new: DataFrame, overlap: int) -> DataFrame:
         """Tiles of new segments. One long sequence is one input row: its tiles are dealt out before the work on them."""
+        if self._files:
+            return self._files.tiles(new.select("seg_id", "linear"), overlap)
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return digest.tiles(self._sequences.join(new.select("seg_id"), "seg_id", "left_semi"), overlap).repartition(spread, "seg_id", "tile")
 
@@ -175,11 +183,11 @@ class Community:
             removed(table)
 
 
-def prepare(segments: DataFrame, sequences: DataFrame, settings: Settings, stamp: str | None = None) -> Community:
+def prepare(segments: DataFrame, sequences: DataFrame | SequenceFiles, settings: Settings, stamp: str | None = None) -> Community:
     """Digest, then drop segments without sites; replicons and cells left without segments go with them.
 
     segments: seg_id, cell, repl, copy_number, linear and, optionally, anti_rate, trans_rate, abundance.
-    sequences: seg_id, seq (upper case). A segment that is listed twice is an error. ``stamp`` names what both are made
+    sequences: seg_id, seq (upper case), or files of them that are cut into tiles without a whole sequence in a row. A segment that is listed twice is an error. ``stamp`` names what both are made
     from (see ``store.file_stamp``): with a known one nothing is digested, nor are sequences read.
     """
     for name, default in (("anti_rate", settings.anti_rate), ("trans_rate", settings.trans_rate), ("abundance", 1.0)):

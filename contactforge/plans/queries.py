@@ -11,7 +11,7 @@ from ..functions import sequence as sq
 from ..operators import digest, domains, prefix, reads, slices, weights
 from ..operators.enzymes import CUTS, enzyme, junctions
 from ..sinks.records import joined_parts, records, write_reads
-from ..sources import fasta, profile, quality
+from ..sources import fasta, profile, quality, tiled
 from ..storage import fresh, removed
 from ..store import file_stamp
 from .corpus import (
@@ -96,6 +96,22 @@ def _(spark, d):
     return fasta.sequence_ids(fasta.read_fasta(spark, path))
 
 
+def _tiles(name: str, source, end: str):
+    """Records of lines of 60 bases as files, read as tiles with 150 bases of the next one; some molecules are circular."""
+    @query(name, f"""WITH {GENOME}, w AS (SELECT seg_id, length(seq) AS n, {LINEAR_SQL} AS linear, seq || CASE WHEN {LINEAR_SQL} THEN '' ELSE substr(seq, 1, least(150, length(seq))) END AS s FROM genome)
+SELECT seg_id, linear, n AS length, t::INT AS tile, md5(substr(s, (t * 4096 + 1)::INT, 4096 + 150)) AS digest FROM w, range(0, (SELECT max(n) FROM w) // 4096 + 1) r(t) WHERE t * 4096 < n""")
+    def _(spark, d):
+        path = fresh(spark)
+        g = genome(spark, d)
+        g.select(F.concat(F.lit(">"), "seg_id", F.lit(f" x{end}\n"), F.regexp_replace("seq", "(.{60})", f"$1{end}\n"), F.lit(end))).write.text(path)
+        cut = source(spark, path).tiles(g.select("seg_id", F.expr(LINEAR_SQL).alias("linear")), 150)
+        return cut.select("seg_id", "linear", F.col("length").cast("long").alias("length"), "tile", F.md5("part").alias("digest"))
+
+
+_tiles("fasta_tiles", tiled.SequenceFiles, "\r")
+_tiles("fasta_ranges", tiled.IndexedFiles, "")
+
+
 # --- digestion ---------------------------------------------------------------------------------------------------
 
 def _scan(name: str, enzymes: list[str], linear: bool | str):

@@ -118,3 +118,23 @@ def test_numbered_draws_are_even(spark):
     assert abs(u.mean() - 0.5) < 0.02 and abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.05 and np.histogram(u, 10, (0, 1))[0].min() > 500
     got = spark.range(50).select(draws.counted(F.lit("123456789abcdef0" + "0" * 16), F.col("id")).alias("u")).collect()
     assert [r.u for r in got] == u[:50].tolist()
+
+
+def test_parts_are_joined_by_tasks(spark, tmp_path, monkeypatch):
+    """Each part at its own place, whatever was there before; the driver reads none of them."""
+    from contactforge.sinks import records
+
+    monkeypatch.setattr(records, "BLOCK", 7)
+    folder = tmp_path / "with space"
+    for codec, opened in (("none", open), ("gzip", gzip.open), ("bzip2", bz2.open)):
+        folder.mkdir(exist_ok=True)
+        (folder / "out").write_text("something longer that was there before" * 100)
+        spark.range(0, 1000, 1, 7).select(F.concat(F.lit("line "), F.col("id").cast("string"))).write.mode("overwrite").option("compression", codec).text(f"{folder}/out.parts")
+        assert records.joined_parts(spark, f"{folder}/out.parts", f"{folder}/out") == "places"
+        with opened(folder / "out", "rt") as f:
+            assert f.read() == "".join(f"line {i}\n" for i in range(1000))
+        assert sorted(p.name for p in folder.iterdir()) == ["out"]
+    spark.createDataFrame([], "v string").write.text(f"{folder}/none.parts")
+    records.joined_parts(spark, f"{folder}/none.parts", f"{folder}/none")
+    assert (folder / "none").read_text() == ""
+    assert spark.read.text(f"{folder}/none").count() == 0
