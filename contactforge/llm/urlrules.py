@@ -80,17 +80,36 @@ def with_common(rows: DataFrame, common: DataFrame) -> DataFrame:
     return rows.withColumn("m", held.scalar()).withColumn("t", F.sort_array(F.array_distinct(found))).drop("m")
 
 
-def mine(labelled: DataFrame, common: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+#: Rows that FP-growth reads (and one more for each distinct basket): beyond that each row stands for several URLs.
+MINED_ROWS = 1_000_000
+
+
+def mine(labelled: DataFrame, common: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, mined_rows: int = MINED_ROWS) -> DataFrame:
     """From baskets (verdict, tokens, n) and their common tokens: rule_tokens, verdict, confidence, support of every
-    rule that no part of its tokens makes redundant. Written to the shared folder."""
-    held = with_common(labelled, common)
-    # Equal baskets are counted once, then stand again for each of their URLs.
-    held = held.groupBy("t", "verdict").agg(F.sum("n").alias("n")).select(F.concat("t", F.array(F.concat(F.lit("="), "verdict"))).alias("items"), "n")
-    items = held.select("items", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.element_at("consequent", 1).isin(ALLOW, BLOCK))
-    rules = rules.where(~F.array_contains("antecedent", ALLOW) & ~F.array_contains("antecedent", BLOCK))
-    rules = stash(rules.select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "support"))
+    rule that no part of its tokens makes redundant. Written to the shared folder.
+
+    Equal baskets are counted once. FP-growth knows no counts, so a basket of n URLs stands for n / g rows, rounded up, with one g
+    for all that bounds the rows. No set of tokens loses share in rows by more than the threshold is lowered, so every
+    frequent one is found; its support and confidence are then counted from the baskets themselves.
+    """
+    held = stash(with_common(labelled, common).groupBy("t", "verdict").agg(F.sum("n").alias("n")))
+    total = held.agg(F.sum("n")).first()[0] or 0
+    each = max(1, -(-total // mined_rows))
+    rows = F.ceil(F.col("n") / each).cast("int")
+    weight = held.agg(F.sum(rows)).first()[0] or 0
+    least = min_support * (total / each / weight if weight else 1) * (1 - 1e-9)
+    items = held.select(F.concat("t", F.array(F.concat(F.lit("="), "verdict"))).alias("items"), F.explode(F.array_repeat(F.lit(0), rows))).select("items")
+    sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items).freqItemsets
+    says = F.array_intersect("items", F.array(F.lit(ALLOW), F.lit(BLOCK)))
+    sets = sets.withColumn("says", says).where((F.size("says") == 1) & (F.size("items") > 1))
+    sets = stash(sets.select(F.array_sort(F.array_except("items", "says")).alias("rule_tokens"), F.substring(F.element_at("says", 1), 2, 9).alias("verdict")))
+    # Each rule meets the baskets that hold one of its tokens, and counts in those that hold all.
+    posted = sets.select("rule_tokens", F.element_at("rule_tokens", -1).alias("token")).distinct()
+    met = held.select("t", "verdict", "n", F.explode("t").alias("token")).join(posted, "token").where(F.size(F.array_except("rule_tokens", "t")) == 0)
+    counts = met.groupBy("rule_tokens").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")))
+    own = F.when(F.col("verdict") == "allow", F.col("allow")).otherwise(F.col("block"))
+    rules = sets.join(counts, "rule_tokens").select("rule_tokens", "verdict", (own / F.col("all")).alias("confidence"), (own / F.lit(max(total, 1))).alias("support"))
+    rules = stash(rules.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)))
     # A rule goes if a part of its tokens says the same at least as surely: an equi-join with its parts.
     marked = rules.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size("rule_tokens")) - 2))).where(F.size("rule_tokens") > 1)
     part = F.filter("rule_tokens", lambda t, i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
@@ -98,7 +117,8 @@ def mine(labelled: DataFrame, common: DataFrame, min_support: float = MIN_SUPPOR
     shorter = rules.select(F.col("rule_tokens").alias("part"), "verdict", F.col("confidence").alias("surer"))
     covered = parts.join(shorter, ["part", "verdict"]).where("surer >= confidence").select("rule_tokens", "verdict").distinct()
     out = stash(rules.join(covered, ["rule_tokens", "verdict"], "left_anti"))
-    discard(rules)
+    for used in (held, sets, rules):
+        discard(used)
     return out
 
 

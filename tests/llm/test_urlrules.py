@@ -102,3 +102,20 @@ def test_repeated_rows_null_ids_and_no_labels(spark):
     assert all(r.verdict == "allow" for r in urlrules.judge(df.where("page_id = 1")).collect())
     assert all(r.verdict == "allow" and r.rule is None for r in urlrules.judge(df, rules=()).collect())
     assert urlrules.judge(df.limit(0)).count() == 0
+
+
+def test_counts_beyond_any_array(spark):
+    """Baskets of 5 * 10^9 URLs, and rules that don't depend on how many rows stand for them."""
+    baskets = [("allow", ["a", "b"], 5_000_000_000), ("block", ["a", "c"], 2_500_000_000), ("block", ["c"], 40_000_000), ("allow", ["c", "d"], 1), ("block", ["d"], 3)]
+    df = spark.createDataFrame(baskets, "verdict string, tokens array<string>, n long")
+    common = urlrules.common_tokens(df, 0.001)
+    order = lambda x: sorted((*r.rule_tokens, r.verdict, round(r.confidence, 12), round(r.support, 12)) for r in x.collect())
+    total = sum(n for *_, n in baskets)
+    got = order(urlrules.mine(df, common, 0.001, 0.5, 2000))
+    # b stands for itself alone, and c is block's but for one URL.
+    assert ("b", "allow", 1.0, round(5_000_000_000 / total, 12)) in got
+    assert ("c", "block", round(2_540_000_000 / 2_540_000_001, 12), round(2_540_000_000 / total, 12)) in got
+    assert ("a", "allow", round(2 / 3, 12), round(5_000_000_000 / total, 12)) in got
+    small = spark.createDataFrame([(v, t, max(1, n // 2_500_000)) for v, t, n in baskets if n > 5], df.schema)
+    one = [order(urlrules.mine(small, urlrules.common_tokens(small, 0.001), 0.001, 0.5, rows)) for rows in (10**6, 700, 3)]
+    assert one[0] == one[1] == one[2] and len(one[0]) >= 3
