@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, map_arrow, shuffle_partitions, slices, stash, table
+from .words import splitter, word_blocks
 
 BITS_APART = 2
 SHINGLE = 3
@@ -34,29 +35,35 @@ SHRINKS = 0.9
 LEAF = 96
 
 
-def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
-    """XXH64 of every run of ``shingle`` words; a shorter text is one run, a wordless one has none."""
-    words = data.lower().split()  # of bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return np.zeros(0, np.uint64)
-    whole = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(whole, 42)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    end = (begin + sizes)[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(whole[a:b], 42) for a, b in zip(begin.tolist(), end, strict=False)], np.uint64)
+#: Bytes of a text whose words stand in a list at once.
+TEXT_BLOCK = 1 << 18
+SPLIT = splitter(bytes(range(9, 14)))
+
+
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``shingle`` words, block by block; a shorter text is one run, a wordless one has none."""
+    digest, tail, some = xxhash.xxh64_intdigest, [], False
+    for words in word_blocks(data, SPLIT, TEXT_BLOCK):
+        words = [*tail, *words]
+        if len(words) < shingle:
+            tail = words
+            continue
+        whole = b" ".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        end = (begin + sizes)[shingle - 1 :].tolist()
+        yield np.array([digest(whole[a:b], 42) for a, b in zip(begin.tolist(), end, strict=False)], np.uint64)
+        tail, some = words[len(words) - shingle + 1 :], True
+    if tail and not some:
+        yield np.array([digest(b" ".join(tail), 42)], np.uint64)
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(data, shingle)
-    if not len(hashes):
-        return 0
-    n = len(hashes)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data, shingle):
+        n += len(hashes)
+        for i in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 

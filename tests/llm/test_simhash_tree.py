@@ -42,3 +42,30 @@ def test_rows_without_an_id_and_repeated_rows(spark):
     rows = [(5, "one two three four"), (5, "one two three four"), (None, "one two three four"), (None, "all alone here now"), (7, None), (8, ""), (None, " "), (3, "One  TWO three four")]
     got = sorted(((r.doc_id, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(5, 3), (5, 3), (None, 3), (None, None), (7, 7), (8, 7), (None, 7), (3, 3)], key=str)
+
+
+@pytest.mark.parametrize("shingle", [1, 3, 5])
+def test_hashes_in_blocks_equal_the_whole(monkeypatch, shingle):
+    import random
+
+    import xxhash
+
+    r = random.Random(shingle)
+    texts = [b"", b"  ", b"One", b"a b", b"x" * 900, *(b" \t".join(bytes(r.choices(b"abcAB\xc3\xa9", k=r.randrange(1, 9))) for _ in range(r.randrange(1, 400))) for _ in range(30))]
+    for text in texts:
+        words = text.lower().split()
+        want = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(len(words) - shingle + 1, bool(words)))]
+        for block in (7, 64, 1 << 18):
+            monkeypatch.setattr(neardup, "TEXT_BLOCK", block)
+            assert [int(h) for part in neardup.shingle_hashes(text, shingle) for h in part] == want
+
+
+def test_long_texts_in_bounded_memory():
+    """A text's list of words and hashes stands in memory for one block of it only."""
+    import tracemalloc
+
+    text = b"".join(b"%d the quick brown fox " % i for i in range(120_000))
+    tracemalloc.start()
+    assert neardup.fingerprint(text) and len(text) > 3_000_000
+    assert tracemalloc.get_traced_memory()[1] < 15_000_000
+    tracemalloc.stop()
