@@ -23,6 +23,8 @@ SCALE = 1024
 K = 10
 #: Bytes of a block of candidates and of queries (components as 64-bit integers).
 CANDIDATE_BYTES, QUERY_BYTES = 4 << 20, 1 << 18
+#: A narrower vector counts as one of so many components: it is rows that the matrix of scores grows with.
+NARROW = 64
 STEP = 16
 LIMIT = 1 << 63
 
@@ -52,7 +54,7 @@ def _pack(size: int):
                 ids, rows = held.setdefault(e - s, ([], []))
                 ids.append(i)
                 rows.append(x.astype(np.int64))
-                if len(ids) * 8 * max(e - s, 1) >= size:
+                if len(ids) * 8 * max(e - s, NARROW) >= size:
                     yield block(e - s)
         for width in list(held):
             yield block(width)

@@ -28,3 +28,16 @@ def test_wide_vectors_and_few_candidates(spark):
     assert len(got) == 29 and [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(1, 30))
     ties = topk.top_k(df, F.col("vec_id") == 1).collect()
     assert [r.vec_id for r in sorted(ties, key=lambda r: r.rank)] == [3, 7, 11, 15, 19, 23, 27, 2, 6, 10]
+
+
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_narrow_vectors_in_blocks_of_bounded_rows(width):
+    """Blocks hold no more rows than of wide vectors, so that the matrix of scores is bounded."""
+    import pyarrow as pa
+
+    n = 20_000
+    v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.random.default_rng(1).normal(size=n * width)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), v], ["vec_id", "v"])
+    for size in (topk.CANDIDATE_BYTES, topk.QUERY_BYTES):
+        rows = [len(b.column(2)[0].as_py()) // 8 for b in topk._pack(size)(iter([batch]))]
+        assert sum(rows) == n and max(rows) <= size // (8 * topk.NARROW)
