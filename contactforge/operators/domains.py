@@ -66,13 +66,20 @@ def blocks(domains: DataFrame) -> DataFrame:
     return both.withColumn("share", F.col("prob") / F.sum("prob").over(Window.partitionBy("chrom", "block_begin"))).select("chrom", "block_begin", "block_end", "begin", "end", "share")
 
 
-#: Bases of a chromosome that one key of the interval join stands for.
-STRETCH = 1 << 16
+#: Bins of 2^14 bases, and of eight times as many on each level above; the last level is one bin a chromosome.
+LEVELS = (14, 17, 20, 23, 26, 29, 32, 62)
+
+
+def binned(domains: DataFrame) -> DataFrame:
+    """Each interval that isn't empty once, with the smallest bin that holds it: level and number of the bin."""
+    fits = lambda s: F.call_function("shiftright", F.col("begin"), F.lit(s)) == F.call_function("shiftright", F.col("end") - 1, F.lit(s))
+    level = F.coalesce(*(F.when(fits(s), F.lit(s)) for s in LEVELS))
+    return domains.where("end > begin").withColumn("level", level).withColumn("bin", F.call_function("shiftright", F.col("begin"), F.col("level")))
 
 
 def containing(points: DataFrame, domains: DataFrame) -> DataFrame:
-    """Points (chrom, x, ...) with every domain that holds them: begin <= x < end. An equi-join on chromosome and stretch:
-    a point meets the domains of its own stretch only, and one chromosome is many keys."""
-    each = domains.where("end > begin").withColumn("stretch", F.explode(F.sequence(F.floor(F.col("begin") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))))
-    at = points.withColumn("stretch", F.floor(F.col("x") / STRETCH))
-    return at.join(each, ["chrom", "stretch"]).where("begin <= x AND x < end").drop("stretch")
+    """Points (chrom, x, ...) with every domain that holds them: begin <= x < end. An equi-join on bins: an interval is listed
+    once, whatever its width, and a point looks up the one bin of each level that it lies in."""
+    level = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
+    at = points.select("*", level).withColumn("bin", F.call_function("shiftright", F.col("x"), F.col("level")))
+    return at.join(binned(domains), ["chrom", "level", "bin"]).where("begin <= x AND x < end").drop("level", "bin")

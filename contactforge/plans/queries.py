@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions, draws
 from ..functions import sequence as sq
-from ..operators import digest, domains, prefix, reads, slices, weights
+from ..operators import cutters, digest, domains, prefix, reads, slices, weights
 from ..operators.enzymes import CUTS, enzyme, junctions
 from ..sinks.records import joined_parts, records, write_reads
 from ..sources import fasta, profile, quality, tiled
@@ -130,6 +131,27 @@ _scan("site_scan_circular", DUAL, False)
 _scan("site_scan_mixed_shapes", ["NlaIII", "HindIII"], LINEAR_SQL)
 _scan("site_scan_three_prime", ["PstI"], LINEAR_SQL)
 
+def _all_sites_sql() -> str:
+    """Every pattern of every enzyme by its first four bases, then as a whole, at every place of the sequence."""
+    rows = []
+    for p in cutters.patterns(cutters.everything()):
+        heads = product(*(sq.IUPAC.get(c, c).strip("[]") for c in p.site[:4]))
+        rows += [f"({p.enz}, '{''.join(h)}', '^{sq.site_pattern(p.site)}$', {len(p.site)}, {p.cut})" for h in heads]
+    longest = max(len(p.site) for p in cutters.patterns(cutters.everything())) - 1
+    return f"""WITH {GENOME}, p(enz, head, pattern, size, cut) AS (VALUES {", ".join(rows)}),
+w AS (SELECT seg_id, length(seq) AS n, {LINEAR_SQL} AS linear, seq || CASE WHEN {LINEAR_SQL} THEN '' ELSE substr(seq, 1, least({longest}, length(seq))) END AS s FROM genome),
+i AS (SELECT seg_id, n, linear, s, unnest(range(0, n)) AS k FROM w), h AS (SELECT *, substr(s, (k + 1)::INT, 4) AS head FROM i),
+f AS (SELECT seg_id, n, linear, enz, k + cut AS place FROM h JOIN p USING (head) WHERE length(substr(s, (k + 1)::INT, size)) = size AND regexp_matches(substr(s, (k + 1)::INT, size), pattern))
+SELECT DISTINCT seg_id, enz, (((place % n) + n) % n)::INT AS pos FROM f WHERE NOT linear OR (place >= 0 AND place < n)"""
+
+
+@query("site_scan_all", _all_sites_sql())
+def _(spark, d):
+    """All enzymes of the catalogue at once, those that cut behind their site on both strands."""
+    g = genome(spark, d).select("seg_id", "seq", F.expr(LINEAR_SQL).alias("linear"))
+    return cutters.all_sites(g, cutters.everything()).select("seg_id", "enz", "pos")
+
+
 SEG_COUNTS = f"WITH {GENOME}, {sites_sql(GATC)}, n AS (SELECT seg_id, count(*) AS n_sites FROM sites GROUP BY seg_id)"
 
 

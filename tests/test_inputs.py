@@ -138,3 +138,14 @@ def test_parts_are_joined_by_tasks(spark, tmp_path, monkeypatch):
     records.joined_parts(spark, f"{folder}/none.parts", f"{folder}/none")
     assert (folder / "none").read_text() == ""
     assert spark.read.text(f"{folder}/none").count() == 0
+
+
+def test_an_interval_is_listed_once(spark):
+    r = random.Random(9)
+    doms = [("x", 0, 2**33), ("x", 16383, 16385), ("x", 5, 5), *(("x", b := r.randrange(2**31), b + r.randrange(1, 2**r.randrange(1, 31))) for _ in range(200))]
+    df = spark.createDataFrame(doms, "chrom string, begin long, end long")
+    bins = domains.binned(df).collect()
+    assert len(bins) == len(doms) - 1 and all(b.begin >> b.level == (b.end - 1) >> b.level == b.bin for b in bins)
+    xs = sorted({x for _, b, e in doms for x in (b - 1, b, e - 1, e) if x >= 0})
+    got = domains.containing(spark.createDataFrame([("x", x) for x in xs], "chrom string, x long"), df)
+    assert sorted((q.x, q.begin, q.end) for q in got.collect()) == sorted((x, b, e) for x in xs for _, b, e in doms if b <= x < e)
