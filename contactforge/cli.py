@@ -13,6 +13,7 @@ from .errors import ContactError
 from .operators.reads import summary
 from .plans.experiment import METHODS, Settings, prepare, simulate
 from .sinks.records import output_kind, write_profile, write_reads
+from .sinks.restart import write_ranges
 from .sources import fasta, profile, quality, tiled
 from .storage import removed
 from .store import file_stamp
@@ -56,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ins-rate", type=float, default=9e-5)
     p.add_argument("--del-rate", type=float, default=1.1e-4)
     p.add_argument("--folders", action="store_true", help="leave outputs as folders of parts, for other Spark jobs")
+    p.add_argument("--restart", metavar="FOLDER", help="keep finished ranges of pairs there; the same command with the same seed continues a lost run")
+    p.add_argument("--ranges", type=int, default=16, help="ranges of a run with --restart")
     p.add_argument("--overwrite", action="store_true", help="replace an existing profile file")
     p.add_argument("--documented", action="store_true", help="follow the model's description where practice differs")
     p.add_argument("sequences", help="FASTA")
@@ -90,6 +93,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     log.info("contactforge %s at %s: %s", VERSION, time.strftime("%Y-%m-%dT%H:%M:%S%z"), " ".join(sys.argv[1:] if argv is None else argv))
     try:
         output_kind(a.output, a.output2)
+        if a.restart and a.folders:
+            raise ContactError("--restart joins its ranges: --folders excludes it")
         spark = spark or SparkSession.builder.appName("contactforge").getOrCreate()
         settings = Settings(
             method=a.method, enzymes=a.enzyme, seed=a.seed, read_length=a.read_length, prefix=a.prefix, insert_mean=a.insert_mean, insert_sd=a.insert_sd,
@@ -111,9 +116,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         given = file_stamp(spark, a.profile, a.profile_format) if a.profile else (a.dist, a.seed, a.lognorm_mu, a.lognorm_sigma)
         made = prepare(segments, source, settings, f"{source.stamp} {given} {a.linear}")
         numbers = spark.range(1, a.num_pairs + 1).withColumnRenamed("id", "idx")
-        held = write_reads(simulate(numbers, made, settings, levels), a.output, a.output2, not a.folders)
-        print("pairs: " + ", ".join(f"{k} {v}" for k, v in summary(held).first().asDict().items()))
-        removed(held)
+        if a.restart:
+            key = {k: v for k, v in vars(a).items() if k not in ("verbose", "restart", "overwrite", "output", "output2")} | {"stamp": source.stamp, "profile": given}
+            counts = write_ranges(spark, lambda part: simulate(part, made, settings, levels), a.num_pairs, a.output, a.output2, a.restart, key, a.ranges)
+        else:
+            held = write_reads(simulate(numbers, made, settings, levels), a.output, a.output2, not a.folders)
+            counts = summary(held).first().asDict()
+            removed(held)
+        print("pairs: " + ", ".join(f"{k} {v}" for k, v in counts.items()))
         made.release()
     except ContactError as e:
         print(f"error: {e}", file=sys.stderr)

@@ -75,7 +75,15 @@ def _placed(target: str):
 
 
 def joined_parts(spark: SparkSession, folder: str, path: str) -> str:
-    """The part files of a folder as one file, in order; the folder goes. Members of gzip and bzip2 files may follow each
+    """The part files of a folder as one file, in order; the folder goes."""
+    way = joined(spark, [folder], path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return way
+
+
+def joined(spark: SparkSession, folders: list[str], path: str) -> str:
+    """The part files of some folders, in order, as one file; ``concat`` takes them away, else they stay. Members of gzip and bzip2 files may follow each
     other. Says how it was done, none of it with the parts' bytes on the driver if the store allows:
 
     ``places``: in a file system that driver and executors mount, tasks write each part at its own offset (the sum of the
@@ -84,9 +92,9 @@ def joined_parts(spark: SparkSession, folder: str, path: str) -> str:
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.hadoop
-    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
-    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
-    parts = sorted((s for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    target = hadoop.fs.Path(path)
+    fs, to = hadoop.fs.Path(folders[0]).getFileSystem(conf), target.getFileSystem(conf)
+    parts = [p for f in folders for p in sorted((s for s in fs.listStatus(hadoop.fs.Path(f)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())]
     sizes = [s.getLen() for s in parts]
     local = lambda p: unquote(p.toUri().getRawPath())
     if fs.getScheme() == to.getScheme() == "file":
@@ -123,7 +131,6 @@ def joined_parts(spark: SparkSession, folder: str, path: str) -> str:
         finally:
             out.close()
         way = "stream"
-    fs.delete(source, True)
     return way
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ContactError
@@ -101,6 +102,24 @@ def settled(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
     return out
 
 
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Moves a written folder into its place as a whole; False, and the source is deleted, if something is there already.
+    Unlike a file system's plain rename this never moves into a folder that is there."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    hadoop = jvm.org.apache.hadoop.fs
+    here, there = hadoop.Path(source), hadoop.Path(target)
+    fs = here.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(there.getParent())
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(here, there, sc._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError:
+        fs.delete(here, True)
+        if not fs.exists(there):
+            raise
+        return False
+    return True
+
+
 def remove_all(spark: SparkSession) -> None:
     """Delete every table that this process has written for the session."""
     for path in sorted(_held.get(spark.sparkContext.applicationId, ())):

@@ -21,11 +21,10 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import shared_folder, unowned
+from .storage import renamed, shared_folder, unowned
 
 SETTING = "spark.contactforge.store.dir"
 INDEX = "seg_id string, digest string, length int, linear boolean"
@@ -72,17 +71,7 @@ class Store:
         """Written beside its place and renamed into it: there as a whole or not at all."""
         beside = f"{self.root}/pending-{uuid.uuid4().hex}"
         df.write.parquet(beside)
-        fs, source = _where(self.spark, beside)
-        target = _where(self.spark, f"{self.root}/{folder}")[1]
-        fs.mkdirs(target.getParent())
-        hadoop, sc = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext
-        context = hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
-        try:  # unlike FileSystem's, this rename never goes into a folder that is there
-            context.rename(source, target, sc._gateway.new_array(hadoop.Options.Rename, 0))
-        except Py4JJavaError:
-            fs.delete(source, True)
-            if not fs.exists(target):  # else another writer was first
-                raise
+        renamed(self.spark, beside, f"{self.root}/{folder}")  # unless another writer was first
 
     def _noted(self, name: str, value: list | None = None) -> list | None:
         """A small note, written if a value is given, else read."""
