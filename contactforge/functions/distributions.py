@@ -76,6 +76,14 @@ def binomial_tails(read_length: int, probability: float, most: int = 2, document
     return [more_than(i - 1 if documented else i) for i in range(1, most + 1)]
 
 
+def error_tails(read_length: Column, probability: float) -> tuple[Column, Column]:
+    """Chances of more than one and of more than two errors in reads of a length that differs by row."""
+    n, q = read_length.cast("double"), 1.0 - probability
+    none, one = F.pow(F.lit(q), n), n * probability * F.pow(F.lit(q), n - 1)
+    two = n * (n - 1) / 2 * probability**2 * F.pow(F.lit(q), n - 2)
+    return 1.0 - none - one, 1.0 - none - one - two
+
+
 def error_probability(quality: Column) -> Column:
     return F.pow(F.lit(10.0), -quality / 10.0)
 

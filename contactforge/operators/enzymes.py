@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ContactError
 
@@ -78,3 +79,11 @@ def junctions(spark: SparkSession, enzymes: list[Enzyme]) -> DataFrame:
         junction_rows(enzymes),
         "enz_a int, enz_b int, name_a string, name_b string, junction string, vestigial string, junc_len int, vest_len int, pattern string, same_enzyme boolean",
     )
+
+
+def ligated(rows: DataFrame, name_a: str, name_b: str) -> DataFrame:
+    """Adds to rows with two enzyme names what joins their ends: junction, vestigial, junc_len, vest_len, pattern and
+    same_enzyme. The table of all pairs has a fixed size, the square of the catalogue's."""
+    every = [enzyme(n) for n in CUTS]
+    table = rows.sparkSession.createDataFrame([r[2:] for r in junction_rows(every)], "__a string, __b string, junction string, vestigial string, junc_len int, vest_len int, pattern string, same_enzyme boolean")
+    return rows.join(F.broadcast(table), (F.col(name_a) == F.col("__a")) & (F.col(name_b) == F.col("__b"))).drop("__a", "__b")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import distributions, draws
 from ..functions import sequence as sq
 from ..operators import cutters, digest, domains, prefix, reads, slices, weights
-from ..operators.enzymes import CUTS, enzyme, junctions
+from ..operators.enzymes import CUTS, enzyme, junctions, ligated
 from ..sinks.records import joined_parts, records, write_reads
 from ..sources import fasta, profile, quality, tiled
 from ..storage import fresh, removed
 from ..store import file_stamp
+from . import designs
 from .corpus import (
     GENOME, LINEAR_SQL, NEAREST, SEED, USABLE, dealt, genome, inverse_sql, near_sql, nearest_sql, running_sql, segments, sites_sql, table, u_sql,
 )
@@ -202,16 +203,16 @@ SELECT name_a, name_b, junction, substr(junction, 1, list_max(ok)) AS vestigial,
   replace(junction, 'N', '[ACGT]') AS pattern, name_a = name_b AS same_enzyme FROM v"""
 
 
-@query("junctions", JUNCTION_SQL)
-def _(spark, d):
-    pairs = []
-    for a in CUTS:
-        for b in CUTS:
-            from ..operators.enzymes import junction_rows
+#: Every row of lineitem names two enzymes by its part and its supplier.
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in CUTS) + "]"
+
 
-            row = next(r for r in junction_rows([enzyme(a), enzyme(b)]) if (r[0], r[1]) == (0, 1))
-            pairs.append((*row[2:9], a == b))
-    return spark.createDataFrame(pairs, "name_a string, name_b string, junction string, vestigial string, junc_len int, vest_len int, pattern string, same_enzyme boolean")
+@query("junctions", f"WITH jn AS ({JUNCTION_SQL}), l AS (SELECT l_orderkey, l_linenumber, {_NAMES_SQL}[(l_partkey % {len(CUTS)})::INT + 1] AS name_a, {_NAMES_SQL}[(l_suppkey % {len(CUTS)})::INT + 1] AS name_b FROM lineitem) SELECT l_orderkey, l_linenumber, name_a, name_b, junction, vestigial, junc_len, vest_len, pattern, same_enzyme FROM l JOIN jn USING (name_a, name_b)")
+def _(spark, d):
+    names = F.array(*map(F.lit, CUTS))
+    one = lambda c: F.element_at(names, (F.col(c) % len(CUTS)).cast("int") + 1)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", one("l_partkey").alias("name_a"), one("l_suppkey").alias("name_b"))
+    return ligated(rows, "name_a", "name_b")
 
 
 @query("junction_regex_count", f"WITH {GENOME} SELECT seg_id, len(regexp_extract_all(seq, 'GATCGATC'))::INT AS n_gatc, len(regexp_extract_all(seq, 'GA[ACGT]TA[ACGT]TC'))::INT AS n_hinfi FROM genome")
@@ -503,6 +504,56 @@ def _(spark, d):
     return _Draws(c, s).constrained(o).select("idx", F.col("seg_id1").alias("seg_id"), "pos1", "pos2")
 
 
+# --- checks ----------------------------------------------------------------------------------------------------------
+
+@query("covers_no_enzyme", f"WITH {GENOME} SELECT seg_id, TRUE AS covered FROM genome")
+def _(spark, d):
+    """Without enzymes every base is a site."""
+    g = genome(spark, d).select("seg_id", F.lit(0).alias("pos"), F.lit(1).alias("size"))
+    return _community(spark, d, _settings(method="dnase", enzymes=[])).covers(g, "seg_id", "pos", "size").select("seg_id", "covered")
+
+
+_RARE = ["NotI"]
+
+
+@query("cells_left", f"WITH {GENOME}, {sites_sql(_RARE)}, {USABLE}, r AS (SELECT DISTINCT cell, repl, n_repl FROM usable) SELECT cell, repl, n_repl::INT AS n_repl FROM r")
+def _(spark, d):
+    """Few segments have a site of eight bases: replicons and cells without any are gone."""
+    return _community(spark, d, _settings(enzymes=_RARE)).segments.select("cell", "repl", "n_repl").distinct()
+
+
+@query("repeated_names", "SELECT source || ':' || n_chars AS name, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return fasta.repeated(table(spark, d, "documents").select(F.concat_ws(":", "source", F.col("n_chars").cast("string")).alias("name")), "name")
+
+
+#: Orders as designs: every rule is broken by some and all are kept by some.
+DESIGNS_SQL = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'meta3c' WHEN 1 THEN 'dnase' WHEN 2 THEN 'dnase' WHEN 3 THEN 'other' ELSE 'hic' END AS method,
+  CASE WHEN o_orderkey % 7 IN (1, 2) AND o_custkey % 3 > 0 THEN 0 ELSE (o_custkey % 4)::INT END AS n_enzymes, CASE WHEN o_orderkey % 7 IN (1, 2) OR o_custkey % 11 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'acgt' WHEN 1 THEN 'ACNT' WHEN 2 THEN '' END END AS bridge,
+  (45 + o_orderkey % 100)::INT AS insert_min, (100 + o_custkey % 300)::INT AS insert_mean, (o_orderkey % 60)::INT AS insert_sd, CASE WHEN o_orderkey % 3 = 0 THEN (150 + o_custkey % 90)::INT END AS insert_max,
+  (o_orderkey % 9 * 25)::INT AS read_length, CASE o_orderkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 END::DOUBLE AS efficiency FROM orders"""
+
+
+def design_rows(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    dnase = (k % 7).isin(1, 2)
+    bridge = F.when(k % 5 == 0, "acgt").when(k % 5 == 1, "ACNT").when(k % 5 == 2, "")
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 7 == 0, "meta3c").when(dnase, "dnase").when(k % 7 == 3, "other").otherwise("hic").alias("method"),
+        F.when(dnase & (c % 3 > 0), 0).otherwise((c % 4).cast("int")).alias("n_enzymes"), F.when(dnase | (c % 11 == 0), bridge).alias("bridge"),
+        (45 + k % 100).cast("int").alias("insert_min"), (100 + c % 300).cast("int").alias("insert_mean"), (k % 60).cast("int").alias("insert_sd"), F.when(k % 3 == 0, (150 + c % 90).cast("int")).alias("insert_max"),
+        (k % 9 * 25).cast("int").alias("read_length"), F.when(k % 4 == 0, 0.0).when(k % 4 == 1, 0.3).alias("efficiency"),
+    )
+
+
+@query("design_checks", f"""SELECT o_orderkey, CASE WHEN method NOT IN ('hic', 'meta3c', 'dnase') THEN 'unknown method' WHEN method = 'dnase' AND n_enzymes > 0 THEN 'dnase takes no enzymes' WHEN method <> 'dnase' AND n_enzymes NOT IN (1, 2) THEN 'one or two enzymes are needed'
+  WHEN bridge IS NOT NULL AND method <> 'dnase' THEN 'a bridge is for dnase only' WHEN bridge = '' OR regexp_matches(bridge, '[^ACGTacgt]') THEN 'a bridge holds ACGT only'
+  WHEN insert_min <= 50 OR insert_min >= insert_mean OR insert_sd <= 0 THEN 'inserts need 50 < minimum < mean and a positive deviation' WHEN insert_max <= insert_mean THEN 'the largest insert must be above the mean' WHEN read_length < 1 THEN 'reads need a positive length' END AS problem,
+  coalesce(nullif(efficiency, 0), CASE method WHEN 'hic' THEN 0.5 WHEN 'meta3c' THEN 0.02 WHEN 'dnase' THEN 0.5 END)::DOUBLE AS efficiency FROM ({DESIGNS_SQL})""")
+def _(spark, d):
+    return designs.checked(design_rows(spark, d)).select("o_orderkey", "problem", "efficiency")
+
+
 # --- slices and joining ------------------------------------------------------------------------------------------------
 
 def _slices(shape: str, linear: bool):
@@ -745,10 +796,21 @@ def _levels(spark):
     return quality.levels(_machine(spark, 1), _machine(spark, 2), READ_LENGTH)
 
 
-@query("qual_profile_scale", f"WITH {LEVELS_SQL} SELECT r::INT AS r, pos::INT AS pos, array_to_string(cum, ',') AS cum, array_to_string(qual, ',') AS qual FROM levels")
+#: A machine's counts from lineitem: six qualities by steps of quantity, at positions by part, cumulative.
+_COUNTS_SQL = ", ".join(f"count_if(l_quantity <= {top})" for top in (8, 16, 24, 32, 40, 50))
+
+
+@query("qual_profile_scale", f"WITH c AS (SELECT (l_partkey % 50)::INT AS pos, [{_COUNTS_SQL}]::BIGINT[] AS c FROM lineitem GROUP BY 1) SELECT pos, array_to_string(list_transform(c, lambda x: x * 1000000 // c[6]), ',') AS cum, '2,14,21,27,32,36' AS qual FROM c")
 def _(spark, d):
-    both = _machine(spark, 1).withColumn("r", F.lit(1)).unionByName(_machine(spark, 2).withColumn("r", F.lit(2)))
-    return both.select("r", "pos", F.array_join("cum", ",").alias("cum"), F.array_join("qual", ",").alias("qual"))
+    """Two lines a position, as a profile's file, read back and scaled."""
+    path = fresh(spark)
+    counts = [F.count_if(F.col("l_quantity") <= top).cast("string") for top in (8, 16, 24, 32, 40, 50)]
+    made = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).cast("string").alias("pos")).agg(F.array(*counts).alias("c"))
+    line = lambda k, values: F.struct(F.lit(k).alias("k"), F.concat_ws("\t", F.lit("."), "pos", values).alias("line"))
+    lines = made.select(F.col("pos").cast("int").alias("p"), F.explode(F.array(line(0, F.lit("\t".join(map(str, (2, 14, 21, 27, 32, 36))))), line(1, F.concat_ws("\t", "c")))).alias("x"))
+    lines.coalesce(1).sortWithinPartitions("p", "x.k").select("x.line").write.text(f"{path}.parts")
+    joined_parts(spark, f"{path}.parts", path)
+    return quality.read_profile(spark, path).select("pos", F.array_join("cum", ",").alias("cum"), F.array_join("qual", ",").alias("qual"))
 
 
 #: Per base: three numbered draws of the read's stream (each step of the mix in a column of its own), quality, substitution.
@@ -791,15 +853,16 @@ def _(spark, d):
     return got.select("idx", F.array_join("x.base", "").alias("seq"), F.array_join(F.transform("x.quality", lambda q: q.cast("string")), ",").alias("quals"))
 
 
-@query("error_probability", "SELECT q::INT AS q, round(pow(10.0, -q / 10.0), 12) AS p FROM range(0, 80) t(q)")
+@query("error_probability", "SELECT l_orderkey, l_linenumber, round(pow(10.0, -l_quantity::DOUBLE / 10.0), 12) AS p FROM lineitem")
 def _(spark, d):
-    return spark.range(80).select(F.col("id").cast("int").alias("q"), F.round(distributions.error_probability(F.col("id")), 12).alias("p"))
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(distributions.error_probability(F.col("l_quantity").cast("double")), 12).alias("p"))
 
 
-@query("indel_rates", "SELECT l::INT AS read_length, round(1 - pow(1 - 9e-5, l) - l * 9e-5 * pow(1 - 9e-5, l - 1), 12) AS one, round(1 - pow(1 - 9e-5, l) - l * 9e-5 * pow(1 - 9e-5, l - 1) - l * (l - 1) / 2 * 9e-5 * 9e-5 * pow(1 - 9e-5, l - 2), 12) AS two FROM (VALUES (50), (75), (150), (250)) t(l)")
+@query("indel_rates", "WITH l AS (SELECT l_orderkey, l_linenumber, (50 + l_partkey % 200)::DOUBLE AS n FROM lineitem) SELECT l_orderkey, l_linenumber, round(1 - pow(1 - 9e-5, n) - n * 9e-5 * pow(1 - 9e-5, n - 1), 9) AS one, round(1 - pow(1 - 9e-5, n) - n * 9e-5 * pow(1 - 9e-5, n - 1) - n * (n - 1) / 2 * 9e-5 * 9e-5 * pow(1 - 9e-5, n - 2), 9) AS two FROM l")
 def _(spark, d):
-    rows = [(n, *(round(x, 12) for x in distributions.binomial_tails(n, 9e-5))) for n in (50, 75, 150, 250)]
-    return spark.createDataFrame(rows, "read_length int, one double, two double")
+    one, two = distributions.error_tails(50 + F.col("l_partkey") % 200, 9e-5)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(one, 9).alias("one"), F.round(two, 9).alias("two"))
 
 
 #: Rates far above a machine's, so that every case occurs.

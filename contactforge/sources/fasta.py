@@ -26,9 +26,14 @@ def read_fasta(spark: SparkSession, path: str, convert: bool = False, validate:
     return out
 
 
+def repeated(sequences: DataFrame, name: str = "seg_id") -> DataFrame:
+    """(name, count) of names that are there more than once."""
+    return sequences.groupBy(name).count().where("count > 1")
+
+
 def check_unique(sequences: DataFrame, name: str = "seg_id") -> None:
     """SequenceError if a name is repeated, of sequences or of a profile's segments, or none is there."""
-    again = sequences.groupBy(name).count().where("count > 1").limit(5).collect()
+    again = repeated(sequences, name).limit(5).collect()
     if again:
         raise SequenceError("repeated names: " + ", ".join(r[0] for r in again))
     if sequences.limit(1).count() == 0:
