@@ -11,7 +11,7 @@ from ..functions import distributions, draws
 from ..functions import sequence as sq
 from ..operators import cutters, digest, domains, prefix, reads, slices, weights
 from ..operators.enzymes import CUTS, enzyme, junctions, ligated
-from ..sinks.records import joined_parts, records, write_reads
+from ..sinks.records import joined_parts, records, write_reads, write_toml
 from ..sources import fasta, profile, quality, tiled
 from ..storage import fresh, removed
 from ..store import file_stamp
@@ -284,9 +284,10 @@ def _(spark, d):
 
 @query("toml_read", f"WITH {SETTLED_SQL} SELECT seg_id, cell, repl, a AS abundance, r.copy_number, 0.1::DOUBLE AS trans_rate, 0.2::DOUBLE AS anti_rate, FALSE AS linear, 0.03::DOUBLE AS spurious FROM p JOIN c USING (cell) JOIN r USING (cell, repl)")
 def _(spark, d):
-    """The hierarchy as TOML text and back."""
-    text = profile.to_toml(profile.settle(_profile(spark, d)), 0.03)
-    rows, spurious = profile.read_toml(spark, text)
+    """The hierarchy as a TOML file and back."""
+    path = fresh(spark)
+    write_toml(profile.settle(_profile(spark, d)), path, 0.03)
+    rows, spurious = profile.read_toml(spark, "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     return rows.withColumn("spurious", F.lit(spurious))
 
 

@@ -169,3 +169,30 @@ def write_profile(profile: DataFrame, path: str, ordered: bool = True, overwrite
     rows = head.unionByName(rows.select("line", F.col("ord") if ordered else F.lit("").alias("ord"), F.lit(1).alias("k"))).orderBy("k", "ord")
     rows.select("line").write.mode("overwrite").text(f"{path}.parts")
     joined_parts(spark, f"{path}.parts", path)
+
+
+def toml_lines(segments: DataFrame) -> DataFrame:
+    """(cell, repl, seg_id, value): a line of TOML for each segment, with the headings before the first one of a cell and
+    a replicon, and the end of the list after the last one. Where lists begin and end is counted, not gathered: no row or
+    task holds a replicon, however many segments it has."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    rows = segments.select("cell", "repl", "seg_id", "abundance", "copy_number").dropDuplicates(["cell", "repl", "seg_id"])
+    repls = rows.groupBy("cell", "repl").agg(F.min("seg_id").alias("first"), F.max("seg_id").alias("last"), F.min("copy_number").alias("copies"), F.min("abundance").alias("share"))
+    cells = repls.groupBy("cell").agg(F.min("repl").alias("first_repl"), F.min("share").alias("share"))
+    every = rows.select("cell", "repl", "seg_id").join(repls.drop("share").join(cells, "cell"), ["cell", "repl"])
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    opens = F.col("seg_id") == F.col("first")
+    cell = F.when(opens & (F.col("repl") == F.col("first_repl")), text("\n[[community.cells]]\nname = ", quoted(F.col("cell")), "\nabundance = ", F.col("share").cast("string"), "\n"))
+    repl = F.when(opens, text("\n[[community.cells.replicons]]\nname = ", quoted(F.col("repl")), "\ncopy_number = ", F.col("copies").cast("string"), "\nsegments = [\n"))
+    value = text(F.coalesce(cell, F.lit("")), F.coalesce(repl, F.lit("")), "  ", quoted(F.col("seg_id")), ",", F.when(F.col("seg_id") == F.col("last"), "\n]").otherwise(""))
+    return every.select("cell", "repl", "seg_id", value.alias("value"))
+
+
+def write_toml(segments: DataFrame, path: str, spurious_rate: float | None = None) -> None:
+    """The community as one TOML file in order of cell, replicon and segment, sorted by ranges and joined by tasks."""
+    spark = segments.sparkSession
+    head = 'profile_version = "1"\n\n[community]' + ("" if spurious_rate is None else f"\nspurious_rate = {spurious_rate}")
+    first = spark.createDataFrame([(0, "", "", "", head)], "k int, cell string, repl string, seg_id string, value string")
+    rows = first.unionByName(toml_lines(segments).withColumn("k", F.lit(1))).orderBy("k", "cell", "repl", "seg_id")
+    rows.select("value").write.mode("overwrite").text(f"{path}.parts")
+    joined_parts(spark, f"{path}.parts", path)

@@ -60,17 +60,6 @@ def read_toml(spark: SparkSession, text: str, normalise: bool = False, trans_rat
     return first.join(df.select("seg_id", "cell", "repl", "trans_rate", "anti_rate", "linear"), ["seg_id", "cell", "repl"]), found["community"].get("spurious_rate")
 
 
-def to_toml(segments: DataFrame, spurious_rate: float | None = None) -> str:
-    """The hierarchy as TOML text, built on the driver from one row a segment name."""
-    name = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"') + '"'
-    out = ['profile_version = "1"', "", "[community]"] + ([f"spurious_rate = {spurious_rate}"] if spurious_rate is not None else [])
-    for cell in hierarchy(segments).orderBy("cell").toLocalIterator():
-        out += ["", "[[community.cells]]", f"name = {name(cell['cell'])}", f"abundance = {cell['abundance']}"]
-        for repl in cell["replicons"]:
-            out += ["", "[[community.cells.replicons]]", f"name = {name(repl['repl'])}", f"copy_number = {repl['copy_number']}", "segments = [" + ", ".join(map(name, repl["segments"])) + "]"]
-    return "\n".join(out) + "\n"
-
-
 def hierarchy(segments: DataFrame) -> DataFrame:
     """One row a cell: cell, abundance, replicons (array of repl, copy_number, segments), all in order of name."""
     repls = segments.groupBy("cell", "repl").agg(F.first("copy_number").alias("copy_number"), F.first("abundance").alias("abundance"), F.array_sort(F.collect_list("seg_id")).alias("segments"))

@@ -7,6 +7,7 @@ from contactforge.functions import distributions, draws
 from contactforge.functions import sequence as sq
 from contactforge.operators.enzymes import CUTS, enzyme, junction, junctions, vestige
 from contactforge.sinks.records import output_kind
+from contactforge.sinks.records import write_toml
 from contactforge.sources import fasta, profile, quality
 
 
@@ -101,7 +102,8 @@ def test_profiles(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("# c\n\ns1\tc1\tr1\t3\t2\ns2\tc1\tr1\t9\t5\ns3\tc2\tr1\t1\t1\n")
     got = {r.seg_id: (r.cell, r.abundance, r.copy_number) for r in profile.read_table(spark, str(tmp_path / "p.tsv"), True).collect()}
     assert got == {"s1": ("c1", 0.75, 2.0), "s2": ("c1", 0.75, 2.0), "s3": ("c2", 0.25, 1.0)}
-    df, rate = profile.read_toml(spark, profile.to_toml(profile.read_table(spark, str(tmp_path / "p.tsv")), 0.05))
+    write_toml(profile.read_table(spark, str(tmp_path / "p.tsv")), str(tmp_path / "p.toml"), 0.05)
+    df, rate = profile.read_toml(spark, (tmp_path / "p.toml").read_text())
     assert rate == 0.05 and sorted((r.seg_id, r.abundance, r.copy_number) for r in df.collect()) == [("s1", 3.0, 2.0), ("s2", 3.0, 2.0), ("s3", 1.0, 1.0)]
     with pytest.raises(ContactError):
         profile.read_toml(spark, "x = ")

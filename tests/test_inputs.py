@@ -149,3 +149,19 @@ def test_an_interval_is_listed_once(spark):
     xs = sorted({x for _, b, e in doms for x in (b - 1, b, e - 1, e) if x >= 0})
     got = domains.containing(spark.createDataFrame([("x", x) for x in xs], "chrom string, x long"), df)
     assert sorted((q.x, q.begin, q.end) for q in got.collect()) == sorted((x, b, e) for x in xs for _, b, e in doms if b <= x < e)
+
+
+def test_a_replicon_of_many_segments_as_toml(spark, tmp_path):
+    """Headings and ends of lists across many ranges; names are quoted, and no plan gathers a list."""
+    from contactforge.sinks.records import toml_lines, write_toml
+    from contactforge.sources import profile
+
+    rows = [(f's{i:05d}\\"x', "c1", "r1", 0.25, 2.0) for i in range(20_000)] + [("a", "c1", "r0", 0.25, 1.0), ("b", 'c"2', "r", 0.75, 1e-5)]
+    df = spark.createDataFrame(rows, "seg_id string, cell string, repl string, abundance double, copy_number double").repartition(8)
+    write_toml(df, str(tmp_path / "c.toml"), 0.03)
+    back, spurious = profile.read_toml(spark, (tmp_path / "c.toml").read_text())
+    assert spurious == 0.03 and sorted(map(tuple, back.select("seg_id", "cell", "repl", "abundance", "copy_number").collect())) == sorted(rows)
+    text = (tmp_path / "c.toml").read_text()
+    assert text.count("[[community.cells]]") == 2 and text.count("[[community.cells.replicons]]") == 3
+    plan = toml_lines(df)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Window" not in plan
