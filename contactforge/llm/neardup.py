@@ -297,6 +297,7 @@ def group(docs: DataFrame, limit: int = BITS_APART, id_col: str = "doc_id", text
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id of its component; awkward rows as in ``group``."""
     found = group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

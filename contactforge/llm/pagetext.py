@@ -390,4 +390,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op3_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and its length; awkward rows as in ``extract``."""
     return extract(table(spark, sf_dir, "pages"))

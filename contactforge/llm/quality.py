@@ -185,7 +185,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score at least the threshold stay, with all columns."""
+    """Pipeline stage: documents that score at least the threshold stay, with all columns, whatever their names. Null texts
+    are scored as empty; equal texts (ties, repeated rows) are judged alike; texts of any length are scored whole, in
+    blocks; without labels of both kinds every score is the labels' mean; an empty table gives an empty table."""
     shared = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
     at = docs.columns.index("text")
 
