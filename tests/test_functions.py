@@ -6,8 +6,7 @@ from contactforge.errors import ContactError, SequenceError
 from contactforge.functions import distributions, draws
 from contactforge.functions import sequence as sq
 from contactforge.operators.enzymes import CUTS, enzyme, junction, junctions, vestige
-from contactforge.sinks.records import output_kind
-from contactforge.sinks.records import write_toml
+from contactforge.sinks.records import output_kind, write_toml
 from contactforge.sources import fasta, profile, quality
 
 
