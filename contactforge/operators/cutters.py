@@ -1,24 +1,18 @@
 """All enzymes in one scan: many recognition sites on both strands, with cuts inside or outside the site.
 
-Bases become two-bit codes, and the codes of all windows of up to eight bases are rolled along whole batches of tiles at once.
-For each window length one table says which sites a window may begin; its cost doesn't depend on how many enzymes there are.
-Longer sites are found by their most telling window and compared in full where it occurs.
+The scan itself is ``scan``; here are the enzymes, and what one pass over the tiles gives for all of them.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import product
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContactError
 from .digest import TILE, tiles
 from .enzymes import CUTS
+from .scan import BASES, Pattern, occurrences
 
 # Recognition sites of common enzymes that cut behind their site: bases after it on the upper / lower strand.
 BEHIND = {
@@ -29,9 +23,6 @@ BEHIND = {
 }
 # Palindromes around a gap, with the cut of the upper strand marked.
 GAPPED = {"BglI": "GCCNNNN^NGGC", "SfiI": "GGCCNNNN^NGGCC", "XmnI": "GAANN^NNTTC", "DraIII": "CACNNN^GTG", "BstXI": "CCANNNNN^NTGG", "XcmI": "CCANNNNN^NNNNTGG"}
-# Bases of each symbol, as a sum of A 1, C 2, G 4, T 8.
-BASES = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
-_WINDOW = 8
 
 
 def turned(site: str) -> str:
@@ -41,15 +32,6 @@ def turned(site: str) -> str:
     return "".join(by_bits[flip(BASES[c])] for c in reversed(site))
 
 
-@dataclass(frozen=True)
-class Pattern:
-    """A site on the upper strand, and where the upper strand is cut, counted from the site's first base."""
-
-    enz: int
-    site: str
-    cut: int
-
-
 def patterns(names: list[str]) -> list[Pattern]:
     """One or, for sites that aren't their own mirror image, two patterns of each named enzyme, numbered by the list."""
     out = []
@@ -69,85 +51,6 @@ def everything() -> list[str]:
     return sorted([*CUTS, *GAPPED, *BEHIND])
 
 
-class Scanner:
-    """Tables of windows: for each length, code -> number of a list of patterns (0: none) whose telling window it is."""
-
-    def __init__(self, found: list[Pattern]):
-        self.patterns, lists = found, {}
-        for k, p in enumerate(found):
-            size = min(_WINDOW, len(p.site))
-            bits = [BASES[c] for c in p.site]
-            # The window that fewest sequences fit, the first of them.
-            at = min(range(len(bits) - size + 1), key=lambda s: (np.prod([b.bit_count() for b in bits[s : s + size]]), s))
-            for word in product(*([c for c in range(4) if b >> c & 1] for b in bits[at : at + size])):
-                lists.setdefault(size, {}).setdefault(sum(c << 2 * (size - 1 - i) for i, c in enumerate(word)), []).append((k, at))
-        self.tables, self.lists = {}, {}
-        for size, words in lists.items():
-            table, each = np.zeros(4**size, np.int32), [[]]
-            for code, who in words.items():
-                table[code] = len(each)
-                each.append(who)
-            self.tables[size], self.lists[size] = table, each
-
-    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, number of the pattern) of every occurrence, from codes 0 to 3 (more: fits nothing)."""
-        n, places, who = len(text), [], []
-        code, ok = np.zeros(n, np.int32), np.ones(n, bool)
-        known = text < 4
-        for size in range(1, max(self.tables, default=0) + 1):
-            if size > n:
-                break
-            # Windows of one base more, by where they begin.
-            code, ok = code[: n - size + 1] << 2, ok[: n - size + 1]
-            code |= text[size - 1 :] & 3
-            ok = ok & known[size - 1 :]
-            if size not in self.tables:
-                continue
-            listed = np.where(ok, self.tables[size][code], 0)
-            at = np.flatnonzero(listed)
-            listed = listed[at]
-            for number in np.unique(listed):
-                begin = at[listed == number]
-                for k, shift in self.lists[size][number]:
-                    start = begin - shift
-                    site = self.patterns[k].site
-                    start = start[(start >= 0) & (start + len(site) <= n)]
-                    for i, c in enumerate(site):
-                        if not shift <= i < shift + size:
-                            own = text[start + i]
-                            start = start[(own < 4) & ((BASES[c] >> np.minimum(own, 3)) & 1).astype(bool)]
-                    places.append(start)
-                    who.append(np.full(len(start), k))
-        return (np.concatenate(places), np.concatenate(who)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-_CODES = np.full(256, 4, np.uint8)
-_CODES[[65, 67, 71, 84]] = range(4)
-
-
-def _scan(scanner: Scanner, tile: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = np.array([p.cut for p in scanner.patterns])
-        enz = np.array([p.enz for p in scanner.patterns])
-        for b in batches:
-            if not b.num_rows:
-                continue
-            # All tiles in one text, a symbol that fits nothing between them.
-            parts = b.column(4).cast(pa.binary()).to_pylist()
-            starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
-            at, who = scanner.find(_CODES[np.frombuffer(b"-".join(parts), np.uint8)])
-            row = np.searchsorted(starts, at, "right") - 1
-            length, linear = b.column(2).to_numpy().astype(np.int64)[row], b.column(1).to_numpy(zero_copy_only=False)[row]
-            inside = at - starts[row]
-            begin = b.column(3).to_numpy().astype(np.int64)[row] * tile + inside
-            pos = begin + cut[who]
-            keep = (inside < tile) & (begin < length) & (~linear.astype(bool) | ((pos >= 0) & (pos < length)))
-            row, pos = row[keep], (pos[keep] % np.maximum(length[keep], 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(enz[who[keep]].astype(np.int32))], ["seg_id", "pos", "enz"])
-
-    return run
-
-
 def all_sites(sequences: DataFrame | None, names: list[str], tile: int = TILE, cut: DataFrame | None = None) -> DataFrame:
     """(seg_id, pos, enz) from (seg_id, linear, seq), or from tiles ``cut`` of it that overlap by the longest site: the base
     after each cut of the upper strand, 0-based, by each enzyme of the list.
@@ -157,7 +60,7 @@ def all_sites(sequences: DataFrame | None, names: list[str], tile: int = TILE, c
     """
     found = patterns(names)
     cut = tiles(sequences, max(len(p.site) for p in found) - 1, tile) if cut is None else cut
-    rows = cut.select("seg_id", "linear", "length", "tile", "part").mapInArrow(_scan(Scanner(found), tile), "seg_id string, pos int, enz int")
+    rows = occurrences(cut, found, tile)
     return rows.distinct() if any(p.enz == q.enz for p, q in zip(found, found[1:], strict=False)) else rows
 
 

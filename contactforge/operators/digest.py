@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import site_pattern
 from .enzymes import Enzyme
+from .scan import Pattern, occurrences
 
 TILE = 4096
 
@@ -30,34 +30,15 @@ def tiles(sequences: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
     return each.select("seg_id", "linear", "length", "tile", F.substring("bytes", F.col("tile") * tile + 1, F.lit(tile + overlap)).cast("string").alias("part"))
 
 
-def _starts(part: Column, pattern: str) -> Column:
-    """Places in ``part`` where the pattern begins, overlapping ones too."""
-    pieces = F.split(part, f"(?={pattern})")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walk = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], s["at"] + F.length(p)).alias("out"))
-    inner = F.aggregate(pieces, empty, walk, lambda s: F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))))
-    return F.when(part.rlike(f"^{pattern}"), F.array_union(F.array(F.lit(0)), inner)).otherwise(inner)
-
-
 def cut_sites(sequences: DataFrame, enzymes: list[Enzyme], tile: int = TILE, cut: DataFrame | None = None) -> DataFrame:
     """(seg_id, pos, enz, rank) from (seg_id, linear, seq), or from tiles ``cut`` of it: the base after each cut, 0-based; enz is the enzyme's number; rank counts from 0.
 
     On a linear sequence a cut behind the last base is none; on a circular one positions wrap, and sites may span
     the origin. Where two enzymes cut at one place both are listed, in the enzymes' order.
     """
-    found = None
-    overlap = max(len(e.site) for e in enzymes) - 1
-    cut = tiles(sequences, overlap, tile) if cut is None else cut
-    for i, e in enumerate(enzymes):
-        part = F.substring("part", 1, tile + len(e.site) - 1)
-        one = cut.select("seg_id", "linear", "length", "tile", F.explode(_starts(part, site_pattern(e.site))).alias("at"))
-        at = F.col("tile") * tile + F.col("at")
-        one = one.where((F.col("at") < tile) & (at < F.col("length"))).withColumn("pos", at + e.cut)
-        one = one.where(~F.col("linear") | (F.col("pos") < F.col("length")))
-        one = one.select("seg_id", F.pmod("pos", F.col("length")).cast("int").alias("pos"), F.lit(i).alias("enz"))
-        found = one if found is None else found.unionByName(one)
+    cut = tiles(sequences, max(len(e.site) for e in enzymes) - 1, tile) if cut is None else cut
+    found = occurrences(cut, [Pattern(i, e.site, e.cut) for i, e in enumerate(enzymes)], tile)
     order = Window.partitionBy("seg_id").orderBy("pos", "enz")
-    # A site begins in one tile and before the sequence's end, so none is found twice.
     return found.withColumn("rank", F.row_number().over(order) - 1)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactforge.errors import ContactError
-from contactforge.operators import cutters, digest
+from contactforge.operators import cutters, digest, scan
 from contactforge.operators.enzymes import enzyme
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -77,7 +77,7 @@ def test_mirror_images():
 
 def test_cost_does_not_grow_with_enzymes():
     """One table a window length, however many sites are looked for."""
-    many = cutters.Scanner(cutters.patterns(cutters.everything()))
+    many = scan.Scanner(cutters.patterns(cutters.everything()))
     assert len(many.tables) <= 5 and sum(map(len, many.tables.values())) <= sum(4**n for n in range(1, 9))
     at, who = many.find(np.array([4, 4, 4], np.uint8))
     assert len(at) == len(who) == 0 and many.find(np.zeros(0, np.uint8))[0].size == 0
