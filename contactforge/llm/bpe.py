@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, slices, table
+from .common import as_bytes, kept_between_tasks, map_arrow, slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -257,7 +257,7 @@ class StreamDecoder:
         return self.more(ids) + self.finish()
 
 
-_coders: dict[str, tuple] = {}
+_coders: dict[str, tuple] = kept_between_tasks()
 
 
 def coder(data: bytes, pattern: str) -> tuple:

@@ -1,7 +1,9 @@
 """Helpers shared by the corpus operators: tables, durable intermediates (the library's), bounded Arrow slices."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from ..storage import removed as discard
 from ..storage import settled
 from ..storage import written as stash
 
-__all__ = ["as_bytes", "discard", "held_out", "map_arrow", "settled", "shuffle_partitions", "slices", "stash", "table"]
+__all__ = ["as_bytes", "discard", "held_out", "kept_between_tasks", "map_arrow", "released", "settled", "shuffle_partitions", "slices", "stash", "table"]
 
 #: Bytes of text handled at once inside a Python worker; one longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -32,6 +34,25 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: What this Python process keeps between tasks; workers live on and serve other stages.
+_kept: list[dict] = []
+
+
+def kept_between_tasks() -> dict:
+    """A table for what is dear to make anew in each task, until ``released`` empties it."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def released() -> None:
+    """Drop what earlier stages keep in this Python process, and give the memory back to the system."""
+    if any(_kept):
+        for held in _kept:
+            held.clear()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

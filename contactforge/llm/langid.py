@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, slices, table
+from .common import held_out, map_arrow, released, slices, table
 
 BUCKET_BITS = 14
 #: The broadcast matrix has this many columns at most; more languages raise ValueError.
@@ -168,6 +168,7 @@ def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     at, claimed = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()  # of a pipeline's run before this one
         for whole in batches:
             for b in slices(whole, at):
                 keep = [accepted(shared.value, x, y) for x, y in zip(b.column(at).to_pylist(), b.column(claimed).to_pylist(), strict=True)]

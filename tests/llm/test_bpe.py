@@ -53,3 +53,13 @@ def test_tables(spark):
     assert all(r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() for r in rows.collect())
     assert bpe.encode_texts(df.limit(0), P.path(bpe.VOCABULARY), P.PATTERN).count() == 0
     assert bpe.decode_ids(rows.limit(0), P.path(bpe.VOCABULARY)).count() == 0
+
+
+def test_released_caches_are_made_anew(coder):
+    from contactforge.llm.common import released
+
+    first = coder[1]["word"]
+    assert bpe._coders
+    released()
+    released()
+    assert not bpe._coders and coder[1]["word"] == first
