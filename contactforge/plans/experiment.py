@@ -19,7 +19,7 @@ from ..functions.distributions import ALPHA, ALPHA_DOCUMENTED, SHAPE, inverse
 from ..functions.draws import NORMAL_BOUND, below, normal, unit
 from ..functions.sequence import reverse_complement
 from ..operators import digest, reads, slices, weights
-from ..operators.enzymes import Enzyme, enzyme, junctions
+from ..operators.enzymes import enzyme, junctions
 from ..sources.fasta import check_unique
 from ..sources.tiled import SequenceFiles
 from ..storage import removed, written
@@ -117,6 +117,9 @@ class Community:
     def _index(self) -> DataFrame:
         """Digests of all sequences: they are read for it, but only where the stamp isn't known. Segments of files go by the
         files' stamp instead."""
+        known = self.store.index(self.stamp)
+        if known is not None:
+            return self._once("index", lambda: known)
         if self._files:
             where = F.lit(self._files.stamp)
             return self._once("index", lambda: written(self._shapes.join(self._files.lengths(), "seg_id").select("seg_id", F.concat(where, F.when(F.col("linear"), "l").otherwise("c")).alias("digest"), "length", "linear")))

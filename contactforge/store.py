@@ -112,6 +112,13 @@ class Store:
         names = None if stamp is None else self._noted(_short(kind, stamp))
         return names if names and set(names) <= set(self.generations(kind)) else None
 
+    def index(self, stamp: str | None) -> DataFrame | None:
+        """The segments of a stamp, if a run has noted them for any kind of table."""
+        for kind in [] if stamp is None else [k for k in self._listed("") if k not in ("notes", "whole") and not k.startswith("pending-")]:
+            if names := self.known(kind, stamp):
+                return self._index(kind, names).drop("generation")
+        return None
+
     def rows(self, kind: str, wanted: Callable[[], DataFrame], make: Callable[[DataFrame], DataFrame], stamp: str | None = None) -> DataFrame:
         """The kind's rows of the wanted segments (an index, asked for only if the stamp isn't known). ``make`` gives the
         rows, with seg_id, of those (seg_id, digest, length, linear) that are new."""

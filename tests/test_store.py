@@ -56,6 +56,11 @@ def test_known_stamps_digest_nothing(spark, kept, monkeypatch):
     monkeypatch.setattr("contactforge.plans.experiment.identified", never)
     c = community(spark, stamp="a")
     assert (rows(c), pairs(c)) == first
+    # Another method under the same stamp knows the segments' lengths, too.
+    own = SETTINGS
+    monkeypatch.setattr("test_store.SETTINGS", Settings(method="dnase"))
+    assert sorted(r.length for r in community(spark, stamp="a").segments.collect()) == [5000 + i for i in range(6)]
+    monkeypatch.setattr("test_store.SETTINGS", own)
     with pytest.raises(AssertionError):
         rows(community(spark, changed=[1], stamp="b"))
 
