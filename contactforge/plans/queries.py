@@ -515,12 +515,12 @@ def _(spark, d):
     return _community(spark, d, _settings(method="dnase", enzymes=[])).covers(g, "seg_id", "pos", "size").select("seg_id", "covered")
 
 
-_RARE = ["NotI"]
+_RARE = ["NcoI"]
 
 
 @query("cells_left", f"WITH {GENOME}, {sites_sql(_RARE)}, {USABLE}, r AS (SELECT DISTINCT cell, repl, n_repl FROM usable) SELECT cell, repl, n_repl::INT AS n_repl FROM r")
 def _(spark, d):
-    """Few segments have a site of eight bases: replicons and cells without any are gone."""
+    """Few segments have a site of this enzyme: replicons and cells without any are gone."""
     return _community(spark, d, _settings(enzymes=_RARE)).segments.select("cell", "repl", "n_repl").distinct()
 
 
