@@ -43,6 +43,31 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more
 _WEB, _POST = ". If not, see <https://www.gnu.org/licenses/>.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
+_PORT = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+#: Short name, what the notice calls the work, name, end of the notice, versions.
+_GNU = [
+    ("GPL", "program", "General Public License", _WEB, "3.0"),
+    ("GPL", "program", "General Public License", _POST, "2.0", "1.0"),
+    ("LGPL", "library", "Lesser General Public License", _POST, "2.1"),
+    ("LGPL", "program", "Lesser General Public License", _WEB, "3.0"),
+    ("AGPL", "program", "Affero General Public License", _WEB, "3.0"),
+]
+
+
+def _cc_name(kind: str, version: str) -> str:
+    """Versions before the fourth say NoDerivs."""
+    return _CC[kind] if version == "4.0" else _CC[kind].replace("NoDerivatives", "NoDerivs")
+
+
+def _gnu_named(short: str, kind: str, name: str, version: str, end: str) -> list[tuple[str, str]]:
+    """One-line statements of this version alone and of later ones too, and the notices, which allow later ones."""
+    number, spdx = version.removesuffix(".0"), f"{short}-{version}"
+    lines = [f"This work is licensed under the GNU {x}, version {number}" for x in (name, short)]
+    only = [f"{x}{y}" for x in lines for y in (".", " only.")]
+    later = [*(f"{x} or later." for x in lines), *_gnu(kind, name, number, end)]
+    return [*((f"{spdx}-only", x) for x in only), *((f"{spdx}-or-later", x) for x in later)]
+
+
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -58,6 +83,7 @@ agreed to in writing, software distributed under the License is distributed on a
 ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     ),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("LicenseRef-BSD", "Licensed under the BSD License."),
     ("BSD-2-Clause", _BSD_OPENING),
     ("BSD-2-Clause", f"{_BSD_OPENING} {_BSD_DISCLAIMER}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -66,13 +92,7 @@ ANY KIND, either express or implied. See the License for the specific language g
     ("ISC", _ISC),
     ("ISC", f"{_ISC} {_ISC_DISCLAIMER}"),
     ("0BSD", f"{_ISC[: _ISC.index(', provided')]}. {_ISC_DISCLAIMER}"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    *(("GPL-3.0", x) for x in _gnu("program", "General Public License", "3", _WEB)),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    *(("GPL-2.0", x) for x in _gnu("program", "General Public License", "2", _POST)),
-    *(("LGPL-2.1", x) for x in _gnu("library", "Lesser General Public License", "2.1", _POST)),
-    *(("LGPL-3.0", x) for x in _gnu("program", "Lesser General Public License", "3", _WEB)),
-    *(("AGPL-3.0", x) for x in _gnu("program", "Affero General Public License", "3", _WEB)),
+    *(x for n, kind, name, end, *vs in _GNU for v in vs for x in _gnu_named(n, kind, name, v, end)),
     (
         "MPL-2.0",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
@@ -111,7 +131,13 @@ means. In jurisdictions that recognize copyright laws, the author or authors of
 software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
 intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
     ),
-    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in _CC),
-    *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in _CC.items()),
+    *((f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for v in _PORT for k in _CC),
+    *((f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {_cc_name(k, v)} {v} {port} License.") for v, port in _PORT.items() for k in _CC),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
+
+#: Lines that name a licence by its SPDX identifier, the former identifiers of the GNU family too.
+IDENTIFIERS: list[tuple[str, str]] = [
+    *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES)),
+    *((f"{n}-{v}-{end}", f"SPDX-License-Identifier: {n}-{v}{mark}") for n, *_, vs in [(g[0], g[4:]) for g in _GNU] for v in vs for mark, end in (("", "only"), ("+", "or-later"))),
+]

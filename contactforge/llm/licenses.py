@@ -9,10 +9,14 @@ holds another's whole text is told from it.
 Bounds. Dice is at most 2 min(a, b) / (a + b) for a and b bigrams, so a passage has 2/3 to 3/2 of the template's bigrams
 at a threshold of 0.8. Words at either end whose bigram isn't the template's only lower Dice, so passages start and end
 at such bigrams (hits). The count of hits bounds the common bigrams from above; only starts that pass are counted exactly.
+
+Versions. One number changes few bigrams of a notice, so versions must agree besides: where a template states a version or
+an SPDX identifier, a passage matches only if what it states first is the same (``statements``).
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -24,13 +28,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
-from .license_texts import TEMPLATES
+from .license_texts import IDENTIFIERS, TEMPLATES
 
 THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
 WORDS = WORD.findall
 #: Characters above which a text's words are read in blocks, and words in a block.
 LONG, BLOCK = 1 << 18, 1 << 16
+#: What may stand between a word and its version: blanks, a few marks, and one line's end with a comment's margin.
+_GAP = r"(?=[\W_])[ \t,(_/-]*\n?[ \t*#/;]*"
+_NAMED = "version|license|licence|attribution|sharealike|noncommercial|noderivatives|noderivs|by|sa|nc|nd|bsd|[al]?gpl|mpl|epl|apache"
+STATED = re.compile(
+    rf"(?<![^\W_])(?:spdx-license-identifier:[ \t]*(?P<id>[a-z0-9.+-]*[a-z0-9+])|(?:(?:{_NAMED}){_GAP}|v\.?{_GAP})(?P<number>\d{{1,2}}(?:[. ]\d)?)(?![^\W_])"
+    r"|(?:[al]?gpl)?v(?P<glued>\d{1,2}(?:[. ]\d)?)(?![^\W_]))"
+)
+
+
+def statements(text: str) -> tuple[list[int], list[str]]:
+    """Where a lower-case text states versions (as "2.1"; "3" for "3.0") and SPDX identifiers: numbers of words, values."""
+    places, values, words, last = [], [], 0, 0
+    for m in STATED.finditer(text):
+        at = m.start() if m["glued"] else m.start("id" if m["id"] else "number")
+        words, last = words + sum(1 for _ in WORD.finditer(text, last, at)), at
+        places.append(words)
+        values.append(f"id {m['id']}" if m["id"] else (m["number"] or m["glued"]).replace(" ", ".").removesuffix(".0"))
+    return places, values
 
 
 class Templates:
@@ -38,12 +60,15 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.threshold, self.word, self.items = threshold, {}, []
+        #: The version or identifier that each template states first, if any.
+        self.says: list[str | None] = []
         for name, text in templates:
             words = WORDS(text.lower())
             if len(words) < 2:
                 raise ValueError(f"template of {name} has fewer than two words")
             ids = np.array([self.word.setdefault(w, len(self.word) + 1) for w in words])
             self.items.append((name, len(words), ids))
+            self.says.append(next(iter(statements(text.lower())[1]), None))
         size = len(self.word) + 1
         self.items = [(name, m, ids[:-1] * size + ids[1:]) for name, m, ids in self.items]
         self.known = np.unique(np.concatenate([g for *_, g in self.items]))
@@ -75,7 +100,7 @@ class Templates:
         places, grams, at = places[real], grams[real], at[real]
         # Templates with too few hits in the whole text can't match.
         seen_at = np.bincount(at, minlength=len(self.known))
-        found = []
+        found, stated = [], None
         for t in np.flatnonzero(self.holds @ seen_at >= self.least).tolist():
             own = self.items[t][2]
             a, want = len(own), Counter(own.tolist())
@@ -91,11 +116,17 @@ class Templates:
                 reach = np.flatnonzero(np.arange(1, j - i + 1) >= self.threshold * (a + b) / 2)
                 if not len(reach):
                     continue
-                seen, common = Counter(), 0
+                seen, common, first, says = Counter(), 0, -1, self.says[t]
+                if says is not None:
+                    stated = stated or statements(text.lower())
+                    k = bisect_left(stated[0], hits[i])
+                    if k == len(stated[0]) or stated[1][k] != says:
+                        continue
+                    first = stated[0][k] - int(hits[i])
                 for size, g in zip(b[: reach[-1] + 1].tolist(), codes[i : i + reach[-1] + 1].tolist(), strict=True):
                     seen[g] += 1
                     common += seen[g] <= want[g]
-                    if common >= self.threshold * (a + size) / 2:
+                    if size >= first and common >= self.threshold * (a + size) / 2:
                         own_found.append((-2 * common / (a + size), -size - 1, int(hits[i]), common))
             free = np.ones(len(ids) if own_found else 0, bool)
             found += [(-common, d, n, t, s) for d, n, s, common in _apart(sorted(own_found), free, 1, 2)]
@@ -113,7 +144,7 @@ def _apart(matches: list[tuple], free: np.ndarray, length: int, start: int) -> I
             yield m
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + IDENTIFIERS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a match: doc_id, license, template (its number), first_word, n_words, dice.
 
     Null and empty texts and texts of one word have no matches; null ids stay null; repeated rows give repeated

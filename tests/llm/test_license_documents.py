@@ -1,5 +1,6 @@
 """Licence scans of whole documents against all passages of all templates; kin; altered texts; long texts."""
 import random
+import re
 import resource
 from collections import Counter
 
@@ -22,13 +23,34 @@ def apart(found):
     return out
 
 
+NAMED = "version v license licence attribution sharealike noncommercial noderivatives noderivs by sa nc nd bsd gpl lgpl agpl mpl epl apache".split()
+
+
+def versions(text):
+    """Version stated at each word's place: a number of one or two digits after one of the words, or glued to a v."""
+    words = list(licenses.WORD.finditer(text.lower()))
+    between = [text[a.end() : b.start()] for a, b in zip(words, words[1:], strict=False)] + [""]
+    out = {}
+    for i, w in enumerate(words):
+        glued = re.fullmatch("([al]?gpl)?v([0-9]{1,2})", w[0])
+        after = i and words[i - 1][0] in NAMED and re.fullmatch(("[.]?" if words[i - 1][0] == "v" else "") + r"[ \t,(_/-]*\n?[ \t*#/;]*", between[i - 1])
+        if glued or after and re.fullmatch("[0-9]{1,2}", w[0]):
+            minor = words[i + 1][0] if between[i] in (".", " ") and re.fullmatch("[0-9]", words[i + 1][0]) else "0"
+            out[i] = (glued[2] if glued else w[0]) + ("" if minor == "0" else "." + minor)
+    return out
+
+
+def first(found, start, end):
+    return next((found[i] for i in range(start, end) if i in found), None)
+
+
 def plain(text):
-    """Every passage of every template: each template's best ones, then those that share most."""
-    words, found = licenses.WORDS((text or "").lower()), []
+    """Every passage of every template that states its version: each template's best ones, then those that share most."""
+    words, found, stated = licenses.WORDS((text or "").lower()), [], versions(text or "")
     grams = list(zip(words, words[1:], strict=False))
     for t, (_, template) in enumerate(licenses.TEMPLATES):
         w = licenses.WORDS(template.lower())
-        own = Counter(zip(w, w[1:], strict=False))
+        own, says = Counter(zip(w, w[1:], strict=False)), first(versions(template), 0, len(w))
         a, mine = len(w) - 1, []
         if sum((Counter(grams) & own).values()) < 0.6 * a:  # no passage shares more than the whole text does
             continue
@@ -38,7 +60,7 @@ def plain(text):
                 seen[grams[e]] += 1
                 common += seen[grams[e]] <= own[grams[e]]
                 b = e - s + 1
-                if 2 * common >= 0.8 * (a + b):
+                if 2 * common >= 0.8 * (a + b) and says in (None, first(stated, s, e + 2)):
                     mine.append((-2 * common / (a + b), -b - 1, t, s))
         for d, n, _, s in apart(mine):
             found.append((-round(-d * (a - n - 1) / 2), d, n, t, s))
@@ -108,3 +130,46 @@ def test_ties_repeats_and_nulls(spark):
     df = spark.createDataFrame([(1, f"{line} x {line}", "a"), (1, f"{line} x {line}", "a"), (None, line, "b"), (2, None, "c"), (3, "", "d")], "doc_id long, text string, license string")
     got = licenses.scan(df).collect()
     assert Counter(r.doc_id for r in got) == {1: 4, None: 1} and {r.license for r in got} == {"MIT"}
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("This work is licensed under the GNU General Public License, version 1.", "GPL-1.0-only"),
+        ("This work is licensed under the GNU General Public License, version 3 or later.", "GPL-3.0-or-later"),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        ("This work is licensed under the GNU LGPL, version 3.", "LGPL-3.0-only"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivs 2.5 Generic License.", "CC-BY-ND-2.5"),
+        ("Licensed under CC BY 3.0", "CC-BY-3.0"),
+        ("Licensed under CC BY 3.5", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License, Version 2.0. 1. Parts", "Apache-2.0"),
+        ("Licensed under the BSD License.", "LicenseRef-BSD"),
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("# SPDX-License-Identifier: MIT-0", None),
+        ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0-only"),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later"),
+        ("<!-- SPDX-License-Identifier: LGPL-2.1-or-later -->", "LGPL-2.1-or-later"),
+        ("SPDX-License-Identifier: GPL-4.0-only", None),
+        (
+            "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by the\n"
+            " * Free Software Foundation, either version\n * 2 of the License, or\n * (at your option) any later version.",
+            "GPL-2.0-or-later",
+        ),
+    ],
+)
+def test_versions_and_identifiers(text, name):
+    own = licenses.Templates(licenses.TEMPLATES + licenses.IDENTIFIERS, licenses.THRESHOLD)
+    for around in (text, f"version 9 of prose.\n{text}\nand version 8 of it"):
+        assert [own.items[t][0] for t, *_ in own.scan(around)] == ([name] if name else [])
+    if "SPDX" not in text:
+        assert licenses.Templates(licenses.TEMPLATES, 0.8).scan(text) == plain(text)
+
+
+@pytest.mark.parametrize("t", range(len(licenses.IDENTIFIERS)))
+def test_each_identifier(t):
+    own = licenses.Templates(licenses.TEMPLATES + licenses.IDENTIFIERS, licenses.THRESHOLD)
+    name, line = licenses.IDENTIFIERS[t]
+    assert [own.items[k][0] for k, *_ in own.scan(f"#!/bin/sh\n# {line}\n# more")] == [name]
