@@ -52,11 +52,12 @@ def fresh(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table that is read again: short lineage, one computation, and no loss with an executor."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` as a table that is read again: short lineage, one computation, and no loss with an executor. ``options`` are
+    the Parquet writer's."""
     spark = df.sparkSession
     path = fresh(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out
