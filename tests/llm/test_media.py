@@ -77,3 +77,11 @@ def test_a_stored_table_reads_back_alike(spark, tmp_path):
     made.write.parquet(str(tmp_path / "media"))
     stored = media.read_features(spark.read.parquet(str(tmp_path / "media")))
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, media.read_features(made).collect()))
+
+
+def test_query_reads_a_written_table(spark):
+    folder = "/root/testdata/sf0.001"
+    made = media.op1_media(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert not set(made.inputFiles()) & set(docs.inputFiles())
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, media.read_features(media.store_texts(docs)).collect()))
