@@ -79,6 +79,12 @@ def in_gap(rows: DataFrame, gap: DataFrame, seg: str, pos: str, tile: int = TILE
 GAP_COLUMNS = ("lo", "lo_enz", "hi", "hi_enz", "first", "first_enz", "last", "gap_length", "gap_linear")
 
 
+def _real_low() -> Column:
+    """Whether lo is a site where it stands. A last site on the last base, moved by length - 1, stands at 0 without being one:
+    before the first site nothing is real."""
+    return F.coalesce(F.col("lo") >= F.col("first"), F.lit(False))
+
+
 def nearest(pos: Column) -> tuple[Column, Column]:
     """(position, enzyme) of the nearest site, from a row's gap; a tie goes down; circular results wrap at length - 1."""
     low = F.col("hi").isNull() | (F.col("lo").isNotNull() & (pos - F.col("lo") <= F.col("hi") - pos))
@@ -89,7 +95,7 @@ def nearest(pos: Column) -> tuple[Column, Column]:
 
 def first_toward(pos: Column, origin: Column) -> tuple[Column, Column]:
     """(position, enzyme) of the first site met from ``pos`` toward ``origin``, a site, without wrapping."""
-    inside_low = F.col("lo").isNotNull() & (F.col("lo") >= 0)
+    inside_low = _real_low()
     inside_high = F.col("hi").isNotNull() & (F.col("hi") < F.col("gap_length"))
     down = pos > origin
     here = inside_low & (F.col("lo") == pos)
@@ -105,7 +111,7 @@ def covers(pos: Column, size: Column) -> Column:
     turn = F.col("gap_length") - 1
     after = F.when(F.col("hi") <= F.col("last"), F.col("hi"))
     linear = after.isNotNull() & (after <= end)
-    at_or_after = F.when((F.col("lo") >= 0) & (F.col("lo") == pos), pos).otherwise(after)
+    at_or_after = F.when(_real_low() & (F.col("lo") == pos), pos).otherwise(after)
     over = (F.col("first") <= F.pmod(end, turn)) | (F.col("last") >= pos)
     circular = F.when(end > turn, over).otherwise(at_or_after.isNotNull() & (at_or_after <= end))
     return F.coalesce(F.when(F.col("gap_linear"), linear).otherwise(circular), F.lit(False))
