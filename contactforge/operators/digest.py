@@ -59,7 +59,7 @@ def gaps(segments: DataFrame, sites: DataFrame, tile: int = TILE) -> DataFrame:
     both = F.struct(F.col("pos").alias("p"), F.col("enz").alias("e"))
     seen = own.select("seg_id", both.alias("lo"), F.lead(both).over(order).alias("hi"), F.first(both).over(whole).alias("first"), F.last(both).over(whole).alias("last"))
     leading = seen.where("hi IS NULL").select("seg_id", F.lit(None).cast("struct<p:int,e:int>").alias("lo"), F.col("first").alias("hi"), "first", "last")
-    every = seen.unionByName(leading).join(segments.select("seg_id", "length", "linear"), "seg_id")
+    every = seen.unionByName(leading).join(segments.select("seg_id", "length", "linear").hint("merge"), "seg_id")
     turn = F.col("length") - 1
     wrapped = lambda near, by: F.when(~F.col("linear"), F.struct((near["p"] + by).alias("p"), near["e"].alias("e")))
     every = every.withColumn("from", F.coalesce(F.col("lo.p"), F.lit(0))).withColumn("to", F.coalesce(F.col("hi.p"), F.col("length") + 1))

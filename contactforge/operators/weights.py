@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..errors import SingleReplicon
 from . import prefix
 
+#: Rows that a lookup table may have to be sent to every task; larger ones are dealt out with the rows that are looked up.
+FEW = 20_000
+
 
 def running(table: DataFrame, weight: str) -> DataFrame:
     """Adds lo, hi (the segment's stretch), repl_lo, repl_hi, cell_lo, cell_hi, total to (cell, repl, seg_id, weight).
@@ -72,7 +75,9 @@ def bucketed(placed: DataFrame, total: int, n: int) -> tuple[DataFrame, int]:
     """The stretches under each bucket of ``width`` that they touch: about five quarters of n rows with 4 n buckets."""
     width = max(1, total // max(1, 4 * n))
     live = placed.where("hi > lo")
-    return live.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))), width
+    listed = live.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    # Spark sees the file's compressed size, without the copies: it would collect a large table on the driver.
+    return (listed if 5 * n <= FEW else listed.hint("merge")), width
 
 
 def look_up(rows: DataFrame, buckets: DataFrame, width: int, x: str, how: str = "inner") -> DataFrame:

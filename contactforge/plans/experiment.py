@@ -101,6 +101,7 @@ class Community:
         self._sequences = None if self._files else self._shapes.join(sequences, "seg_id")
         self._key = "-".join(f"{e.site}.{e.cut}" for e in self.enzymes)
         self._kept: dict[str, DataFrame] = {}
+        self._few: bool | None = None
         # What follows from the profile and the rates is kept under all of them; without a stamp, for this community.
         rates = (settings.documented, settings.anti_rate, settings.trans_rate, self._key)
         self._stamp = None if stamp is None else f"{stamp} {rates}"
@@ -135,6 +136,20 @@ class Community:
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return digest.tiles(self._sequences.join(new.select("seg_id"), "seg_id", "left_semi"), overlap).repartition(spread, "seg_id", "tile")
 
+    @property
+    def few(self) -> bool:
+        """Whether sites, gaps and tiles are few enough to be sent to every task: by their counts, as a file's size says little
+        about its rows in memory."""
+        if self._few is None:
+            n, sites, bases = self.segments.agg(F.count("*"), F.sum("n_sites"), F.sum(F.col("length").cast("long"))).first()
+            self._few = 5 * n <= weights.FEW and (not n or (sites if self.enzymes else 0) <= weights.FEW and bases // digest.TILE + n <= weights.FEW // 10)
+        return self._few
+
+    def met(self, table: DataFrame | None) -> DataFrame | None:
+        """Sites, gaps or tiles as the right side of a lookup: dealt out with the rows unless they are few, so that no task and
+        no driver holds all of them."""
+        return table if table is None or self.few else table.hint("merge")
+
     @property
     def tiles(self) -> DataFrame:
         return self._digested(f"tiles-{digest.TILE}-{self.overlap}", lambda new: self._cut(new, self.overlap))
@@ -173,7 +188,7 @@ class Community:
         """Adds covered: whether a site lies in the stretch of each row. Without enzymes every base is a site."""
         if self.gaps is None:
             return rows.withColumn("covered", F.lit(True))
-        return digest.in_gap(rows, self.gaps, seg, pos).withColumn("covered", digest.covers(F.col(pos), F.col(size))).drop(*digest.GAP_COLUMNS)
+        return digest.in_gap(rows, self.met(self.gaps), seg, pos).withColumn("covered", digest.covers(F.col(pos), F.col(size))).drop(*digest.GAP_COLUMNS)
 
     def report(self) -> DataFrame:
         """One row a segment: its place in the community, length, sites, density, and share of both weights."""
@@ -239,7 +254,7 @@ class _Draws:
         """Adds pos<end>, enz<end>: a random site of the segment, or any base where there are no enzymes."""
         if self.c.sites is None:
             return rows.withColumn(f"pos{end}", below(self.u(name), F.col(f"length{end}"))).withColumn(f"enz{end}", F.lit(None).cast("int"))
-        sites = self.c.sites.select(F.col("seg_id").alias("__seg"), F.col("pos").cast("long").alias(f"pos{end}"), F.col("enz").alias(f"enz{end}"), F.col("rank").alias("__rank"))
+        sites = self.c.met(self.c.sites).select(F.col("seg_id").alias("__seg"), F.col("pos").cast("long").alias(f"pos{end}"), F.col("enz").alias(f"enz{end}"), F.col("rank").alias("__rank"))
         on = (F.col(f"seg_id{end}") == F.col("__seg")) & (below(self.u(name), F.col(f"n_sites{end}")) == F.col("__rank"))
         return rows.join(sites, on).drop("__seg", "__rank")
 
@@ -247,7 +262,7 @@ class _Draws:
         """Moves pos<end> to the nearest site of the segment."""
         if self.c.gaps is None:
             return rows.withColumn(f"enz{end}", F.lit(None).cast("int"))
-        found = digest.in_gap(rows, self.c.gaps, seg, f"pos{end}")
+        found = digest.in_gap(rows, self.c.met(self.c.gaps), seg, f"pos{end}")
         at, enz = digest.nearest(F.col(f"pos{end}"))
         return found.withColumn("__at", at).withColumn(f"enz{end}", enz).withColumn(f"pos{end}", F.col("__at").cast("long")).drop("__at", *digest.GAP_COLUMNS)
 
@@ -277,7 +292,7 @@ class _Draws:
         found = self.nearest(moved, "2")
         if self.s.method != "meta3c":
             return found
-        found = digest.in_gap(found, self.c.gaps, "seg_id1", "pos2")
+        found = digest.in_gap(found, self.c.met(self.c.gaps), "seg_id1", "pos2")
         at, enz = digest.first_toward(F.col("pos2"), F.col("pos1"))
         return found.withColumn("__at", at).withColumn("enz2", F.coalesce(enz, F.col("enz2"))).withColumn("pos2", F.col("__at").cast("long")).drop("__at", *digest.GAP_COLUMNS)
 
@@ -301,13 +316,13 @@ def draw_pairs(numbers: DataFrame, community: Community, s: Settings) -> DataFra
     if s.method == "meta3c":
         rows = d.segment(rows.withColumn("x1", weights.anywhere(unit(s.seed, "seg1", "idx"), F.lit(d.total["extent"]))), "extent", "x1", "1")
         rows = rows.withColumn("pos1", below(unit(s.seed, "pos1", "idx"), F.col("length1")))
-        seen = digest.in_gap(rows, community.gaps, "seg_id1", "pos1")
+        seen = digest.in_gap(rows, community.met(community.gaps), "seg_id1", "pos1")
         hit = (coin < s.efficiency) & digest.covers(F.col("pos1"), F.col("midpoint"))
         rows = seen.withColumn("hit", hit).drop(*digest.GAP_COLUMNS)
         wgs = rows.where("NOT hit")
         ends = d.nearest(rows.where("hit"), "1")
         # The second end is drawn by sites: its stretches replace the extents'.
-        by_sites = community.placed("ends").select(F.col("seg_id").alias("seg_id1"), *(F.col(c).alias(f"{c}1") for c in _STRETCH))
+        by_sites = community.met(community.placed("ends")).select(F.col("seg_id").alias("seg_id1"), *(F.col(c).alias(f"{c}1") for c in _STRETCH))
         ends = ends.drop(*(f"{c}1" for c in _STRETCH)).join(by_sites, "seg_id1")
     else:
         rows = rows.withColumn("hit", coin <= s.efficiency)
@@ -322,7 +337,7 @@ def draw_pairs(numbers: DataFrame, community: Community, s: Settings) -> DataFra
 
 def templates(pairs: DataFrame, community: Community, s: Settings) -> DataFrame:
     """Adds template and desc."""
-    cut = community.tiles
+    cut = community.met(community.tiles)
     one = pairs.withColumnsRenamed({"length1": "seg_id1_len", "linear1": "seg_id1_lin", "length2": "seg_id2_len", "linear2": "seg_id2_lin"})
     lig = F.col("mode") == "3C"
     one = one.withColumn("__start", F.when(lig, F.col("pos1") - F.col("midpoint")).otherwise(F.col("pos1"))).withColumn("__size", F.when(lig, F.col("midpoint")).otherwise(F.col("ins_len")))

@@ -1,8 +1,11 @@
 """Lookups of sites at a segment's ends."""
+import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
-from contactforge.operators import digest
+from contactforge.operators import digest, weights
 from contactforge.operators.enzymes import enzyme
+from contactforge.plans.queries import QUERIES
 
 
 def test_last_base_is_not_the_first(spark):
@@ -16,3 +19,15 @@ def test_last_base_is_not_the_first(spark):
     first, _ = digest.first_toward(F.col("pos"), F.col("origin"))
     found = digest.in_gap(rows, gap, "seg", "pos").select("pos", "size", digest.covers(F.col("pos"), F.col("size")).alias("hit"), first.alias("first")).collect()
     assert {(r.pos, r.size): (r.hit, r.first) for r in found} == {(0, 5): (False, 63), (0, 70): (True, 63), (63, 1): (True, 63), (64, 5): (False, 63)}
+
+
+@pytest.mark.parametrize("method", ["hic", "meta3c", "dnase"])
+def test_large_tables_are_not_collected(spark, monkeypatch, method):
+    """Beyond a bound of rows no lookup of a pair goes through the driver, whatever the size of the tables' files."""
+    few = sorted(map(str, QUERIES[f"{method}_templates"](spark, SMALL).collect()))
+    monkeypatch.setattr(weights, "FEW", 0, raising=False)
+    made = QUERIES[f"{method}_templates"](spark, SMALL)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    # The junctions of the enzymes, one or four rows.
+    assert plan.count("BroadcastHashJoin") == (method == "hic") and plan.count("SortMergeJoin") >= 5
+    assert sorted(map(str, made.collect())) == few
