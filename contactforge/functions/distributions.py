@@ -47,14 +47,23 @@ def check_bounds(rows: DataFrame, x: str, length: str) -> None:
 def sampled(length: Column, bins: int = BINS, shape: float = SHAPE, alpha: float = ALPHA) -> Column:
     """Array of (x, y): the function at ``bins`` even points, scaled to end at 1."""
     top = geometric_uniform(length.cast("double"), length, shape, alpha)
-    at = lambda k: length * k / F.lit(bins - 1.0)
+    at = lambda k: length.cast("double") * k / F.lit(bins - 1.0)
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct(at(k).alias("x"), (geometric_uniform(at(k), length, shape, alpha) / top).alias("y")))
 
 
+def sampled_rows(rows: DataFrame, length: str, bins: int = BINS, shape: float = SHAPE, alpha: float = ALPHA) -> DataFrame:
+    """``sampled`` as rows: n, x and y instead of the length. Points are made before the function is taken of them, so that
+    it is compiled and no array of a row's points is held; what all points of a row share is taken once."""
+    n = F.col(length)
+    once = rows.withColumn("__top", geometric_uniform(n.cast("double"), n, shape, alpha))
+    each = once.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("x", n.cast("double") * F.col("n") / F.lit(bins - 1.0))
+    return each.withColumn("y", geometric_uniform(F.col("x"), n, shape, alpha) / F.col("__top")).drop("__top", length)
+
+
 def inverse(u: Column, length: Column, bins: int = BINS, shape: float = SHAPE, alpha: float = ALPHA) -> Column:
     """The sampled function's inverse with linear interpolation: the bin is bisected, not looked up in an array."""
     top = geometric_uniform(length.cast("double"), length, shape, alpha)
-    at = lambda k: length * k / F.lit(bins - 1.0)
+    at = lambda k: length.cast("double") * k / F.lit(bins - 1.0)
     y = lambda k: geometric_uniform(at(k), length, shape, alpha) / top
     rounds = (bins - 1).bit_length()
 

@@ -158,6 +158,20 @@ def batch_errors(levels: list, seed: int, read: int):
     return run
 
 
+def with_base_errors(rows: DataFrame, levels: list, seed: int, read: int, seq: str = "seq") -> DataFrame:
+    """Adds base (string) and quality (array) of the read in column ``seq``, as ``base_errors`` gives them, batch by batch.
+    Rows are keyed by idx; a null read is empty."""
+    coder, names = batch_errors(levels, seed, read), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, *coder(b.column(seq), b.column("idx"))], [*names, "base", "quality"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", base string, quality array<int>")
+
+
 def read_indels(seed: int, read_length: int, ins_rates: list[float], del_rates: list[float], way: int, key: str) -> tuple[list[int], list[int], str]:
     """``indel_draws`` for one read in Python; nearly all reads stop at the first digest."""
     def parts(name):

@@ -3,9 +3,10 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from contactforge.operators import digest, weights
+from contactforge.functions import distributions
+from contactforge.operators import digest, reads, weights
 from contactforge.operators.enzymes import enzyme
-from contactforge.plans.queries import QUERIES
+from contactforge.plans.queries import QUERIES, _levels
 
 
 def test_last_base_is_not_the_first(spark):
@@ -31,3 +32,22 @@ def test_large_tables_are_not_collected(spark, monkeypatch, method):
     # The junctions of the enzymes, one or four rows.
     assert plan.count("BroadcastHashJoin") == (method == "hic") and plan.count("SortMergeJoin") >= 5
     assert sorted(map(str, made.collect())) == few
+
+
+def test_points_are_compiled(spark):
+    """The sampled distribution as rows equals its array, and its plan evaluates no function of an array."""
+    lengths = spark.createDataFrame([(1,), (7,), (4100,), (20_000_000,)], "l int")
+    rows = distributions.sampled_rows(lengths.withColumn("k", F.col("l")), "l")
+    want = {(r.l, n): (p.x, p.y) for r in lengths.select("l", distributions.sampled(F.col("l")).alias("p")).collect() for n, p in enumerate(r.p)}
+    assert {(r.k, r.n): (r.x, r.y) for r in rows.collect()} == want
+    assert "lambdafunction" not in QUERIES["sep_sampled"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_base_errors_by_batches(spark):
+    held = _levels(spark).first()
+    rows = spark.createDataFrame([(1, "ACGTNacgtnRYx"), (2, ""), (3, "ACGT" * 12)], "idx long, seq string")
+    want = rows.withColumn("l", _levels(spark).select("level2").scalar()).select("idx", reads.base_errors(F.col("seq"), F.col("l"), 5, "idx", F.lit(2)).alias("x"))
+    want = sorted((r.idx, "".join(x.base for x in r.x), [x.quality for x in r.x]) for r in want.collect())
+    assert sorted((r.idx, r.base, r.quality) for r in reads.with_base_errors(rows, held["level2"], 5, 2).collect()) == want
+    for name in ("qual_draw", "subst_errors"):
+        assert "MapInArrow" in QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
