@@ -1,13 +1,15 @@
 """Near copies by word shingles: Jaccard similarity of the distinct five-word shingles, 0.8 or more.
 
-Nodes are distinct texts, named by their MD5. Candidates meet in buckets: 40 bands of 7 MinHash values each, so a pair
+Nodes are distinct texts, named by their MD5. Candidates come from two sides. Operator 6's SimHash fingerprints are searched by
+its vantage-point trees: of equal fingerprints, and of those at most two bits apart, a spanning forest of pairs. Further
+candidates meet in buckets: 40 bands of 7 MinHash values each, so a pair
 at similarity 0.8 misses every bucket with a chance of 1 in 12,000, a closer pair more rarely still. Every link is then
 counted exactly on the shingle sets (as 64-bit XXH64 values).
 
-SimHash fingerprints and vantage-point trees can't find these pairs: at similarity 0.8 fingerprints lie some 10 of 64
+SimHash fingerprints and vantage-point trees can't find all of these pairs: at similarity 0.8 fingerprints lie some 10 of 64
 bits apart (6 to 16), unlike texts 32 (20 to 44), and a tree that must send on everything within 16 bits of a
-radius sends nearly all fingerprints to both sides. The vantage-point tree stays the method of operator 6, whose
-radius is 2.
+radius sends nearly all fingerprints to both sides. So the trees keep operator 6's radius of 2, and the buckets add what
+lies beyond it.
 
 Large groups of near copies would give pairs by the square. So first only neighbours in each bucket are compared, twice
 in different orders, which joins such groups in steps that grow with their size. Buckets that still hold several
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, map_arrow, released, shuffle_partitions, slices, stash
-from .neardup import components, shingle_hashes
+from .neardup import components, fingerprint, links, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -84,7 +86,8 @@ def _sketches(shingle: int):
             for b in slices(whole, 1):
                 made = [sketch(shingle_set(x, shingle)) for x in as_bytes(b.column(1))]
                 bands = [x.view(np.int64) for x, _ in made]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())], ["node", "bands", "bits"])
+                fp = np.array([fingerprint(x) for x in as_bytes(b.column(1))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary()), pa.array(fp)], ["node", "bands", "bits", "fp"])
 
     return run
 
@@ -260,15 +263,31 @@ def neighbours(rows: DataFrame, *order: str) -> DataFrame:
     return out
 
 
+def by_fingerprints(made: DataFrame) -> DataFrame:
+    """(a, b), a < b, of nodes (node, fp) whose SimHash fingerprints are equal or, by the vantage-point trees of operator 6, at
+    most its limit apart: each node with the least one of its fingerprint, and these by a spanning forest of the links."""
+    first = stash(made.groupBy("fp").agg(F.min("node").alias("first")))
+    found = links(first, first.count())
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")).hint("merge") for c in ("a", "b"))
+    across = found.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    within = made.select("node", "fp").join(first.hint("merge"), "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    out = stash(across.unionByName(within).distinct())
+    discard(first)
+    return out
+
+
 def roots(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, text_col: str = "text") -> DataFrame:
     """(node, root) of every distinct text that has a near copy: root is the smallest node it is linked with, directly or not."""
     if not 0.8 <= similar <= 1:
         raise ValueError("bands are made for similarities of 0.8 or more")
     parts = shuffle_partitions(docs.sparkSession)
     texts = docs.select(node(text_col).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    made = stash(map_arrow(texts, _sketches(shingle), "node binary, bands array<long>, bits binary").dropDuplicates(["node"]))
+    made = stash(map_arrow(texts, _sketches(shingle), "node binary, bands array<long>, bits binary, fp long").dropDuplicates(["node"]))
     bands = made.select(F.explode("bands").alias("bucket"), "node")
-    near = neighbours(bands, "node")
+    beside, by_trees = neighbours(bands, "node"), by_fingerprints(made)
+    near = stash(beside.unionByName(by_trees).distinct())
+    for used in (beside, by_trees):
+        discard(used)
     meet = stash(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
     # Joins by merge at every size: the plan doesn't change as the input grows.
     wanted = texts.join(meet.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
