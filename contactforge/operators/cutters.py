@@ -59,9 +59,12 @@ def all_sites(sequences: DataFrame | None, names: list[str], tile: int = TILE, c
     sites may span the origin. Sites of both strands that cut at one place are listed once.
     """
     found = patterns(names)
-    cut = tiles(sequences, max(len(p.site) for p in found) - 1, tile) if cut is None else cut
-    rows = occurrences(cut, found, tile)
-    return rows.distinct() if any(p.enz == q.enz for p, q in zip(found, found[1:], strict=False)) else rows
+    longest = max(len(p.site) for p in found)
+    # From the first base of one strand's site to the last one of the other's, where both cut at one place.
+    reach = max((p.cut - q.cut for p, q in zip(found, found[1:], strict=False) if p.enz == q.enz), default=0)
+    rows = occurrences(tiles(sequences, reach + longest - 1, tile) if cut is None else cut, found, tile)
+    # A tile with that overlap sees both sites, so nothing has to be gathered.
+    return rows.distinct() if reach and (cut is not None or reach + longest > tile) else rows
 
 
 def cut_counts(sites: DataFrame, names: list[str]) -> DataFrame:

@@ -82,16 +82,21 @@ class Scanner:
 
 _CODES = np.full(256, 4, np.uint8)
 _CODES[[65, 67, 71, 84]] = range(4)
+#: Bases that are scanned at once: a step on them takes some 20 bytes a base, whatever the size of Spark's batches.
+CHUNK = 1 << 20
 
 
 def _scan(scanner: Scanner, tile: int):
+    # A pattern whose successor is the same enzyme's, on the other strand.
+    twin = np.array([p.enz == q.enz for p, q in zip(scanner.patterns, scanner.patterns[1:], strict=False)] + [False], bool)
+    turned = np.r_[False, twin[:-1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.array([p.cut for p in scanner.patterns])
         enz = np.array([p.enz for p in scanner.patterns])
-        for b in batches:
-            if not b.num_rows:
-                continue
-            # All tiles in one text, a symbol that fits nothing between them.
+        step = max(1, CHUNK // (tile + 1))
+        for b in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
+            # These tiles in one text, a symbol that fits nothing between them.
             parts = b.column(4).cast(pa.binary()).to_pylist()
             starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
             at, who = scanner.find(_CODES[np.frombuffer(b"-".join(parts), np.uint8)])
@@ -100,8 +105,14 @@ def _scan(scanner: Scanner, tile: int):
             inside = at - starts[row]
             begin = b.column(3).to_numpy().astype(np.int64)[row] * tile + inside
             pos = begin + cut[who]
-            keep = (inside < tile) & (begin < length) & (~linear.astype(bool) | ((pos >= 0) & (pos < length)))
-            row, pos = row[keep], (pos[keep] % np.maximum(length[keep], 1))
+            there = ~linear.astype(bool) | ((pos >= 0) & (pos < length))
+            keep = there & (inside < tile) & (begin < length)
+            pos = pos % np.maximum(length, 1)
+            if twin.any():
+                # Both strands cut at one place: the upper one's site yields, wherever the other's begins.
+                place = (row * (int(enz.max()) + 1) + enz[who]) << 32 | pos
+                keep &= ~(twin[who] & np.isin(place, place[turned[who] & there]))
+            row, pos = row[keep], pos[keep]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(enz[who[keep]].astype(np.int32))], ["seg_id", "pos", "enz"])
 
     return run
@@ -109,5 +120,6 @@ def _scan(scanner: Scanner, tile: int):
 
 def occurrences(cut: DataFrame, found: list[Pattern], tile: int) -> DataFrame:
     """(seg_id, pos, enz) of every cut, from tiles that overlap by the longest site. A site counts in the tile where it
-    begins, so that none is found twice; cuts outside a linear sequence are none, those of a circular one wrap."""
+    begins, so that none is found twice; cuts outside a linear sequence are none, those of a circular one wrap. Where two
+    neighbouring patterns of one enzyme cut at one place, one is listed if both can be seen from the first one's tile."""
     return cut.select("seg_id", "linear", "length", "tile", "part").mapInArrow(_scan(Scanner(found), tile), "seg_id string, pos int, enz int")
