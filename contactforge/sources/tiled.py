@@ -11,6 +11,7 @@ after that, only the bytes of the segments that are asked for are read, in range
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import unquote
 
 import numpy as np
@@ -211,6 +212,43 @@ def _opened(path: str):
     return fs.open_input_file(where)
 
 
+class _Reader:
+    """Opens files one after the other; the one that was read last stays open, as records lie beside each other."""
+
+    def __init__(self):
+        self.path = self.file = None
+
+    def at(self, path: str):
+        if path != self.path:
+            self.__exit__()
+            self.path, self.file = path, _opened(path)
+        return self.file
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.file is not None:
+            self.file.close()
+
+
+#: Rows of a batch that a task hands on: a record or a piece of a tile each, so that short records don't go one by one.
+BATCH = 512
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
+def _batched(rows, schema: str):
+    """A function of Arrow batches from one that yields rows of the schema."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = iter(rows(batches))
+        while held := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, _ARROW[t]) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], list(names))
+
+    return run
+
+
 _INDEX_ROWS = "seg_id string, file string, first long, until long, bases long, width long, regular boolean"
 
 
@@ -278,10 +316,11 @@ class IndexedFiles(SequenceFiles):
                                     line += more if b"\n" not in more else more[: more.index(b"\n") + 1]
                                 end = at + len(line) if line.endswith(b"\n") else at + len(line) + 1
                                 line = line[1:].rstrip(b"\n")
-                            yield pa.RecordBatch.from_arrays([pa.array([first_word(line)]), pa.array([file]), pa.array([start], pa.int64()), pa.array([min(begin + end, size)], pa.int64()), pa.array([size], pa.int64())], ["seg_id", "file", "mark", "first", "size"])
+                            yield first_word(line), file, start, min(begin + end, size), size
                             at = data.find(b"\n>", at + 1)
 
-        found = written(self._ranges().select("file", "size", "begin").mapInArrow(headers, "seg_id string, file string, mark long, first long, size long"))
+        marks = "seg_id string, file string, mark long, first long, size long"
+        found = written(self._ranges().select("file", "size", "begin").mapInArrow(_batched(headers, marks), marks))
         if not found.limit(1).count():
             raise SequenceError("no sequences")
         ordered = prefix.numbered(found, ["file", "mark"])
@@ -289,13 +328,12 @@ class IndexedFiles(SequenceFiles):
         ends = ordered.join(after, "n", "left").select("seg_id", "file", "first", F.when(F.col("f2") == F.col("file"), F.col("m2")).otherwise(F.col("size")).alias("until"))
 
         def shapes(batches):
-            for b in batches:
-                for seg, file, first, until in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    with _opened(file) as f:
-                        shape = _line_shape(f, first, until)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((seg, file, first, until, *shape), (pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], ["seg_id", "file", "first", "until", "bases", "width", "regular"])
+            with _Reader() as files:
+                for b in batches:
+                    for seg, file, first, until in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        yield seg, file, first, until, *_line_shape(files.at(file), first, until)
 
-        return ends.repartition(self.spark.sparkContext.defaultParallelism, "seg_id").mapInArrow(shapes, _INDEX_ROWS)
+        return ends.repartition(self.spark.sparkContext.defaultParallelism, "seg_id").mapInArrow(_batched(shapes, _INDEX_ROWS), _INDEX_ROWS)
 
     def taken(self, segments: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
         """Pieces of the segments, with the bytes that were read for each in ``read``."""
@@ -306,24 +344,23 @@ class IndexedFiles(SequenceFiles):
         convert, validate = self.convert, self.validate
 
         def run(batches):
-            for b in batches:
-                for seg, file, first, until, bases, width, step, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    # Ranges begin at the start of a line of known width.
-                    at, left = (start - first) // width * bases if start > first else 0, min(step, until - start)
-                    with _opened(file) as f:
+            with _Reader() as files:
+                for b in batches:
+                    for seg, file, first, until, bases, width, step, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        # Ranges begin at the start of a line of known width.
+                        at, left = (start - first) // width * bases if start > first else 0, min(step, until - start)
+                        f = files.at(file)
                         f.seek(start)
                         while left > 0:
                             size = min(CHUNK, left)
                             text = cleaned(f.read(size), convert, validate, seg)
                             left -= size
-                            rows = list(pieces(seg, at, text, overlap, tile))
+                            for k, (name, t, inside, part) in enumerate(pieces(seg, at, text, overlap, tile)):
+                                yield name, t, inside, part.decode(), 0 if k else size
                             at += len(text)
-                            if rows:
-                                out = _piece_batch(rows)
-                                yield out.append_column("read", pa.array([size, *[0] * (len(rows) - 1)], pa.int64()))
 
-        columns = ["seg_id", "file", "first", "until", "bases", "width", "step", "from"]
-        return each.select(columns).repartition(self.spark.sparkContext.defaultParallelism, "seg_id", "from").mapInArrow(run, f"{PIECES}, read long")
+        columns, out = ["seg_id", "file", "first", "until", "bases", "width", "step", "from"], f"{PIECES}, read long"
+        return each.select(columns).repartition(self.spark.sparkContext.defaultParallelism, "seg_id", "from").mapInArrow(_batched(run, out), out)
 
     def lengths(self) -> DataFrame:
         """(seg_id, length) by the index where lines are regular; other records are counted."""
