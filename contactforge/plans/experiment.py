@@ -11,7 +11,7 @@ import logging
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ContactError, EmptyCommunity, NoCutSites
@@ -98,7 +98,7 @@ class Community:
         self.enzymes = [enzyme(n) for n in settings.enzymes]
         self.overlap = max([settings.longest_insert, *(len(e.site) - 1 for e in self.enzymes)])
         self._shapes, self._files = segments.select("seg_id", "linear"), sequences if isinstance(sequences, SequenceFiles) else None
-        self._sequences = None if self._files else self._shapes.join(sequences, "seg_id")
+        self._sequences = None if self._files else sequences if "linear" in sequences.columns else self._shapes.join(sequences, "seg_id")
         self._key = "-".join(f"{e.site}.{e.cut}" for e in self.enzymes)
         self._kept: dict[str, DataFrame] = {}
         self._few: bool | None = None
@@ -134,7 +134,11 @@ class Community:
         if self._files:
             return self._files.tiles(new.select("seg_id", "linear"), overlap)
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return digest.tiles(self._sequences.join(new.select("seg_id"), "seg_id", "left_semi"), overlap).repartition(spread, "seg_id", "tile")
+        return digest.tiles(self._of(self._sequences, new), overlap).repartition(spread, "seg_id", "tile")
+
+    def _of(self, rows: DataFrame, new: DataFrame) -> DataFrame:
+        """The new segments' rows: all of them, without a join, if no segment is known."""
+        return rows if new is self._kept.get("index") else rows.join(new.select("seg_id"), "seg_id", "left_semi")
 
     @property
     def few(self) -> bool:
@@ -164,7 +168,7 @@ class Community:
     def gaps(self) -> DataFrame | None:
         if not self.enzymes:
             return None
-        return self._digested(f"gaps-{digest.TILE}-{self._key}", lambda new: digest.gaps(new, self.sites.join(new.select("seg_id"), "seg_id", "left_semi")))
+        return self._digested(f"gaps-{digest.TILE}-{self._key}", lambda new: digest.gaps(new, self._of(self.sites, new)))
 
     def _weighed(self, segments: DataFrame, settings: Settings) -> DataFrame:
         """The usable segments with their weights: those without sites, or bases, fall out."""
@@ -205,7 +209,7 @@ def prepare(segments: DataFrame, sequences: DataFrame | SequenceFiles, settings:
     """Digest, then drop segments without sites; replicons and cells left without segments go with them.
 
     segments: seg_id, cell, repl, copy_number, linear and, optionally, anti_rate, trans_rate, abundance.
-    sequences: seg_id, seq (upper case), or files of them that are cut into tiles without a whole sequence in a row. A segment that is listed twice is an error. ``stamp`` names what both are made
+    sequences: seg_id, seq (upper case) and, optionally, linear as the segment has it, without which a join brings it there; or files of them that are cut into tiles without a whole sequence in a row. A segment that is listed twice is an error. ``stamp`` names what both are made
     from (see ``store.file_stamp``): with a known one nothing is digested, nor are sequences read.
     """
     for name, default in (("anti_rate", settings.anti_rate), ("trans_rate", settings.trans_rate), ("abundance", 1.0)):
@@ -228,6 +232,11 @@ _STRETCH = ("repl_lo", "repl_hi", "cell_lo", "cell_hi")
 _OWN = ("seg_id", "cell", "repl", "length", "linear", "n_sites", "anti_rate", "trans_rate", "n_repl")
 
 
+def _nowhere() -> Column:
+    """A number below 0, where nothing is found; pairs have different ones, so that these rows are dealt out like others."""
+    return -1 - F.pmod(F.col("idx"), F.lit(1 << 18))
+
+
 class _Draws:
     """Lookups of one community under one set of settings."""
 
@@ -239,6 +248,9 @@ class _Draws:
             n, total = table.agg(F.count("*"), F.max("total")).first()  # two numbers
             if not n or not total:
                 raise EmptyCommunity("no segment has a base") if community.sites is None else NoCutSites("no segment has a cut site")
+            if kind == "extent" and s.method == "meta3c":
+                # The second end is drawn by sites: rows found by extent carry those stretches.
+                table = table.drop(*_STRETCH).join(community.met(community.placed("ends").select("seg_id", *_STRETCH)), "seg_id")
             self.total[kind], self.buckets[kind] = total, weights.bucketed(table, total, n)
 
     def u(self, name):
@@ -250,19 +262,24 @@ class _Draws:
         slim = table.select("bucket", "lo", "hi", *(F.col(c).alias(f"{c}{end}") for c in (*_OWN, *_STRETCH)))
         return weights.look_up(rows, slim, width, x)
 
-    def position(self, rows: DataFrame, end: str, name: str) -> DataFrame:
-        """Adds pos<end>, enz<end>: a random site of the segment, or any base where there are no enzymes."""
+    def position(self, rows: DataFrame, end: str, name: str, unless: Column | None = None) -> DataFrame:
+        """Adds pos<end>, enz<end>: a random site of the segment, or any base where there are no enzymes; null ``unless``."""
         if self.c.sites is None:
             return rows.withColumn(f"pos{end}", below(self.u(name), F.col(f"length{end}"))).withColumn(f"enz{end}", F.lit(None).cast("int"))
         sites = self.c.met(self.c.sites).select(F.col("seg_id").alias("__seg"), F.col("pos").cast("long").alias(f"pos{end}"), F.col("enz").alias(f"enz{end}"), F.col("rank").alias("__rank"))
-        on = (F.col(f"seg_id{end}") == F.col("__seg")) & (below(self.u(name), F.col(f"n_sites{end}")) == F.col("__rank"))
-        return rows.join(sites, on).drop("__seg", "__rank")
+        rank = below(self.u(name), F.col(f"n_sites{end}"))
+        on = (F.col(f"seg_id{end}") == F.col("__seg")) & ((rank if unless is None else F.when(unless, _nowhere()).otherwise(rank)) == F.col("__rank"))
+        return rows.join(sites, on, "inner" if unless is None else "left").drop("__seg", "__rank")
 
     def nearest(self, rows: DataFrame, end: str, seg: str = "seg_id1") -> DataFrame:
         """Moves pos<end> to the nearest site of the segment."""
         if self.c.gaps is None:
             return rows.withColumn(f"enz{end}", F.lit(None).cast("int"))
-        found = digest.in_gap(rows, self.c.met(self.c.gaps), seg, f"pos{end}")
+        return self.moved(digest.in_gap(rows, self.c.met(self.c.gaps), seg, f"pos{end}"), end)
+
+    @staticmethod
+    def moved(found: DataFrame, end: str) -> DataFrame:
+        """The same for rows that have met their gaps."""
         at, enz = digest.nearest(F.col(f"pos{end}"))
         return found.withColumn("__at", at).withColumn(f"enz{end}", enz).withColumn(f"pos{end}", F.col("__at").cast("long")).drop("__at", *digest.GAP_COLUMNS)
 
@@ -276,25 +293,35 @@ class _Draws:
         x = F.when(F.col("kind") == "spurious", F.floor(u * F.lit(self.total["ends"])))
         x = x.when(F.col("kind") == "trans", F.when(other < stretch["repl_lo"], other).otherwise(other + own)).otherwise(stretch["repl_lo"] + F.floor(u * own))
         rows = self.segment(rows.withColumn("kind", kind).withColumn("x2", x.cast("long")), "ends", "x2", "2")
-        same = (F.col("kind") == "cis") & (F.col("seg_id1") == F.col("seg_id2"))
-        free = self.position(rows.where(~same), "2", "site2")
-        near = self.constrained(rows.where(same))
-        return free.unionByName(near.select(free.columns))
-
-    def constrained(self, rows: DataFrame) -> DataFrame:
-        """A second end on the first one's segment, at a separation from the model."""
+        # Both ways in one plan: what leads to the second end would be computed for each of two.
+        rows = rows.withColumn("__near", (F.col("kind") == "cis") & (F.col("seg_id1") == F.col("seg_id2")))
+        free = self.position(rows, "2", "site2", unless=F.col("__near")).withColumnsRenamed({"pos2": "__pos", "enz2": "__enz"})
+        both = self.constrained(free, F.col("__near"))
+        chosen = {c: F.when(F.col("__near"), F.col(c)).otherwise(F.col(f"__{c[:3]}")) for c in ("pos2", "enz2")}
+        return both.withColumns(chosen).drop("__near", "__pos", "__enz")
+
+    def constrained(self, rows: DataFrame, where: Column | None = None) -> DataFrame:
+        """A second end on the first one's segment, at a separation from the model; of no meaning unless ``where``."""
         n = F.col("length1")
         alpha = ALPHA_DOCUMENTED if self.s.documented else ALPHA
         delta = F.floor(inverse(self.u("separation"), n, shape=SHAPE, alpha=alpha)).cast("long")
-        at = F.pmod(F.when(self.u("side") < 0.5, F.col("pos1") - delta).otherwise(F.col("pos1") + delta), n)
-        moved = rows.withColumn("pos2", at.cast("long"))
+        at = F.pmod(F.when(self.u("side") < 0.5, F.col("pos1") - F.col("__delta")).otherwise(F.col("pos1") + F.col("__delta")), n)
+        # The inverse costs more than all else here: rows that don't need it have none.
+        moved = rows.withColumn("__delta", delta if where is None else F.when(where, delta)).withColumn("pos2", at.cast("long")).drop("__delta")
         moved = moved.withColumn("pos2", F.when(self.u("anti") < F.col("anti_rate1"), n - F.col("pos2")).otherwise(F.col("pos2")).cast("long"))
-        found = self.nearest(moved, "2")
+        if self.c.gaps is None:
+            return self.nearest(moved, "2")
+        if where is not None:
+            moved = moved.withColumn("pos2", F.when(where, F.col("pos2")).otherwise(_nowhere() * digest.TILE))
+        found = digest.in_gap(moved, self.c.met(self.c.gaps), "seg_id1", "pos2")
         if self.s.method != "meta3c":
-            return found
-        found = digest.in_gap(found, self.c.met(self.c.gaps), "seg_id1", "pos2")
-        at, enz = digest.first_toward(F.col("pos2"), F.col("pos1"))
-        return found.withColumn("__at", at).withColumn("enz2", F.coalesce(enz, F.col("enz2"))).withColumn("pos2", F.col("__at").cast("long")).drop("__at", *digest.GAP_COLUMNS)
+            return self.moved(found, "2")
+        # The nearest site is the first one from there toward the other end, as it stands there; but a site on the last base of
+        # a circle is moved to 0, where none may be: then the first one is met.
+        ahead = [F.col(c).alias(f"__{c}") for c in ("first", "first_enz")]
+        found = self.moved(found.select("*", *ahead), "2").withColumn("__moved", (F.col("pos2") == 0) & (F.col("__first") > 0))
+        first = {"pos2": F.when(F.col("__moved"), F.col("__first").cast("long")).otherwise(F.col("pos2")), "enz2": F.when(F.col("__moved"), F.col("__first_enz")).otherwise(F.col("enz2"))}
+        return found.withColumns(first).drop("__moved", "__first", "__first_enz")
 
     def swapped(self, rows: DataFrame) -> DataFrame:
         turn = self.u("swap") < 0.5
@@ -318,12 +345,9 @@ def draw_pairs(numbers: DataFrame, community: Community, s: Settings) -> DataFra
         rows = rows.withColumn("pos1", below(unit(s.seed, "pos1", "idx"), F.col("length1")))
         seen = digest.in_gap(rows, community.met(community.gaps), "seg_id1", "pos1")
         hit = (coin < s.efficiency) & digest.covers(F.col("pos1"), F.col("midpoint"))
-        rows = seen.withColumn("hit", hit).drop(*digest.GAP_COLUMNS)
+        rows = seen.withColumn("hit", hit)
         wgs = rows.where("NOT hit")
-        ends = d.nearest(rows.where("hit"), "1")
-        # The second end is drawn by sites: its stretches replace the extents'.
-        by_sites = community.met(community.placed("ends")).select(F.col("seg_id").alias("seg_id1"), *(F.col(c).alias(f"{c}1") for c in _STRETCH))
-        ends = ends.drop(*(f"{c}1" for c in _STRETCH)).join(by_sites, "seg_id1")
+        ends = d.moved(rows.where("hit"), "1")
     else:
         rows = rows.withColumn("hit", coin <= s.efficiency)
         wgs = d.segment(rows.where("NOT hit").withColumn("x1", weights.anywhere(unit(s.seed, "seg1", "idx"), F.lit(d.total["extent"]))), "extent", "x1", "1")
