@@ -5,8 +5,10 @@ query stands beside its SQL for a second engine; both use the same draws.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import distributions
 from ..functions import sequence as sq
@@ -20,9 +22,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def dna(text):
-    """Letters are taken before the case is changed: some symbols grow when they are made upper-case."""
-    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, BASES)
+_BASE = bytes.maketrans((LETTERS + LETTERS.lower()).encode(), (BASES * 2).encode())
+_REST = bytes(set(range(256)) - set((LETTERS + LETTERS.lower()).encode()))
+
+
+@F.arrow_udf(StringType())
+def dna(text: pa.Array) -> pa.Array:
+    """Bytes that aren't letters go, letters become bases, in one step a text: a regular expression and ``translate`` take
+    each character on its own. No byte of a longer symbol is a letter."""
+    return pa.array([None if x is None else x.translate(_BASE, _REST) for x in text.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:

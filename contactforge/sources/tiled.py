@@ -11,7 +11,7 @@ after that, only the bytes of the segments that are asked for are read, in range
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from urllib.parse import unquote
 
 import numpy as np
@@ -25,7 +25,7 @@ from ..errors import ContactError, SequenceError
 from ..functions.sequence import AMBIGUOUS
 from ..operators import prefix
 from ..operators.digest import TILE
-from ..storage import written
+from ..storage import removed, written
 from ..store import Store, file_stamp
 
 _UPPER = bytes(b - 32 if 97 <= b <= 122 else b for b in range(256))
@@ -35,6 +35,7 @@ _BLANK = b" \t\r\n\v\f"
 CHUNK = 1 << 20
 #: A split more is one small entry of the table that tells every task where its splits begin (some 100 MB at this bound).
 MOST_SPLITS = 1 << 20
+_RUNS = "file long, block long, k long, name string, n long"
 #: Bytes of a file that one task searches for headers, and that one task reads of a segment.
 RANGE = 32 << 20
 
@@ -53,40 +54,39 @@ def first_word(header: bytes) -> str:
     return (header.split(None, 1) or [b""])[0].decode()
 
 
-PIECES = "seg_id string, tile int, at int, part string"
+PIECES = "seg_id string, tile int, at int, turn boolean, part string"
 
 
-def pieces(name: str, start: int, text: bytes, overlap: int, tile: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """What bases from ``start`` on give to each tile (with what overlaps it from behind), and, as tile -1, to the first
-    bases that a circular sequence repeats at its end."""
+def pieces(name: str, start: int, text: bytes, overlap: int, tile: int) -> Iterator[tuple[str, int, int, bool, str]]:
+    """What bases from ``start`` on give to each tile (with what overlaps it from behind)."""
     stop = start + len(text)
     for t in range(max(0, (start - tile - overlap) // tile + 1), (stop - 1) // tile + 1):
         low, high = max(start, t * tile), min(stop, (t + 1) * tile + overlap)
         if high > low:
-            yield name, t, low - t * tile, text[low - start : high - start]
-    if start < overlap and text:
-        yield name, -1, start, text[: overlap - start]
+            yield name, t, low - t * tile, False, text[low - start : high - start].decode()
 
 
-def _piece_batch(rows: list) -> pa.RecordBatch:
-    seg, tile, at, part = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(seg, pa.string()), pa.array(tile, pa.int32()), pa.array(at, pa.int32()), pa.array([p.decode() for p in part], pa.string())], ["seg_id", "tile", "at", "part"])
+def turned(name: str, n: int, start: int, text: bytes, overlap: int, tile: int) -> Iterator[tuple[str, int, int, bool, str]]:
+    """What the same bases give to the last tiles of a circular sequence of ``n`` bases, which is read on from its
+    beginning, once at most."""
+    text = text[: max(0, overlap - start)]
+    low, stop = n + start, n + start + len(text)
+    for t in range(max(0, (low - tile - overlap) // tile + 1), (n - 1) // tile + 1):
+        high = min(stop, (t + 1) * tile + overlap)
+        if high > low:
+            yield name, t, low - t * tile, True, text[: high - low].decode()
 
 
-def joined_pieces(found: DataFrame, lengths: DataFrame, overlap: int, tile: int) -> DataFrame:
-    """(seg_id, linear, length, tile, part) as ``digest.tiles`` gives them, from pieces and (seg_id, linear, length). Whole
-    tiles pass; others are put together from a few pieces of one tile each."""
-    whole = (F.col("at") == 0) & (F.length("part") == tile + overlap) & (F.col("tile") >= 0)
-    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), "").alias("part")
-    parts = found.where(~whole).groupBy("seg_id", "tile").agg(put)
-    every = found.where(whole).select("seg_id", "tile", "part").unionByName(parts.where("tile >= 0")).join(lengths, "seg_id")
-    # A circular sequence is read on from its beginning, once at most.
-    head = parts.where("tile < 0").select("seg_id", F.col("part").alias("__head"))
-    short = F.lit(tile + overlap) - F.length("part")
-    rest = every.where(~F.col("linear") & (short > 0)).join(head, "seg_id").withColumn("part", F.concat("part", F.substring(F.col("__head"), F.lit(1), F.least(short, F.col("length"))))).drop("__head")
-    done = every.where(F.col("linear") | (short <= 0))
-    columns = ["seg_id", "linear", "length", "tile", "part"]
-    return done.select(columns).unionByName(rest.select(columns))
+def joined_pieces(found: DataFrame, lengths: DataFrame, tile: int) -> DataFrame:
+    """(seg_id, linear, length, tile, part) as ``digest.tiles`` gives them, from pieces and (seg_id, linear, length). Pieces are
+    made once and meet in their tile only, as does an empty one that brings the segment's shape there: no task has a whole
+    segment, and no lookup goes through the driver. Pieces of segments without a length are left out."""
+    count = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / tile).cast("int"))
+    shapes = lengths.where("length > 0").select("seg_id", F.explode(count).alias("tile"), F.lit(-1).alias("at"), F.lit(False).alias("turn"), F.lit("").alias("part"), "linear", "length")
+    every = found.select("seg_id", "tile", "at", "turn", "part", F.lit(None).cast("boolean").alias("linear"), F.lit(None).cast("int").alias("length")).unionByName(shapes)
+    held = every.groupBy("seg_id", "tile").agg(F.max("linear").alias("linear"), F.max("length").alias("length"), F.collect_list(F.struct("at", "turn", "part")).alias("held")).where("length IS NOT NULL")
+    mine = F.filter(F.array_sort("held"), lambda p: ~p["turn"] | ~F.col("linear"))
+    return held.select("seg_id", "linear", "length", "tile", F.array_join(F.transform(mine, lambda p: p["part"]), "").alias("part"))
 
 
 class SequenceFiles:
@@ -100,6 +100,7 @@ class SequenceFiles:
     def __init__(self, spark: SparkSession, path: str, convert: bool = False, validate: bool = True):
         self.spark, self.path, self.convert, self.validate = spark, path, convert, validate
         self._runs: DataFrame | None = None
+        self._lengths: DataFrame | None = None
 
     @property
     def stamp(self) -> str:
@@ -130,30 +131,28 @@ class SequenceFiles:
 
         def run(batches):
             split, k, name, n = None, 0, None, 0
-
-            def row():
-                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*split, k, name, n), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["file", "block", "k", "name", "n"])
-
             for at, head, text in stretches(batches):
                 if at != split or head is not None:
                     if split is not None:
-                        yield row()
+                        yield *split, k, name, n
                     split, k, name, n = at, (k + 1 if at == split else int(head is not None)), None if head is None else first_word(head[1:]), 0
                 n += len(cleaned(text, convert, validate, name or "?"))
             if split is not None:
-                yield row()
+                yield *split, k, name, n
 
         return run
 
     def runs(self) -> DataFrame:
         """(file, block, k, seg_id, at, n): every stretch of bases with its record and the place where it begins there."""
         if self._runs is None:
-            found = self._lines().mapInArrow(self._counted(), "file long, block long, k long, name string, n long").withColumn("head", F.col("name").isNotNull().cast("long"))
-            placed = prefix.running(found, ["file", "block", "k"], {"upto": "n", "record": "head"})
+            # Written first: ranges are sampled, so that the files would be read for it once more.
+            counted = written(self._lines().mapInArrow(_batched(self._counted(), _RUNS), _RUNS))
+            placed = prefix.running(counted.withColumn("head", F.col("name").isNotNull().cast("long")), ["file", "block", "k"], {"upto": "n", "record": "head"})
+            removed(counted)
             if placed.where("name IS NULL AND block = 0 AND n > 0").limit(1).count():
                 raise SequenceError("bases before the first header of a file")
             own = placed.where("name IS NOT NULL").select("record", F.col("name").alias("seg_id"), (F.col("upto") - F.col("n")).alias("base"))
-            self._runs = written(placed.join(own, "record").select("file", "block", "k", "seg_id", "record", (F.col("upto") - F.col("n") - F.col("base")).alias("at"), "n"))
+            self._runs = written(placed.join(own.hint("merge"), "record").select("file", "block", "k", "seg_id", "record", (F.col("upto") - F.col("n") - F.col("base")).alias("at"), "n"))
         return self._runs
 
     def lengths(self) -> DataFrame:
@@ -168,38 +167,51 @@ class SequenceFiles:
 
     def tiles(self, segments: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
         """(seg_id, linear, length, tile, part) of the segments (seg_id, linear)."""
-        # Where each split begins: one row a split that goes on with a record, behind a check of their number.
-        first = self.runs().where("k = 0").select("file", "block", "seg_id", "at").limit(MOST_SPLITS + 1).collect()
+        # Where each split begins, and how long the record is that it ends with: one row a split, behind a check of their number.
+        runs = self.runs()
+        splits = runs.groupBy("file", "block").agg(F.max(F.when(F.col("k") == 0, F.struct("seg_id", "at"))).alias("first"), F.max("record").alias("record"))
+        sizes = runs.groupBy("record").agg(F.sum("n").alias("size"))
+        first = splits.join(sizes.hint("merge"), "record").select("file", "block", "first", "size").limit(MOST_SPLITS + 1).collect()
         if len(first) > MOST_SPLITS:
             raise ContactError("too many splits: raise spark.sql.files.maxPartitionBytes")
-        shared = self.spark.sparkContext.broadcast({(r["file"], r["block"]): (r["seg_id"], r["at"]) for r in first})
+        shared = self.spark.sparkContext.broadcast({(r["file"], r["block"]): (*(r["first"] or (None, 0)), r["size"]) for r in first})
         convert, validate, stretches = self.convert, self.validate, self._stretches
 
         def run(batches):
-            split, name, at, held, size, rows = None, None, 0, [], 0, []
+            split, name, at, held, size, heads = None, None, 0, [], 0, []
+
+            def cut():
+                text = b"".join(held)
+                if at < overlap:
+                    heads.append((at, text[: overlap - at]))
+                return pieces(name, at, text, overlap, tile)
+
+            def ends(n):
+                return (p for start, text in heads for p in turned(name, n, start, text, overlap, tile))
+
             for now, head, text in stretches(batches):
                 if now != split or head is not None:
-                    rows += pieces(name, at, b"".join(held), overlap, tile) if name is not None else []
-                    held, size = [], 0
+                    if name is not None:
+                        yield from cut()
+                        # A record that ends before the split does is known up to its end.
+                        yield from ends(at + size if now == split else shared.value[split][2])
+                    held, size, heads = [], 0, []
                     if head is not None:
                         name, at = first_word(head[1:]), 0
                     else:
-                        name, at = shared.value.get(now, (None, 0))
+                        name, at = shared.value.get(now, (None, 0))[:2]
                     split = now
                 held.append(cleaned(text, convert, validate, name or "?"))
                 size += len(held[-1])
                 if size >= CHUNK and name is not None:
-                    rows += pieces(name, at, b"".join(held), overlap, tile)
+                    yield from cut()
                     at, held, size = at + size, [], 0
-                if len(rows) >= 512:
-                    yield _piece_batch(rows)
-                    rows = []
-            rows += pieces(name, at, b"".join(held), overlap, tile) if name is not None else []
-            if rows:
-                yield _piece_batch(rows)
+            if name is not None:
+                yield from cut()
+                yield from ends(shared.value[split][2])
 
-        found = self._lines().mapInArrow(run, PIECES).join(segments.select("seg_id"), "seg_id", "left_semi")
-        return joined_pieces(found, segments.select("seg_id", "linear").join(self.lengths(), "seg_id"), overlap, tile)
+        found = self._lines().mapInArrow(_batched(run, PIECES), PIECES)
+        return joined_pieces(found, segments.select("seg_id", "linear").join(self.lengths().hint("merge"), "seg_id"), tile)
 
 
 # --- random access ----------------------------------------------------------------------------------------------------------
@@ -338,7 +350,7 @@ class IndexedFiles(SequenceFiles):
     def taken(self, segments: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
         """Pieces of the segments, with the bytes that were read for each in ``read``."""
         spans = RANGE // 4
-        wanted = self.index().join(segments.select("seg_id"), "seg_id")
+        wanted = self.index().join(segments.select("seg_id"), "seg_id").join(self.lengths().hint("merge"), "seg_id")
         step = F.when(F.col("regular"), F.greatest(F.lit(spans) - F.lit(spans) % F.col("width"), F.col("width"))).otherwise(F.greatest(F.col("until") - F.col("first"), F.lit(1)))
         each = wanted.where("until > first").withColumn("step", step).withColumn("from", F.explode(F.sequence("first", F.col("until") - 1, F.col("step"))))
         convert, validate = self.convert, self.validate
@@ -346,7 +358,7 @@ class IndexedFiles(SequenceFiles):
         def run(batches):
             with _Reader() as files:
                 for b in batches:
-                    for seg, file, first, until, bases, width, step, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for seg, file, first, until, bases, width, step, start, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                         # Ranges begin at the start of a line of known width.
                         at, left = (start - first) // width * bases if start > first else 0, min(step, until - start)
                         f = files.at(file)
@@ -355,25 +367,27 @@ class IndexedFiles(SequenceFiles):
                             size = min(CHUNK, left)
                             text = cleaned(f.read(size), convert, validate, seg)
                             left -= size
-                            for k, (name, t, inside, part) in enumerate(pieces(seg, at, text, overlap, tile)):
-                                yield name, t, inside, part.decode(), 0 if k else size
+                            for k, piece in enumerate(chain(pieces(seg, at, text, overlap, tile), turned(seg, n, at, text, overlap, tile))):
+                                yield *piece, 0 if k else size
                             at += len(text)
 
-        columns, out = ["seg_id", "file", "first", "until", "bases", "width", "step", "from"], f"{PIECES}, read long"
+        columns, out = ["seg_id", "file", "first", "until", "bases", "width", "step", "from", "length"], f"{PIECES}, read long"
         return each.select(columns).repartition(self.spark.sparkContext.defaultParallelism, "seg_id", "from").mapInArrow(_batched(run, out), out)
 
     def lengths(self) -> DataFrame:
         """(seg_id, length) by the index where lines are regular; other records are counted."""
+        if self._lengths is not None:
+            return self._lengths
         index = self.index()
         again = index.groupBy("seg_id").count().where("count > 1").limit(5).collect()
         if again:
             raise SequenceError("repeated names: " + ", ".join(r[0] for r in again))
-        return index.select("seg_id", "first", "until", "bases", "width", "regular", "file").mapInArrow(_measured, "seg_id string, length int")
+        self._lengths = written(index.select("seg_id", "first", "until", "bases", "width", "regular", "file").mapInArrow(_measured, "seg_id string, length int"))
+        return self._lengths
 
     def tiles(self, segments: DataFrame, overlap: int, tile: int = TILE) -> DataFrame:
         found = self.taken(segments, overlap, tile).drop("read")
-        mine = self.lengths().join(segments.select("seg_id", "linear"), "seg_id")
-        return joined_pieces(found, mine, overlap, tile)
+        return joined_pieces(found, segments.select("seg_id", "linear").join(self.lengths().hint("merge"), "seg_id"), tile)
 
 
 def _measured(batches):
