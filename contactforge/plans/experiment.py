@@ -173,11 +173,11 @@ class Community:
     def _weighed(self, segments: DataFrame, settings: Settings) -> DataFrame:
         """The usable segments with their weights: those without sites, or bases, fall out."""
         check_unique(segments)
-        base = segments.drop("length").join(self._index().select("seg_id", "length").where("length > 0"), "seg_id")
+        base = segments.drop("length").join(self._index().select("seg_id", "length").where("length > 0").hint("merge"), "seg_id")
         base = base.withColumn("copy_milli", F.round(F.col("copy_number") * 1000).cast("long")).withColumn("anti_rate", F.when(F.col("linear"), 0.0).otherwise(F.col("anti_rate")))
         if settings.documented:
             base = base.withColumn("copy_milli", F.greatest(F.round(F.col("copy_milli") * F.col("abundance") * 1000).cast("long"), F.lit(0)))
-        base = base.join(digest.site_counts(self.sites), "seg_id") if self.enzymes else base.withColumn("n_sites", F.col("length").cast("long"))
+        base = base.join(digest.site_counts(self.sites).hint("merge"), "seg_id") if self.enzymes else base.withColumn("n_sites", F.col("length").cast("long"))
         # Written first: a cell with very many segments is counted from its replicons, not gathered by a window.
         found = self._once("found", lambda: written(base))
         replicons = found.select("cell", "repl").distinct().groupBy("cell").agg(F.count("*").cast("int").alias("n_repl"))
