@@ -2,8 +2,8 @@
 
 ``SequenceFiles`` scans: Spark's text reader splits the files at any byte range, so the records of a split may begin before it
 and end behind it. A first pass counts the bases between headers in each split; running sums over the splits tell whose
-bases a split begins with, and where in the record they stand. A second pass cuts tiles as the lines go by; only a
-tile that a cut runs through is put together from its pieces.
+bases a split begins with, and where in the record they stand. A second pass cuts tiles as the lines go by; pieces of
+a tile meet by (segment, tile).
 
 ``IndexedFiles`` looks up: an index of records (file, first and last byte, bases and bytes of a line) is made once and kept;
 after that, only the bytes of the segments that are asked for are read, in ranges.
