@@ -138,7 +138,7 @@ class Community:
 
     def _of(self, rows: DataFrame, new: DataFrame) -> DataFrame:
         """The new segments' rows: all of them, without a join, if no segment is known."""
-        return rows if new is self._kept.get("index") else rows.join(new.select("seg_id"), "seg_id", "left_semi")
+        return rows if new is self._kept.get("index") else rows.join(new.select("seg_id").hint("merge"), "seg_id", "left_semi")
 
     @property
     def few(self) -> bool:
