@@ -74,6 +74,13 @@ def _placed(target: str):
     return run
 
 
+def parts_of(spark: SparkSession, folder: str) -> list:
+    """The file system's entries of a folder's part files, in order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted((s for s in found if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+
+
 def joined_parts(spark: SparkSession, folder: str, path: str) -> str:
     """The part files of a folder as one file, in order; the folder goes."""
     way = joined(spark, [folder], path)
@@ -94,7 +101,7 @@ def joined(spark: SparkSession, folders: list[str], path: str) -> str:
     hadoop = jvm.org.apache.hadoop
     target = hadoop.fs.Path(path)
     fs, to = hadoop.fs.Path(folders[0]).getFileSystem(conf), target.getFileSystem(conf)
-    parts = [p for f in folders for p in sorted((s for s in fs.listStatus(hadoop.fs.Path(f)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())]
+    parts = [p for f in folders for p in parts_of(spark, f)]
     sizes = [s.getLen() for s in parts]
     local = lambda p: unquote(p.toUri().getRawPath())
     if fs.getScheme() == to.getScheme() == "file":
@@ -134,22 +141,39 @@ def joined(spark: SparkSession, folders: list[str], path: str) -> str:
     return way
 
 
+def texts(pairs: DataFrame, kind: str = "fastq") -> DataFrame:
+    """record1 and record2 in place of the reads' names, bases and qualities: a text is made once for all outputs."""
+    made = {f"record{r}": fastq(F.col(f"name{r}"), F.col(f"seq{r}"), F.col(f"qual{r}")) if kind == "fastq" else fasta(F.col(f"name{r}"), F.col(f"seq{r}")) for r in (1, 2)}
+    return pairs.withColumns(made).drop(*(f"{c}{r}" for c in ("name", "seq", "qual") for r in (1, 2)))
+
+
+def write_texts(held: DataFrame, first: str, second: str | None = None, one_file: bool = True) -> dict[str, list[int]]:
+    """A written table of ``texts`` interleaved into one output, or R1 and R2 into two, in order of pair number, sorted by
+    ranges of it. Returns the bytes of each output's parts in their order, where ``one_file`` has joined them: every part is a
+    whole number of records, compressed on its own."""
+    spark, codec, sizes = held.sparkSession, output_kind(first, second)[1], {}
+    one = lambda r: F.struct(F.lit(r).alias("r1r2"), F.col(f"record{r}").alias("record"))
+    both = held.select("idx", F.explode(F.array(one(1), one(2))).alias("r")).select("idx", "r.r1r2", "r.record")
+    # One read of a pair is read from the table as a column; the other one isn't touched.
+    outputs = [(first, both)] if second is None else [(p, held.select("idx", F.lit(r).alias("r1r2"), F.col(f"record{r}").alias("record"))) for r, p in ((1, first), (2, second))]
+    for path, rows in outputs:
+        folder = f"{path}.parts" if one_file else path
+        rows.orderBy("idx", "r1r2").select("record").write.mode("overwrite").option("compression", codec).text(folder)
+        if one_file:
+            sizes[path] = [s.getLen() for s in parts_of(spark, folder)]
+            joined_parts(spark, folder, path)
+    return sizes
+
+
 def write_reads(pairs: DataFrame, first: str, second: str | None = None, one_file: bool = True) -> DataFrame:
     """Interleaved into one output, or R1 and R2 into two, in order of pair number.
 
-    The pairs are computed once and written to the shared folder; outputs are sorted from there by ranges of pair
-    numbers. ``one_file`` joins the parts of an output (else it is a folder of them). Returns the written pairs, which
-    the caller may summarise and must remove.
+    The pairs are computed once and written to the shared folder with their records; outputs are sorted from there by
+    ranges of pair numbers. ``one_file`` joins the parts of an output (else it is a folder of them). Returns the written
+    pairs, which the caller may summarise and must remove.
     """
-    kind, codec = output_kind(first, second)
-    held = written(pairs)
-    rows = records(held, kind)
-    for path, keep in ([(first, (1, 2))] if second is None else [(first, (1,)), (second, (2,))]):
-        chosen = rows.where(F.col("r1r2").isin(*keep)).orderBy("idx", "r1r2").select("record")
-        folder = f"{path}.parts" if one_file else path
-        chosen.write.mode("overwrite").option("compression", codec).text(folder)
-        if one_file:
-            joined_parts(pairs.sparkSession, folder, path)
+    held = written(texts(pairs, output_kind(first, second)[0]))
+    write_texts(held, first, second, one_file)
     return held
 
 
