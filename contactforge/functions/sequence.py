@@ -53,8 +53,13 @@ def slice_linear(seq: Column, start: Column, size: Column, documented: bool = Fa
 
 
 def phred(qualities: Column) -> Column:
-    """Array of qualities to their text, offset 33."""
-    return F.array_join(F.transform(qualities, lambda q: F.char(q + 33)), "")
+    """Array of qualities to their text, offset 33; nulls in it have none. One quality throughout is a symbol repeated, which
+    is faster than a text from single symbols."""
+    low = F.array_min(qualities)
+    # Whether an array holds what it can't hold is unknown if it has nulls.
+    same = (low == F.array_max(qualities)) & ~F.array_contains(qualities, low - 1)
+    single = F.array_join(F.transform(qualities, lambda q: F.char(q + 33)), "")
+    return F.when(same, F.repeat(F.char(low + 33), F.size(qualities))).otherwise(single)
 
 
 def apply_indels(ref: Column, deleted: Column, inserted: Column, bases: Column) -> Column:

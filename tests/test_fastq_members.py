@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from test_restart import pairs
 
 from contactforge.errors import ContactError
+from contactforge.functions.sequence import phred
 from contactforge.plans import queries
 from contactforge.sinks import records
 from contactforge.sources import fastq
 from contactforge.storage import written
 
 
+def test_quality_texts(spark):
+    given = [[40] * 50, [2, 40, 2], [], None, [None], [7, None, 7], [7, None, 8], [0], [93, 93]]
+    text = lambda q: None if q is None else "".join(chr(x + 33) for x in q if x is not None)
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, q array<int>")
+    assert [r[0] for r in rows.orderBy("k").select(phred(F.col("q"))).collect()] == list(map(text, given))
+
+
 def record(k, size=4):
     return f"@n:{k} x\n{'ACGT' * size}\n+\n{'IIII' * size}"
 
